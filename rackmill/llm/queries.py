@@ -13,6 +13,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sstable import token_shards
+
+    return token_shards(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))[1]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_gbt import judge, seed_labels
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, seed_labels(pages))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,15 +36,53 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sp_scan import round_trip
+
+    return round_trip(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
 
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules, trusted_documents
+
+    docs = _documents(spark, sf_dir)
+    return quality_rules(docs, trusted_documents(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ring import shard
+
+    return shard(_documents(spark, sf_dir), 40)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import quality
+
+    return quality(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hd_lang import languages
+
+    return languages(_documents(spark, sf_dir))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontaminate
+
+    return decontaminate(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_token_counts": op3_token_counts,
-    "op5_ngram_jaccard": op5_ngram_jaccard,
+    f.__name__: f for f in (op1_token_shards, op2_url_filter, op3_token_counts, op4_sentencepiece, op5_ngram_jaccard, op6_quality_rules, op7_sharding, op8_quality_classifier, op9_language_id, op10_decontamination)
 }
 
 SQL: dict[str, str] = {}

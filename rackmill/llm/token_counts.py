@@ -161,11 +161,12 @@ class Units:
         """For each text the packed ids of its units. The caller deals with a text's first mark."""
         cut = list(map(self.codec.units, texts))
         every = set().union(*cut)
-        fresh = every - self.memo.keys()
+        fresh = [u for u in every if u not in self.memo]
         if len(self.memo) + len(fresh) > self.most:
             self.memo.clear()
-            fresh = every
-        self.memo.update(self.codec.encode_units(list(fresh), self.pack))
+            fresh = list(every)
+        if fresh:
+            self.memo.update(self.codec.encode_units(fresh, self.pack))
         get = self.memo.__getitem__
         return [list(map(get, us)) for us in cut]
 
