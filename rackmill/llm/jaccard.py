@@ -7,12 +7,12 @@ are one node. Two nodes link when 100 * |A & B| >= 80 * |A | B|.
    very frequent tokens come late. Any order gives the same links (linked sets share a prefix
    token); the frequencies only decide how many candidates are looked at. Tokens of one node end here.
 2. Groups. In a few rounds every node is compared with the node it most often meets as the leader
-   of a token, and joined to it if they link. What hangs together is cut into groups of at most
-   GROUP nodes of about the same size; all others are groups of one.
+   of a token, and joined to it if they link: first the node with the most common tokens. Nodes with
+   the same leader, linked or not, are cut into groups of at most GROUP nodes, ordered by component and size.
 3. Matrix. For each token its groups are listed, for each group the union of its members' tokens is
    stored, with a bit for each member.
-4. A node queries the groups of other components that hold at least as many of its prefix tokens as
-   a link needs. The overlap with the group's union bounds the overlap with each member; only groups
+4. A node queries the groups, other than those of its own component alone, that hold at least as
+   many of its prefix tokens as a link needs. The overlap with the group's union bounds the overlap with each member; only groups
    that reach 0.8 of the node's tokens are opened, and members are compared exactly.
 5. Components over all links, by large-star / small-star rounds.
 
@@ -39,7 +39,7 @@ from .words import U, mix, parts, word_hashes
 WORDS = 5
 #: Similarity as a fraction.
 NUM, DEN = 80, 100
-GROUP = 32
+GROUP = 64
 ROUNDS = 2
 #: A token is frequent from so many nodes on; the order knows the most frequent KNOWN of them.
 FREQUENT, KNOWN = 32, 1_000_000
@@ -168,8 +168,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets = [shingle_sets(pa.array([r["text"]]))[0] for r in rows]
             every, inv = np.unique(np.concatenate(sets), return_inverse=True)
-            own = np.zeros(len(every), np.uint32)
-            np.bitwise_or.at(own, inv, np.repeat(np.uint32(1) << np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets]))
+            own = np.zeros(len(every), np.uint64)
+            np.bitwise_or.at(own, inv, np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets]))
             g.append(group)
             union.append(every.tobytes())
             bits.append(own.tobytes())
@@ -195,9 +195,9 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit[hit] = union[k[hit]] == s[hit]
             if DEN * int(hit.sum()) < NUM * len(s):
                 continue
-            own = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint32)[k[hit]]
+            own = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)[k[hit]]
             for m, (node, n) in enumerate(zip(batch.column(5)[i].as_py(), batch.column(6)[i].as_py(), strict=True)):
-                both = int(((own >> np.uint32(m)) & np.uint32(1)).sum())
+                both = int(((own >> np.uint64(m)) & np.uint64(1)).sum())
                 if DEN * both >= NUM * (len(s) + n - both):
                     left.append(a[i])
                     right.append(node)
@@ -239,46 +239,49 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     one = Window.partitionBy("token")
     prefixes = docs.select(text_col).mapInArrow(emit, "token long, node long, n int")
-    met = prefixes.select("*", F.min("node").over(one).alias("lo"), F.max("node").over(one).alias("hi")).filter("lo <> hi")
-    rows = materialize(met.select("token", "node", "n").distinct(), "rows")  # a token's rows are in one task by now
-    nodes = materialize(rows.select("node").distinct(), "nodes")
+    met = prefixes.select("*", F.min("node").over(one).alias("lo"), F.max("node").over(one).alias("hi"), F.count("*").over(one).alias("size")).filter("lo <> hi")
+    rows = materialize(met.select("token", "node", "n", "size").distinct(), "rows")  # a token's rows are in one task by now
+    # how common a node's tokens are: of many near copies, the text that they were made from comes first
+    nodes = materialize(rows.groupBy("node", "n").agg(F.sum("size").alias("common")), "nodes")
     text = described(docs.select(F.col(text_col).alias("text")), "text").select("text", F.col("_set.node").alias("node"))
-    texts = materialize(text.join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = materialize(text.join(small(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts")
 
-    found, roots = None, None
+    found, roots, homes = None, None, None
+    known_rows = rows.select("token", "node", "n").join(small(nodes.select("node", "common")), "node")
     for turn in range(ROUNDS):
-        # the leader of a token is the node of another component that comes first in this round's order
-        r = _labelled(rows, roots)
-        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("comp"), F.col("n")) if turn else F.struct(F.col("node").alias("h"), F.col("node"), F.col("comp"), F.col("n"))
-        led = r.withColumn("lead", F.min(key).over(one)).filter("lead.comp <> comp")
+        # the leader of a token: its most common node, later one of another component that comes first in this round's order
+        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h") if turn else F.col("common").alias("h"), "node", "comp", "n")
+        led = _labelled(known_rows, roots).withColumn("lead", F.max(key).over(one)).filter("lead.comp <> comp")
         counted = led.groupBy("node", "n", F.col("lead.node").alias("b"), F.col("lead.n").alias("m")).count()
-        best = counted.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m) and 8 * count >= n - ceil({NUM} * n / {DEN}) + 1").groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        new = materialize(verify(best.select(F.col("node").alias("a"), "b"), texts), "links")
+        best = counted.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").groupBy("node", "n").agg(F.max(F.struct("count", "b")).alias("x"))
+        best = materialize(best.select("node", "n", "x.b", "x.count"), "best")
+        homes = best.select("node", F.col("b").alias("home")) if homes is None else homes
+        asked = best.filter(f"8 * count >= n - ceil({NUM} * n / {DEN}) + 1")
+        new = materialize(verify(asked.select(F.col("node").alias("a"), "b"), texts), "links")
         found = new if found is None else found.unionByName(new)
         roots = materialize(components(found), "roots")
 
-    r = _labelled(rows, roots).withColumns({"lo": F.min("comp").over(one), "hi": F.max("comp").over(one)}).filter("lo <> hi")
+    r = _labelled(rows.select("token", "node", "n"), roots).withColumns({"lo": F.min("comp").over(one), "hi": F.max("comp").over(one)}).filter("lo <> hi")
     r = materialize(r.select("token", "node", "n", "comp"), "open")
-    # groups: a component's members in order of size, GROUP at a time, in blocks by size and hash so that no window holds a large component
-    sizes = r.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    members = r.select("node", "n", "comp").distinct().join(sizes, "comp")
-    members = members.withColumns({"block": F.floor(F.log2(F.col("n").cast("double")) * 4), "sub": F.expr(f"pmod(xxhash64(node), cast(ceil(size / {64 * GROUP}) as bigint))")})
-    rank = F.row_number().over(Window.partitionBy("comp", "block", "sub").orderBy("n", "node"))
-    members = members.withColumn("k", F.floor((rank - 1) / GROUP)).withColumn("g", F.xxhash64("comp", "block", "sub", "k")).select("node", "n", "comp", "g")
+    # groups: nodes that met the same leader most, by component and size, GROUP at a time; in hashed blocks, so that no window holds a very large group
+    members = r.select("node", "n", "comp").distinct().join(small(homes), "node", "left").withColumn("home", F.coalesce("home", "node"))
+    sizes = members.groupBy("home").agg(F.count("*").alias("size"))
+    members = members.join(small(sizes), "home").withColumn("sub", F.expr(f"pmod(xxhash64(node), cast(ceil(size / {64 * GROUP}) as bigint))"))
+    rank = F.row_number().over(Window.partitionBy("home", "sub").orderBy("comp", "n", "node"))
+    members = members.withColumn("k", F.floor((rank - 1) / GROUP)).withColumn("g", F.xxhash64("home", "sub", "k")).select("node", "n", "comp", "g")
     members = materialize(members, "members")
-    bounds = members.groupBy("g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.count("*").alias("size"), F.first("comp").alias("gcomp"))
-    matrix = r.select("token", "node").join(members.select("node", "g"), "node").select("token", "g").distinct()
-    matrix = matrix.join(bounds.select("g", "n0", "n1", "gcomp"), "g").join(sizes.select(F.col("comp").alias("gcomp"), F.col("size").alias("gsize")), "gcomp")
-    queries = r.join(sizes, "comp")
-    # the smaller component asks the larger one
-    pair = queries.join(matrix, "token").filter("comp <> gcomp and (size < gsize or (size = gsize and comp < gcomp))").filter(f"{DEN} * n >= {NUM} * n0 and {NUM} * n <= {DEN} * n1")
+    bounds = members.groupBy("g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    bounds = materialize(bounds.withColumn("pure", (F.col("c0") == F.col("c1")).cast("int")), "bounds")
+    matrix = r.select("token", "node").join(members.select("node", "g"), "node").select("token", "g").distinct().join(small(bounds), "g")
+    own = members.select("node", "g").join(small(bounds.select("g", "pure")), "g").select("node", F.col("g").alias("own"), F.col("pure").alias("own_pure"))
+    # nodes of groups of several components ask first, nodes of one component never ask its own groups; each pair of groups is asked from one side
+    pair = r.join(own, "node").join(matrix, "token").filter("not (pure = 1 and c0 = comp) and (own_pure < pure or (own_pure = pure and own <= g))").filter(f"{DEN} * n >= {NUM} * n0 and {NUM} * n <= {DEN} * n1")
     need = f"ceil({NUM} * (n + n0) / {NUM + DEN}) - ceil({NUM} * greatest(n, n1) / {DEN}) + 1"
-    asked = pair.groupBy("node", "n", "g", "n0", "n1").count().filter(f"count >= {need}").select("node", "g")
-    asked = materialize(asked, "asked")
+    asked = materialize(pair.groupBy("node", "n", "g", "n0", "n1").count().filter(f"count >= {need}").select("node", "g"), "asked")
     wanted = members.join(asked.select("g").distinct(), "g", "left_semi").join(texts, "node")
     unions = wanted.groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("rows")).mapInArrow(_grouped, "g long, tokens binary, bits binary, members array<long>, sizes array<long>")
     opened = asked.join(texts, "node").select("node", "text", "g").join(unions, "g").select("node", "text", "g", "tokens", "bits", "members", "sizes").mapInArrow(_opened, "a long, b long")
-    return found.unionByName(opened)
+    return found.unionByName(opened.filter("a <> b"))
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
