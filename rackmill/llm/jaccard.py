@@ -12,8 +12,9 @@ are one node. Two nodes link when 100 * |A & B| >= 80 * |A | B|.
 3. Matrix. For each token its groups are listed, for each group the union of its members' tokens is
    stored, with a bit for each member.
 4. A node queries the groups, other than those of its own component alone, that hold at least as
-   many of its prefix tokens as a link needs. The overlap with the group's union bounds the overlap with each member; only groups
-   that reach 0.8 of the node's tokens are opened, and members are compared exactly.
+   many of its prefix tokens as a link needs; the queries of a group's nodes are put together. The
+   overlap of a node with a group's union bounds its overlap with each member; only groups that reach 0.8 of
+   a node's tokens are opened, and members are compared exactly, by one product of the two groups' bits.
 5. Components over all links, by large-star / small-star rounds.
 
 No step emits all pairs within a group, collects an unbounded group or drops a candidate. Node and
@@ -162,14 +163,15 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of at most GROUP members (node, text): the union of their tokens and a bit for each member."""
+    """Lists of at most GROUP members (node, text): the union of their tokens and for each token a bit for each member (none for a single member)."""
     for batch in batches:
         g, union, bits, members, sizes = [], [], [], [], []
         for group, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets = [shingle_sets(pa.array([r["text"]]))[0] for r in rows]
             every, inv = np.unique(np.concatenate(sets), return_inverse=True)
-            own = np.zeros(len(every), np.uint64)
-            np.bitwise_or.at(own, inv, np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets]))
+            own = np.zeros(len(every) if len(sets) > 1 else 0, np.uint64)
+            if len(sets) > 1:
+                np.bitwise_or.at(own, inv, np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets]))
             g.append(group)
             union.append(every.tobytes())
             bits.append(own.tobytes())
@@ -178,29 +180,44 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(union, pa.binary()), pa.array(bits, pa.binary()), pa.array(members, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], names=["g", "tokens", "bits", "members", "sizes"])
 
 
+def _holds(bits: bytes, at: np.ndarray, members: int) -> np.ndarray:
+    """Which members hold the tokens at these places of a group: a row for each token."""
+    if members == 1:
+        return np.ones((len(at), 1), np.float32)
+    return ((np.frombuffer(bits, np.uint64)[at][:, None] >> np.arange(members, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
+
+
+def _spanning(a: list[int], b: list[int], pairs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of the linked pairs as many as connect what all connect."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, k in pairs:
+        x, y = find(a[i]), find(b[k])
+        if x != y:
+            parent[x] = y
+            yield a[i], b[k]
+
+
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries (a, text) against groups: the union bounds the overlap; qualifying groups are opened."""
-    last: tuple = (None, None)
+    """Pairs of groups. The other group's union bounds the overlap of each member; if a member reaches the bound, the group is opened."""
     for batch in batches:
-        a = batch.column(0).to_pylist()
-        text, g = batch.column(1), batch.column(2).to_pylist()
         left, right = [], []
-        for i in range(batch.num_rows):
-            if last[0] != a[i]:
-                last = (a[i], shingle_sets(text.slice(i, 1))[0])
-            s = last[1]
-            union = np.frombuffer(batch.column(3)[i].as_buffer(), U)
-            k = np.searchsorted(union, s)
-            hit = k < len(union)
-            hit[hit] = union[k[hit]] == s[hit]
-            if DEN * int(hit.sum()) < NUM * len(s):
+        cols = [c.to_pylist() for c in batch.columns]
+        for t1, b1, m1, n1, t2, b2, m2, n2 in zip(*cols, strict=True):
+            x, y = np.frombuffer(t1, U), np.frombuffer(t2, U)
+            _, i, k = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            own, sizes, others = _holds(b1, i, len(m1)), np.array(n1), np.array(n2)
+            if not (DEN * own.sum(0) >= NUM * sizes).any():
                 continue
-            own = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)[k[hit]]
-            for m, (node, n) in enumerate(zip(batch.column(5)[i].as_py(), batch.column(6)[i].as_py(), strict=True)):
-                both = int(((own >> np.uint64(m)) & np.uint64(1)).sum())
-                if DEN * both >= NUM * (len(s) + n - both):
-                    left.append(a[i])
-                    right.append(node)
+            both = own.T @ _holds(b2, k, len(m2))
+            for p, q in _spanning(m1, m2, np.argwhere(DEN * both >= NUM * (sizes[:, None] + others[None, :] - both))):
+                left.append(p)
+                right.append(q)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
@@ -242,7 +259,7 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     met = prefixes.select("*", F.min("node").over(one).alias("lo"), F.max("node").over(one).alias("hi"), F.count("*").over(one).alias("size")).filter("lo <> hi")
     rows = materialize(met.select("token", "node", "n", "size").distinct(), "rows")  # a token's rows are in one task by now
     # how common a node's tokens are: of many near copies, the text that they were made from comes first
-    nodes = materialize(rows.groupBy("node", "n").agg(F.sum("size").alias("common")), "nodes")
+    nodes = materialize(rows.groupBy("node", "n").agg((F.sum("size") * 1000 / F.col("n")).cast("long").alias("common")), "nodes")
     text = described(docs.select(F.col(text_col).alias("text")), "text").select("text", F.col("_set.node").alias("node"))
     texts = materialize(text.join(small(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts")
 
@@ -277,10 +294,13 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # nodes of groups of several components ask first, nodes of one component never ask its own groups; each pair of groups is asked from one side
     pair = r.join(own, "node").join(matrix, "token").filter("not (pure = 1 and c0 = comp) and (own_pure < pure or (own_pure = pure and own <= g))").filter(f"{DEN} * n >= {NUM} * n0 and {NUM} * n <= {DEN} * n1")
     need = f"ceil({NUM} * (n + n0) / {NUM + DEN}) - ceil({NUM} * greatest(n, n1) / {DEN}) + 1"
-    asked = materialize(pair.groupBy("node", "n", "g", "n0", "n1").count().filter(f"count >= {need}").select("node", "g"), "asked")
-    wanted = members.join(asked.select("g").distinct(), "g", "left_semi").join(texts, "node")
-    unions = wanted.groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("rows")).mapInArrow(_grouped, "g long, tokens binary, bits binary, members array<long>, sizes array<long>")
-    opened = asked.join(texts, "node").select("node", "text", "g").join(unions, "g").select("node", "text", "g", "tokens", "bits", "members", "sizes").mapInArrow(_opened, "a long, b long")
+    asked = materialize(pair.groupBy("node", "n", "own", "g", "n0", "n1").count().filter(f"count >= {need}").select("own", "g").distinct(), "asked")
+    wanted = asked.select(F.explode(F.array("own", "g")).alias("g")).distinct()
+    rows = members.join(small(wanted), "g", "left_semi").join(texts, "node").groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("rows"))
+    unions = materialize(rows.mapInArrow(_grouped, "g long, tokens binary, bits binary, members array<long>, sizes array<long>"), "unions")
+    asking = unions.withColumnsRenamed({c: f"own_{c}" for c in ("tokens", "bits", "members", "sizes")}).withColumnRenamed("g", "own")
+    columns = [f"{o}{c}" for o in ("own_", "") for c in ("tokens", "bits", "members", "sizes")]
+    opened = asked.join(asking, "own").join(unions, "g").select(columns).mapInArrow(_opened, "a long, b long")
     return found.unionByName(opened.filter("a <> b"))
 
 
