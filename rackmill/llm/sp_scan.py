@@ -28,7 +28,9 @@ null ids each get a row; other columns stay or are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,6 +49,13 @@ State = tuple[int, int]  # start and end of the piece at a boundary; (c, c) wher
 Matrix = dict[State, dict[State, float]]
 
 
+def _packed(ids: list[int]) -> bytes:
+    a = array("i", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Lattice:
     """Pieces, their weights, and which may follow which."""
 
@@ -62,7 +71,7 @@ class Lattice:
         self.longest = max(map(len, self.scores), default=1)
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
         self.cuttable = self.codec.cuttable
-        self.units = Units(self.codec, lambda ids: np.array(ids, "<i4").tobytes())
+        self.units = Units(self.codec, _packed)
         self.ids_of = lru_cache(1 << 16)(self._ids_of)
         self.follows = lru_cache(1 << 18)(self._follows)
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() for p in model.pieces]
@@ -219,7 +228,7 @@ class Chunk:
     def _middle(self) -> bytes:
         if self.first == self.last:
             return b""
-        return b"".join(self.lattice.units([self.text[self.first : self.last]])[0])
+        return b"".join(self.lattice.units(self.text[self.first : self.last]))
 
 
 def product(x: Matrix, y: Matrix) -> Matrix:

@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import bisect
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,8 +185,16 @@ class Encoder:
         self.codec = c = codec(path)
         size = c.tokenizer.get_vocab_size() if isinstance(c, JsonCodec) else len(c.sp)
         self.width = 2 if size <= 1 << 16 else 4
-        kind = f"<u{self.width}"
-        self.pack = lambda ids: np.array(ids, kind).tobytes()
+        kind = "H" if self.width == 2 else "I"
+        swap = sys.byteorder == "big"
+
+        def pack(ids: list[int]) -> bytes:
+            a = array(kind, ids)
+            if swap:
+                a.byteswap()
+            return a.tobytes()
+
+        self.pack = pack
         self.units = Units(c, self.pack)
         self.end = self.pack([END_ID])
 
@@ -192,7 +202,7 @@ class Encoder:
         c = self.codec
         if not c.cuttable or isinstance(c, PieceCodec):
             return [self.pack(x) + self.end for x in c.ids(texts)]
-        return [b"".join(x) + self.end for x in self.units(texts)]
+        return [b"".join(self.units(x)) + self.end for x in texts]
 
 
 _kept: dict[str, Encoder] = {}
@@ -212,33 +222,28 @@ def write_shards(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     """Encodes every text, writes the shards under out and returns the manifest. out is a URI that all executors see."""
     from pyspark import TaskContext
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        for batch in batches:
-            for part in slices(batch):
-                ids = encode([x or "" for x in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(out)
         fs.create_dir(base, recursive=True)
-        width, part, nth, w, rows = encoder(path).width, TaskContext.get().partitionId(), 0, None, []
+        width, task, nth, w, rows = encoder(path).width, TaskContext.get().partitionId(), 0, None, []
         last, ordinal, first, name = object(), 0, None, ""
 
         def done():
             w.close()
-            rows.append((f"{out}/{name}", first, last, w.docs, w.ids, w.at, part, nth))
+            rows.append((f"{out}/{name}", first, last, w.docs, w.ids, w.at, task, nth))
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        encode = encoder(path)
+        parts = (part for batch in batches for part in slices(batch))
+        for part_ids, part_texts in ((p.column("doc_id").to_pylist(), p.column("text").to_pylist()) for p in parts):
+            for doc_id, ids in zip(part_ids, encode([x or "" for x in part_texts]), strict=True):
                 if w is not None and w.at >= shard_bytes:
                     done()
                     w, nth = None, nth + 1
                 ordinal = ordinal + 1 if doc_id == last else 0
                 if w is None:
-                    name, first = f"{part:08d}-{nth:05d}-{uuid.uuid4().hex}.sst", doc_id
+                    name, first = f"{task:08d}-{nth:05d}-{uuid.uuid4().hex}.sst", doc_id
                     w = ShardWriter(fs.open_output_stream(f"{base}/{name}"), width)
-                w.add(key_of(doc_id, ordinal), ids.as_buffer().to_pybytes())
+                w.add(key_of(doc_id, ordinal), ids)
                 last = doc_id
         if w is not None:
             done()
@@ -246,9 +251,8 @@ def write_shards(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([(n, pa.string() if n == "shard" else pa.int32() if n in ("part", "nth") else pa.int64()) for n in names]))
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = d.mapInArrow(encoded, "doc_id long, ids binary")
-    # equal ids are dealt and sorted by their content, so that a hot id is no hot task
-    ranged = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
+    # equal ids are dealt and sorted by their content, so that a hot id is no hot task; texts are encoded after that, once
+    ranged = d.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return materialize(ranged.mapInArrow(written, MANIFEST), "manifest")
 
 

@@ -35,12 +35,13 @@ OVERLAP_CHARS = 256
 #: Longer than any contraction, and than any special string together with its neighbours.
 GUARD = 32
 #: Units remembered by a Python worker before it starts anew (memory only; results don't depend on it).
-MEMO = 500_000
+MEMO = 700_000
 _MARK = "▁"
-_SPACED = re.compile(r"\s |^ ")
+_SPACED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 _UNIT = re.compile(r"(?<=\S)(?= )")
 #: Characters whose classes no Unicode version disputes, and the pre-tokeniser's public pattern narrowed to them.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
 _KNOWN = re.compile(rf"[ \n!-~{_LETTERS}]*")
 _PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n{_LETTERS}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
 
@@ -82,30 +83,32 @@ class JsonCodec:
 
         return backwards(), len(e)
 
-    def units(self, text: str) -> list[str]:
-        """Cut at the spaces that follow a non-space."""
-        if _SPACED.search(text):
-            return _UNIT.split(text)
+    def split(self, text: str) -> tuple[str, list[str]]:
+        """What stands before the first cut, and the units after it without the space that each begins with. Cuts are the spaces that follow a non-space."""
+        if any(map(text.__contains__, _SPACED)):
+            first, *rest = _UNIT.split(text)
+            return first, [x[1:] for x in rest]
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode_units(self, units: list[str], pack: Callable[[list[int]], bytes | int]) -> dict[str, bytes | int]:
-        """Units of undisputed characters are cut into pre-tokens here and go to the library's BPE model once each; the rest goes to the whole tokenizer."""
-        out, other, words, model = {}, [], self.words, self.model
-        if len(words) > MEMO:
-            words.clear()
-        for u in units:
-            if _KNOWN.fullmatch(u) and ("<|" not in u or not any(x in u for x in self.special)):
-                ids: list[int] = []
-                for w in _PRETOKEN.findall(u):
-                    if (got := words.get(w)) is None:
-                        got = words[w] = [x.id for x in model.tokenize(w.translate(self.alphabet))]
-                    ids += got
-                out[u] = pack(ids)
-            else:
-                other.append(u)
-        out.update(zip(other, map(pack, self.ids(other)), strict=True))
-        return out
+        return first, rest
+
+    def first(self, unit: str) -> list[int]:
+        """A unit of undisputed characters is cut into pre-tokens here, which go to the library's BPE model; any other goes to the whole tokenizer."""
+        if _WORD.fullmatch(unit):
+            return [x.id for x in self.model.tokenize(unit.translate(self.alphabet))]
+        if _KNOWN.fullmatch(unit) and ("<|" not in unit or not any(x in unit for x in self.special)):
+            words, ids = self.words, []
+            for w in _PRETOKEN.findall(unit):
+                got = words.get(w)
+                if got is None:
+                    if len(words) > MEMO:
+                        words.clear()
+                    got = words[w] = tuple([x.id for x in self.model.tokenize(w.translate(self.alphabet))])
+                ids += got
+            return ids
+        return self.ids([unit])[0]
+
+    def later(self, unit: str) -> list[int]:
+        return self.first(" " + unit)
 
 
 class PieceCodec:
@@ -140,35 +143,55 @@ class PieceCodec:
     def units(self, text: str) -> list[str]:
         return re.split(r"(?<=[^ ▁])(?=[ ▁])", text)
 
-    def encode_units(self, units: list[str], pack: Callable[[list[int]], bytes | int]) -> dict[str, bytes | int]:
-        """A unit's leading mark is the one that the library puts before any text."""
-        marked = [u for u in units if u[:1] in (" ", _MARK)]
-        plain = [u for u in units if u[:1] not in (" ", _MARK)]
-        return dict(zip([*marked, *plain], map(pack, [*self.after_mark(marked), *self.ids(plain)]), strict=True))
+    def split(self, text: str) -> tuple[str, list[str]]:
+        """Cuts are the marks (spaces too) that follow another character."""
+        other, mark = (" ", _MARK) if _MARK in text else (_MARK, " ")
+        if other in text or mark + mark in text:
+            first, *rest = self.units(text)
+            return ("", [first[1:], *[x[1:] for x in rest]]) if first[:1] in (" ", _MARK) else (first, [x[1:] for x in rest])
+        first, *rest = text.split(mark)
+        return first, rest
+
+    def first(self, unit: str) -> list[int]:
+        return self.sp.encode(unit)
+
+    def later(self, unit: str) -> list[int]:
+        """The mark that the unit begins with is the one that the library puts before any text but the empty one."""
+        return self.sp.encode(unit) if unit else [self.mark]
 
 
 def codec(path: str) -> JsonCodec | PieceCodec:
     return PieceCodec(path) if path.endswith(".model") else JsonCodec(path)
 
 
+class _Memo(dict):
+    """Remembers up to `most` values, then starts anew."""
+
+    def __init__(self, make: Callable[[str], bytes | int], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, unit: str) -> bytes | int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[unit] = self.make(unit)
+        return value
+
+
 class Units:
     """Encodes cuttable texts unit by unit and remembers the units, as packed ids."""
 
     def __init__(self, c: JsonCodec | PieceCodec, pack: Callable[[list[int]], bytes | int], memo: int = MEMO):
-        self.codec, self.pack, self.most, self.memo = c, pack, memo, {}
-
-    def __call__(self, texts: list[str]) -> list[list[bytes | int]]:
-        """For each text the packed ids of its units. The caller deals with a text's first mark."""
-        cut = list(map(self.codec.units, texts))
-        every = set().union(*cut)
-        fresh = [u for u in every if u not in self.memo]
-        if len(self.memo) + len(fresh) > self.most:
-            self.memo.clear()
-            fresh = list(every)
-        if fresh:
-            self.memo.update(self.codec.encode_units(fresh, self.pack))
-        get = self.memo.__getitem__
-        return [list(map(get, us)) for us in cut]
+        self.codec, self.pack = c, pack
+        self.memo = _Memo(lambda unit: pack(c.later(unit)), memo)
+
+    def __call__(self, text: str) -> list[bytes | int]:
+        """The packed ids of a text's units, in order."""
+        first, rest = self.codec.split(text)
+        out = list(map(self.memo.__getitem__, rest))
+        if first:
+            out.insert(0, self.pack(self.codec.first(first)))
+        return out
 
 
 class Counter:
@@ -219,10 +242,8 @@ class Counter:
     def __call__(self, texts: list[str]) -> list[int]:
         if not self.codec.cuttable:
             return self.codec.counts(texts)
-        # a piece codec's first unit must not begin with a mark of its own
-        whole = [len(t) <= self.chunk and not (self.piece and t[:1] in (" ", _MARK)) for t in texts]
-        short = iter(self.units([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [sum(next(short)) if w else self.huge(t) for t, w in zip(texts, whole, strict=True)]
+        # a piece codec's text must not begin with a mark of its own
+        return [sum(self.units(t)) if len(t) <= self.chunk and not (self.piece and t[:1] in (" ", _MARK)) else self.huge(t) for t in texts]
 
 
 _kept: dict[tuple, Counter] = {}
