@@ -42,7 +42,7 @@ SQL: dict[str, str] = {
     "class_thresholds": f"""with {_DET}, t as (select * from (values ('view','rack',0.3),('click','switch',0.44),('purchase','patch_panel',0.44),('signup','cable',0.18)) v(a,b,c))
         select coalesce(b, class) as class, count(*) as n from det left join t on class=a where confidence >= coalesce(c, 0.2)::double group by 1""",
     "box_clamp": f"""with {_DET}, c as (select det_id, greatest(x1-10,0)::int as x1, greatest(y1-10,0)::int as y1, least(x1+210,959)::int as x2, least(y1+100,559)::int as y2 from det) select * from c where x2>x1 and y2>y1""",
-    "latest_status": "select user_id, arg_max(event_type, (ts, event_id)) as status, max(ts) as "at" from events group by 1",
+    "latest_status": 'select user_id, arg_max(event_type, (ts, event_id)) as status, max(ts) as "at" from events group by 1',
     "model_match_cascade": f"""with {_BASE}, p as (select q.vec_id as image, r.vec_id as rid, q.label, {_dot('q.embedding','r.embedding')} / (sqrt({_dot('q.embedding','q.embedding')})*sqrt({_dot('r.embedding','r.embedding')})) as s,
           q.vec_id%11*4 as np, r.ports, q.rows_ = r.rows_ as f2, q.arrangement = r.arrangement as f3
           from base q join base r on q.label=r.label and q.vec_id%2=0 and r.vec_id%2=1),
