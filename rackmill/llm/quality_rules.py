@@ -15,9 +15,13 @@ are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 BUCKETS = 1 << 15
 ALPHA = 1.0
 #: Mean log-likelihood ratio from which a document is kept.
@@ -77,8 +81,6 @@ def ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text", buckets:
         return d.select(F.explode(grams(words(F.col(text_col)), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
     both = counted(docs, "corpus").join(counted(trusted, "trusted"), "bucket", "full_outer")
-    import math
-
     corpus, good = [0] * buckets, [0] * buckets
     for r in both.collect():
         corpus[r.bucket], good[r.bucket] = r.corpus or 0, r.trusted or 0
@@ -112,7 +114,7 @@ def measured(docs: DataFrame, weights: list[float], text_col: str = "text", pref
 def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The texts of documents labelled good. labels: doc_id, quality."""
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(good, F.col("_id") == F.col("_good"), "left_semi").select(text_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(small(good), F.col("_id") == F.col("_good"), "left_semi").select(text_col)
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
