@@ -8,7 +8,7 @@ A data block (about BLOCK_BYTES before compression, zstd) holds entries; an entr
 leading key bytes it shares with the entry before it, the number of further key bytes, the number of ids
 (three unsigned 32-bit integers), those key bytes and the ids, little-endian and `width` bytes each. Every
 RESTART-th entry shares nothing. The index holds for each block its last key, offset and length; the
-filter has ten bits a key and seven probes; the footer has a fixed size.
+filter has ten bits an id and seven probes; the footer has a fixed size.
 
 A key is the document id as eight big-endian bytes with the sign bit turned, so byte order is number
 order, then the row's number among equal ids (four bytes). A null id is an empty key and comes first.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, materialize
@@ -91,7 +91,8 @@ class ShardWriter:
         self.block += (_ENTRY.pack(shared, len(key) - shared, len(ids) // self.width), key[shared:], ids)
         self.size += 12 + len(key) - shared + len(ids)
         self.n, self.last = self.n + 1, key
-        self.hashes.append(key)
+        if not self.hashes or self.hashes[-1] != key[:8]:
+            self.hashes.append(key[:8])
         self.docs, self.ids = self.docs + 1, self.ids + len(ids) // self.width
         if self.size >= BLOCK_BYTES:
             self.flush()
@@ -160,17 +161,29 @@ class ShardReader:
         for k in range(len(self.index)):
             yield from _entries(self._block(k), self.width)
 
-    def __getitem__(self, key: bytes) -> np.ndarray:
-        """The ids under the key; KeyError if there are none."""
+    def may_hold(self, prefix: bytes) -> bool:
+        """The filter's word on an id (the first eight bytes of a key)."""
         if self.field is None:
             self.file.seek(self.filter_at)
             self.field = self.file.read(self.filter_size)
-        if all(self.field[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits)):
-            k = bisect.bisect_left(self.index, key, key=lambda x: x[0])
-            if k < len(self.index):
-                for found, ids in _entries(self._block(k), self.width):
-                    if found == key:
-                        return unpacked(ids, self.width)
+        return all(self.field[p >> 3] >> (p & 7) & 1 for p in _probes(prefix, self.bits))
+
+    def find(self, prefix: bytes) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Keys that begin with the prefix, and their ids: filter, binary search in the index, then as few blocks as hold them."""
+        if not self.may_hold(prefix[:8]):
+            return
+        for k in range(bisect.bisect_left(self.index, prefix, key=lambda x: x[0]), len(self.index)):
+            for key, ids in _entries(self._block(k), self.width):
+                if key.startswith(prefix):
+                    yield key, unpacked(ids, self.width)
+                elif key > prefix:
+                    return
+
+    def __getitem__(self, key: bytes) -> np.ndarray:
+        """The ids under the key; KeyError if there are none."""
+        for found, ids in self.find(key):
+            if found == key:
+                return ids
         raise KeyError(key)
 
 
@@ -290,15 +303,9 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
 
 def lookup(manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
     """The ids of every row with this id, by binary search: shards by their first and last id, then filter, index and block."""
-    found = []
-    for r in manifest.filter(F.col("first_id").isNotNull() & (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("part", "nth").collect():
-        reader = ShardReader(r.shard)
-        for k in range(2**32):
-            try:
-                found.append(reader[key_of(doc_id, k)])
-            except KeyError:
-                break
-    return found
+    holds = (F.coalesce("first_id", F.lit(-(2**63))) <= doc_id) & (F.col("last_id") >= doc_id)
+    shards = manifest.filter(holds).orderBy("part", "nth").select("shard").collect()
+    return [ids for r in shards for _, ids in ShardReader(r.shard).find(key_of(doc_id)[:8])]
 
 
 def token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -311,4 +318,4 @@ def _as_uri(path: str) -> str:
     return path if "://" in path else f"file://{path.removeprefix('file:')}"
 
 
-__all__ = ["Encoder", "ShardReader", "ShardWriter", "lookup", "read_shards", "token_shards", "write_shards", "SparkSession"]
+__all__ = ["Encoder", "ShardReader", "ShardWriter", "lookup", "read_shards", "token_shards", "write_shards"]
