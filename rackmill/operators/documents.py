@@ -38,13 +38,19 @@ def sections(docs: DataFrame, key: str = "doc", text: str = "text", patterns: Se
     """key, section, text of all sections whose header is found."""
     heads = None
     for name, p in patterns:
-        h = docs.select(key, text, F.lit(name).alias("section"), F.regexp_extract(text, f"(?s)^(.*?){p}", 1).alias("before"), F.col(text).rlike(p).alias("has")).filter("has")
-        h = h.select(key, text, "section", F.length("before").alias("start"), F.length(text).alias("length"))
+        hits, pieces = F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), F.split(text, p)
+        h = docs.select(key, F.lit(name).alias("section"), F.length(text).alias("length"), F.explode(_starts(hits, pieces)).alias("start"))
         heads = h if heads is None else heads.unionByName(h)
-    spans = section_spans(heads.select(key, "section", "start", "length"), key)
+    spans = section_spans(heads, key)
     return docs.join(spans, key).select(key, "section", F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
 
 
+def _starts(hits: Column, pieces: Column) -> Column:
+    """Where each match begins: behind all texts between matches and all matches before it."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    return F.transform(hits, lambda h, i: total(F.slice(pieces, 1, i + 1)) + total(F.slice(hits, 1, i)))
+
+
 def line_pairs(rows: DataFrame, key: str = "doc", order: str = "line_no", line: str = "line", first: str = "Vendor:", second: str = "Model:") -> DataFrame:
     """Lines that begin with `first` and are followed by one that begins with `second`: what stands behind both."""
     w = Window.partitionBy(key).orderBy(order)
