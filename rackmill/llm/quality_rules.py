@@ -24,8 +24,8 @@ from .common import small
 
 BUCKETS = 1 << 15
 ALPHA = 1.0
-#: Mean log-likelihood ratio from which a document is kept.
-THRESHOLD = -0.15
+#: Mean log-likelihood ratio from which a document is kept: below every labelled good document that passes the base rules.
+THRESHOLD = -0.1
 LEAST_WORDS, WINDOW, REPEATED_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
