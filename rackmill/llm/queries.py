@@ -96,7 +96,7 @@ sets as (
 tokens as (select doc_id, unnest(s) as t from sets),
 common as (select a.doc_id as a, b.doc_id as b, count(*) as n from tokens a join tokens b on a.t = b.t and a.doc_id < b.doc_id group by all),
 links as (select a, b from common join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
-both as (select a, b from links union all select b, a from links),
-reached as (select doc_id as a, doc_id as b from documents union select r.a, k.b from reached r join both k on k.a = r.b)
+ways as (select a, b from links union all select b, a from links),
+reached as (select doc_id as a, doc_id as b from documents union select r.a, k.b from reached r join ways k on k.a = r.b)
 select s.doc_id, len(s.s)::bigint as n_shingles, min(r.b) as component_id from sets s join reached r on r.a = s.doc_id group by all""",
 }
