@@ -130,4 +130,23 @@ SQL: dict[str, str] = {
         trim(regexp_replace(lower(p_brand),'[^a-z0-9]+','_','g'),'_') as model_key from part""",
     "report_tables": """select n_regionkey, md5('<html><body><h1>Nations</h1><table><tr><th>n_name</th><th>n_nationkey</th></tr>' || chr(10) ||
         string_agg('<tr><td>' || n_name || '</td><td>' || n_nationkey || '</td></tr>', chr(10) order by n_nationkey) || '</table></body></html>') as html_md5 from nation group by 1""",
+    "panel_models": r"""select p_partkey, case p_partkey%7 when 0 then 'RJ_45' when 1 then 'LC_UPC' when 2 then 'SC_UPC' when 3 then 'MPO' when 4 then 'Keystone' else p_size || '_port' end as model from part""",
+    "text_guess": """select p_partkey, case p_partkey%3 when 0 then 'Cisco unit' when 1 then 'by ZTE' end as vendor, p_name as model, 'a long description of ' || p_type as description from part""",
+    "description_cascade": r"""with d as (select p_partkey as ord, lower(p_brand) as v, trim(regexp_replace(lower(p_name),'[^a-z0-9]+','_','g'),'_') as m, p_type || ' ' || p_size as d from part where p_size>40),
+        f as (select p_partkey, lower(p_brand) as v, trim(regexp_replace(lower(case when p_partkey%5=0 then substr(p_name,1,4) else p_name end),'[^a-z0-9]+','_','g'),'_') as m from part),
+        d1 as (select v, m, arg_max(d, ord) as d1 from d group by all), d2 as (select m, arg_min(d, ord) as d2, min(ord) as o from d group by all),
+        d3 as (select k.m, arg_min(d2, o) as d3 from (select distinct m from f) k join d2 on contains(d2.m, k.m) group by all)
+        select p_partkey, coalesce(d1, d2, d3) as description from f left join d1 using (v, m) left join d2 using (m) left join d3 using (m)""",
+    "vendor_resolution": """with n as (select n_nationkey as ord, n_name as known, regexp_replace(lower(n_name),'[^a-z0-9]','','g') as k from nation),
+        f as (select c_custkey, regexp_replace(lower(case c_custkey%3 when 0 then n_name when 1 then 'x-' || n_name || '.' else substr(n_name,1,4) end),'[^a-z0-9]','','g') as f from customer join nation on c_nationkey=n_nationkey),
+        h as (select c_custkey, known, ord, case when f=k then 0 when contains(f,k) then 1 when contains(k,f) then 2 end as rule from f, n),
+        r as (select *, row_number() over (partition by c_custkey order by rule, ord) as rn from h where rule is not null)
+        select f.c_custkey, known, coalesce(rule,-1)::int as rule from f left join r on r.c_custkey=f.c_custkey and rn=1""",
+    "kept_units": "select o_orderkey, o_orderkey%3 as n_switch, o_orderkey%2 as n_panel, o_orderkey%5 as n_ports from orders where o_orderkey%5>0 and (o_orderkey%3>0) <> (o_orderkey%2>0)",
+    "parent_resolution": f"""with {_PORTS}, {_DEVICES}, dev as (select distinct image, dev_id from devices where dev_id%60=0),
+        fd as (select image, min(dev_id) as fd from dev group by 1),
+        ins as (select p.image, port_id, min(dev_id) as around from ports p join devices d on p.image=d.image where (least(x1+12,px+400)-greatest(x1,px))>0 and (least(y1+10,py+200)-greatest(y1,py))>0
+          and 100*(least(x1+12,px+400)-greatest(x1,px))*(least(y1+10,py+200)-greatest(y1,py)) >= 85*120 and 2*x1+12 between 2*px and 2*px+800 and 2*y1+10 between 2*py and 2*py+400 and 100*(y1+10-py) <= 95*200 group by all)
+        select p.image as doc, p.port_id, coalesce(dev.dev_id, fd, around)::varchar as resolved, case when dev.dev_id is not null then 'parent_id' when fd is not null then 'first_device' when around is not null then 'box' end as rule
+        from ports p left join dev on dev.image=p.image and p.port_id%2=0 and dev.dev_id = p.port_id%750*20 left join fd on fd.image=p.image left join ins on ins.image=p.image and ins.port_id=p.port_id""",
 }

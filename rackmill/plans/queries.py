@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import cluster, documents, jobs, match, spatial
+from ..operators import cluster, documents, hierarchy, jobs, match, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,3 +408,47 @@ def fuzzy_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 def close_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     return match.close_match(part.select("p_partkey", F.substring("p_name", 2, 100).alias("port")), part.select("p_name"), "port", "p_name")
+
+
+@query
+def panel_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.get(F.array(*map(F.lit, ("RJ-45 jack", "LC UPC", "sc  upc", "MPO cassette", "keystone row", "patch panel", "row of"))), _int(F.col("p_partkey") % 7))
+    name = F.concat_ws(" ", text, F.col("p_size").cast("string"), F.lit("port"))
+    return table(spark, sf_dir, "part").select("p_partkey", hierarchy.panel_model(name).alias("model"))
+
+
+@query
+def text_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vendor = F.when(F.col("p_partkey") % 3 == 0, "Cisco unit").when(F.col("p_partkey") % 3 == 1, "by ZTE").otherwise("?")
+    cells = F.array(F.lit(" "), F.col("p_name"), vendor, F.concat(F.lit("a long description of "), F.col("p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", hierarchy.guess(cells).alias("g")).select("p_partkey", "g.*")
+
+
+@query
+def description_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dim = table(spark, sf_dir, "part").filter("p_size > 40").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("model"), F.concat("p_type", F.lit(" "), F.col("p_size").cast("string")).alias("description"))
+    facts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("vendor"), F.when(F.col("p_partkey") % 5 == 0, F.substring("p_name", 1, 4)).otherwise(F.col("p_name")).alias("model"))
+    return hierarchy.describe(facts, dim).select("p_partkey", "description")
+
+
+@query
+def vendor_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("known"))
+    facts = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.lower("n_name")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("x-"), F.col("n_name"), F.lit("."))).otherwise(F.substring("n_name", 1, 4)).alias("vendor"))
+    return hierarchy.vendor_keys(facts, known).select("c_custkey", "known", F.coalesce("rule", F.lit(-1)).alias("rule"))
+
+
+@query
+def kept_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("n_switch"), (F.col("o_orderkey") % 2).alias("n_panel"), (F.col("o_orderkey") % 5).alias("n_ports"))
+    return hierarchy.kept_units(u, "one_kind")
+
+
+@query
+def parent_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices of an image as nodes, its ports with and without a parent id."""
+    d = _devices(spark, sf_dir)
+    nodes = d.select(F.col("image").alias("doc"), F.col("dev_id").cast("string").alias("node_id"), F.col("ordinal").alias("preorder"), F.when(F.col("dev_id") % 60 == 0, F.col("kind")).otherwise("thing").alias("type"), F.lit(None).cast("string").alias("segmented"), "box", F.lit(False).alias("has_ports"))
+    p = _ports(spark, sf_dir).select(F.col("image").alias("doc"), "port_id", F.when(F.col("port_id") % 2 == 0, (F.col("port_id") % 750 * 20).cast("string")).alias("parent_id"), "box")
+    holds = nodes.limit(0).select("doc", F.col("node_id").alias("dev_id"), F.lit(0).cast("long").alias("port_id"))
+    return hierarchy.parents(p, nodes, holds).select("doc", "port_id", "resolved", "rule")
