@@ -6,7 +6,7 @@ kernel's memory and its quadratic work bounded, and a larger group is refused wi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,60 @@ def grouped(rows: DataFrame, key: Sequence[str], kernel: Callable[[pd.DataFrame]
     return rows.groupBy(*key).applyInPandas(run, schema)
 
 
+def streamed(rows: DataFrame, key: Sequence[str], columns: Sequence[str], kernel: Callable[..., list[np.ndarray]], schema: str, order: Sequence[str]) -> DataFrame:
+    """kernel on the columns of each key, as arrays in the given total order: it returns the output columns behind the key.
+
+    One exchange on the key and one sort; groups then pass by in batches, so that many small ones cost no frame each, and
+    only a group that goes on in the next batch is carried over.
+    """
+    names = [x.strip().split(" ")[0].strip("`") for x in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            cuts = _cuts(pdf, key)
+            yield _frame(pdf, cuts[:-1], key, columns, kernel, names)
+            rest = pdf.iloc[cuts[-2] :] if len(cuts) > 1 else pdf
+            if len(rest) > MOST:
+                raise ValueError(f"a group has more than {MOST} rows; add a column to its key")
+        if rest is not None:
+            rest = rest.reset_index(drop=True)
+            yield _frame(rest, _cuts(rest, key), key, columns, kernel, names)
+
+    every = list(dict.fromkeys([*key, *order, *columns]))
+    return rows.select(*every).repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
+def _cuts(pdf: pd.DataFrame, key: Sequence[str]) -> list[int]:
+    """Where groups begin, and the end."""
+    if not len(pdf):
+        return [0]
+    new = np.zeros(len(pdf), bool)
+    for k in key:
+        v, null = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        new[1:] |= (null[1:] != null[:-1]) | (~null[1:] & ~null[:-1] & (v[1:] != v[:-1]))
+    return [0, *np.flatnonzero(new).tolist(), len(pdf)]
+
+
+def _frame(pdf: pd.DataFrame, cuts: list[int], key: Sequence[str], columns: Sequence[str], kernel, names: list[str]) -> pd.DataFrame:
+    arrays, keys = [pdf[c].to_numpy() for c in columns], [pdf[k].to_numpy() for k in key]
+    out: list[list] = [[] for _ in names]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > MOST:
+            raise ValueError(f"a group has {b - a} rows, more than {MOST}; add a column to its key")
+        got = kernel(*(x[a:b] for x in arrays))
+        for k, v in enumerate(keys):
+            out[k].append(np.repeat(v[a : a + 1], len(got[0])))
+        for k, v in enumerate(got):
+            out[len(keys) + k].append(np.asarray(v))
+    return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in zip(names, out, strict=True)})
+
+
+def _stack(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    return np.stack([x1, y1, x2, y2], 1).astype(float)
+
+
 def _ious(b: np.ndarray, k: int) -> np.ndarray:
     w = np.minimum(b[:, 2], b[k, 2]) - np.maximum(b[:, 0], b[k, 0])
     h = np.minimum(b[:, 3], b[k, 3]) - np.maximum(b[:, 1], b[k, 1])
@@ -53,13 +107,11 @@ def soft_nms_kernel(boxes: np.ndarray, scores: np.ndarray, sigma: float = 0.5, f
 def soft_nms(boxes: DataFrame, key: Sequence[str] = ("image", "class")) -> DataFrame:
     """Rows det_id, keep_order, score (the original one), decayed. boxes: key, det_id, score, x1, y1, x2, y2."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        keep, decayed = soft_nms_kernel(p[["x1", "y1", "x2", "y2"]].to_numpy(float), p["score"].to_numpy(float))
-        out = p.loc[keep, [*key, "det_id", "score"]].copy()
-        out["keep_order"], out["decayed"] = np.arange(len(keep)), np.round(decayed, 6)
-        return out
+    def kernel(ids, score, *box) -> list[np.ndarray]:
+        keep, decayed = soft_nms_kernel(_stack(*box), score.astype(float))
+        return [ids[keep], score[keep], np.arange(len(keep)), np.round(decayed, 6)]
 
-    return grouped(boxes, key, kernel, _key_schema(boxes, key) + ", det_id long, score double, keep_order int, decayed double", ["det_id"])
+    return streamed(boxes, key, ["det_id", "score", "x1", "y1", "x2", "y2"], kernel, _key_schema(boxes, key) + ", det_id long, score double, keep_order int, decayed double", ["det_id"])
 
 
 def _key_schema(rows: DataFrame, key: Sequence[str]) -> str:
@@ -83,33 +135,30 @@ def fuse_kernel(boxes: np.ndarray, scores: np.ndarray, least: float = 0.3) -> li
 def box_fusion(boxes: DataFrame, key: Sequence[str] = ("image", "class")) -> DataFrame:
     """A row for each fused box, with the number of its members."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        found = fuse_kernel(p[["x1", "y1", "x2", "y2"]].to_numpy(float), p["score"].to_numpy(float))
-        rows = [(*p.loc[0, list(key)], i, *np.round(b, 6), s, len(m)) for i, (b, s, m) in enumerate(found)]
-        return pd.DataFrame(rows, columns=[*key, "fused_id", "x1", "y1", "x2", "y2", "score", "members"])
+    def kernel(score, *box) -> list[np.ndarray]:
+        found = fuse_kernel(_stack(*box), score.astype(float))
+        b = np.round(np.stack([x for x, _, _ in found]), 6)
+        return [np.arange(len(found)), *b.T, np.array([x for _, x, _ in found]), np.array([len(m) for _, _, m in found])]
 
-    return grouped(boxes, key, kernel, _key_schema(boxes, key) + ", fused_id int, x1 double, y1 double, x2 double, y2 double, score double, members int", ["det_id"])
+    return streamed(boxes, key, ["score", "x1", "y1", "x2", "y2"], kernel, _key_schema(boxes, key) + ", fused_id int, x1 double, y1 double, x2 double, y2 double, score double, members int", ["det_id"])
 
 
 def suppress_overlaps(boxes: DataFrame, key: Sequence[str] = ("image",), most: float = 0.3) -> DataFrame:
     """Boxes from the lowest edge up; each kept one drops those of which it covers more than the share."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        b = p[["x1", "y1", "x2", "y2"]].to_numpy(float)
+    def kernel(ids, *box) -> list[np.ndarray]:
+        b = _stack(*box)
         area = np.maximum((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]), 1e-9)
-        live, keep = list(np.argsort(b[:, 3], kind="stable")), []
-        while live:
-            k = live.pop()
+        live, keep = np.argsort(b[:, 3], kind="stable"), []
+        while len(live):
+            k, live = live[-1], live[:-1]
             keep.append(k)
-            rest = np.array(live, int)
-            w = np.maximum(0, np.minimum(b[rest, 2], b[k, 2]) - np.maximum(b[rest, 0], b[k, 0]))
-            h = np.maximum(0, np.minimum(b[rest, 3], b[k, 3]) - np.maximum(b[rest, 1], b[k, 1]))
-            live = rest[w * h / area[rest] <= most].tolist()
-        out = p.loc[keep, [*key, "det_id"]].copy()
-        out["keep_order"] = np.arange(len(keep))
-        return out
+            w = np.maximum(0, np.minimum(b[live, 2], b[k, 2]) - np.maximum(b[live, 0], b[k, 0]))
+            h = np.maximum(0, np.minimum(b[live, 3], b[k, 3]) - np.maximum(b[live, 1], b[k, 1]))
+            live = live[w * h / area[live] <= most]
+        return [ids[keep], np.arange(len(keep))]
 
-    return grouped(boxes, key, kernel, _key_schema(boxes, key) + ", det_id long, keep_order int", ["det_id"])
+    return streamed(boxes, key, ["det_id", "x1", "y1", "x2", "y2"], kernel, _key_schema(boxes, key) + ", det_id long, keep_order int", ["det_id"])
 
 
 def rows_kernel(ys: Sequence[float], tolerance: float = 15.0) -> list[int]:
@@ -117,10 +166,10 @@ def rows_kernel(ys: Sequence[float], tolerance: float = 15.0) -> list[int]:
     found: list[list[float]] = []
     out = []
     for y in ys:
-        k = next((i for i, r in enumerate(found) if abs(float(np.median(r)) - y) < tolerance), len(found))
+        k = next((i for i, r in enumerate(found) if abs((r[len(r) // 2] + r[(len(r) - 1) // 2]) / 2 - y) < tolerance), len(found))
         if k == len(found):
             found.append([])
-        found[k].append(y)
+        found[k].append(y)  # values ascend, so each row stays sorted
         out.append(k)
     return out
 
@@ -128,12 +177,10 @@ def rows_kernel(ys: Sequence[float], tolerance: float = 15.0) -> list[int]:
 def row_cluster(points: DataFrame, key: Sequence[str] = ("image",), tolerance: float = 15.0) -> DataFrame:
     """points: key, point_id, y. Gives row_no for each point."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        out = p[[*key, "point_id"]].copy()
-        out["row_no"] = rows_kernel(p["y"].tolist(), tolerance)
-        return out
+    def kernel(ids, y) -> list[np.ndarray]:
+        return [ids, np.array(rows_kernel(y.tolist(), tolerance))]
 
-    return grouped(points, key, kernel, _key_schema(points, key) + ", point_id long, row_no int", ["y", "point_id"])
+    return streamed(points, key, ["point_id", "y"], kernel, _key_schema(points, key) + ", point_id long, row_no int", ["y", "point_id"])
 
 
 def leader_kernel(hashes: Sequence[int], least: float, bits: int = 32) -> list[int]:
