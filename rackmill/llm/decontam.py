@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .words import U, hashes, mix, parts, raw
 
-#: Weight 7 or 8 of 11 positions; every two substitutions that are three or more apart leave a mask whole somewhere in 16 tokens.
-MASKS = ("11101001111", "11110010111", "11011101011", "11111111000", "00011111111")
+#: Six of eleven positions each. Whatever two of 13 tokens, three of 16 or four of 20 are substituted, a mask fits somewhere between them.
+MASKS = ("11111100000", "00000111111", "11100111000", "00011100111", "11001100110", "10110011001", "11010010110")
 SPAN = 11
 LEAST, COVER, SUBSTITUTED, SHORTEST = 13, 0.8, 0.2, 4
 BLOCK_TOKENS = 2_000_000

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips or held-out labels, and on awkward rows."""
 
+import itertools
 import random
 import re
 import zlib
@@ -447,6 +448,12 @@ def test_overlaps_with_substitutions(spark):
     assert decontam.clean(d, i).columns == d.columns and decontam.clean(d, i).count() == sum(not v for v in want.values())
 
 
+@pytest.mark.parametrize(("n", "k"), [(13, 2), (16, 3), (20, 4)])
+def test_masks_miss_no_pattern_of_substitutions(n, k):
+    for lost in itertools.combinations(range(n), k):
+        assert any(all(c == "0" or o + i not in lost for i, c in enumerate(m)) for m in decontam.MASKS for o in range(n - decontam.SPAN + 1))
+
+
 def test_best_stretch():
     f = lambda s: decontam.best_stretch(np.array([c == "1" for c in s]))
     assert f("") == 0 and f("000") == 0 and f("0001110") == 3 and f("111111111101111111111") == 21 and f("1110001") == 3
