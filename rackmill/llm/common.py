@@ -25,19 +25,21 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and survives lost executors."""
+def materialize(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut and survives lost executors. The path is added to `made`, for drop()."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes what materialize() wrote for df."""
+def drop(spark: SparkSession, made: list[str]) -> None:
+    """Deletes what materialize() wrote; nothing that is read later may depend on it."""
     jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import drop, materialize, small
 from .words import U, mix, parts, word_hashes
 
 WORDS = 5
@@ -221,10 +221,10 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
     """node, root (the smallest reachable node) for all nodes of the edges (a, b), by alternating large stars and small stars until nothing changes."""
     spark = edges.sparkSession
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", made)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -232,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        e = materialize(star, "edges")
+        e = materialize(star, "edges", made)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == seen:
             break
@@ -247,7 +247,7 @@ def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(small(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
-def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, text_col: str = "text", made: list[str] | None = None) -> DataFrame:
     """Links (a, b) between nodes that connect exactly what all links connect."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col))
 
@@ -257,11 +257,11 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     one = Window.partitionBy("token")
     prefixes = docs.select(text_col).mapInArrow(emit, "token long, node long, n int")
     met = prefixes.select("*", F.min("node").over(one).alias("lo"), F.max("node").over(one).alias("hi"), F.count("*").over(one).alias("size")).filter("lo <> hi")
-    rows = materialize(met.select("token", "node", "n", "size").distinct(), "rows")  # a token's rows are in one task by now
+    rows = materialize(met.select("token", "node", "n", "size").distinct(), "rows", made)  # a token's rows are in one task by now
     # how common a node's tokens are: of many near copies, the text that they were made from comes first
-    nodes = materialize(rows.groupBy("node", "n").agg((F.sum("size") * 1000 / F.col("n")).cast("long").alias("common")), "nodes")
+    nodes = materialize(rows.groupBy("node", "n").agg((F.sum("size") * 1000 / F.col("n")).cast("long").alias("common")), "nodes", made)
     text = described(docs.select(F.col(text_col).alias("text")), "text").select("text", F.col("_set.node").alias("node"))
-    texts = materialize(text.join(small(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = materialize(text.join(small(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts", made)
 
     found, roots, homes = None, None, None
     known_rows = rows.select("token", "node", "n").join(small(nodes.select("node", "common")), "node")
@@ -271,33 +271,33 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
         led = _labelled(known_rows, roots).withColumn("lead", F.max(key).over(one)).filter("lead.comp <> comp")
         counted = led.groupBy("node", "n", F.col("lead.node").alias("b"), F.col("lead.n").alias("m")).count()
         best = counted.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").groupBy("node", "n").agg(F.max(F.struct("count", "b")).alias("x"))
-        best = materialize(best.select("node", "n", "x.b", "x.count"), "best")
+        best = materialize(best.select("node", "n", "x.b", "x.count"), "best", made)
         homes = best.select("node", F.col("b").alias("home")) if homes is None else homes
         asked = best.filter(f"8 * count >= n - ceil({NUM} * n / {DEN}) + 1")
-        new = materialize(verify(asked.select(F.col("node").alias("a"), "b"), texts), "links")
+        new = materialize(verify(asked.select(F.col("node").alias("a"), "b"), texts), "links", made)
         found = new if found is None else found.unionByName(new)
-        roots = materialize(components(found), "roots")
+        roots = materialize(components(found, made), "roots", made)
 
     r = _labelled(rows.select("token", "node", "n"), roots).withColumns({"lo": F.min("comp").over(one), "hi": F.max("comp").over(one)}).filter("lo <> hi")
-    r = materialize(r.select("token", "node", "n", "comp"), "open")
+    r = materialize(r.select("token", "node", "n", "comp"), "open", made)
     # groups: nodes that met the same leader most, by component and size, GROUP at a time; in hashed blocks, so that no window holds a very large group
     members = r.select("node", "n", "comp").distinct().join(small(homes), "node", "left").withColumn("home", F.coalesce("home", "node"))
     sizes = members.groupBy("home").agg(F.count("*").alias("size"))
     members = members.join(small(sizes), "home").withColumn("sub", F.expr(f"pmod(xxhash64(node), cast(ceil(size / {64 * GROUP}) as bigint))"))
     rank = F.row_number().over(Window.partitionBy("home", "sub").orderBy("comp", "n", "node"))
     members = members.withColumn("k", F.floor((rank - 1) / GROUP)).withColumn("g", F.xxhash64("home", "sub", "k")).select("node", "n", "comp", "g")
-    members = materialize(members, "members")
+    members = materialize(members, "members", made)
     bounds = members.groupBy("g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    bounds = materialize(bounds.withColumn("pure", (F.col("c0") == F.col("c1")).cast("int")), "bounds")
+    bounds = materialize(bounds.withColumn("pure", (F.col("c0") == F.col("c1")).cast("int")), "bounds", made)
     matrix = r.select("token", "node").join(members.select("node", "g"), "node").select("token", "g").distinct().join(small(bounds), "g")
     own = members.select("node", "g").join(small(bounds.select("g", "pure")), "g").select("node", F.col("g").alias("own"), F.col("pure").alias("own_pure"))
     # nodes of groups of several components ask first, nodes of one component never ask its own groups; each pair of groups is asked from one side
     pair = r.join(own, "node").join(matrix, "token").filter("not (pure = 1 and c0 = comp) and (own_pure < pure or (own_pure = pure and own <= g))").filter(f"{DEN} * n >= {NUM} * n0 and {NUM} * n <= {DEN} * n1")
     need = f"ceil({NUM} * (n + n0) / {NUM + DEN}) - ceil({NUM} * greatest(n, n1) / {DEN}) + 1"
-    asked = materialize(pair.groupBy("node", "n", "own", "g", "n0", "n1").count().filter(f"count >= {need}").select("own", "g").distinct(), "asked")
+    asked = materialize(pair.groupBy("node", "n", "own", "g", "n0", "n1").count().filter(f"count >= {need}").select("own", "g").distinct(), "asked", made)
     wanted = asked.select(F.explode(F.array("own", "g")).alias("g")).distinct()
     rows = members.join(small(wanted), "g", "left_semi").join(texts, "node").groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("rows"))
-    unions = materialize(rows.mapInArrow(_grouped, "g long, tokens binary, bits binary, members array<long>, sizes array<long>"), "unions")
+    unions = materialize(rows.mapInArrow(_grouped, "g long, tokens binary, bits binary, members array<long>, sizes array<long>"), "unions", made)
     asking = unions.withColumnsRenamed({c: f"own_{c}" for c in ("tokens", "bits", "members", "sizes")}).withColumnRenamed("g", "own")
     columns = [f"{o}{c}" for o in ("own_", "") for c in ("tokens", "bits", "members", "sizes")]
     opened = asked.join(asking, "own").join(unions, "g").select(columns).mapInArrow(_opened, "a long, b long")
@@ -308,11 +308,14 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     """doc_id, n_shingles, node of each row; and node, component_id, root of each node."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(described(d, "text").select("doc_id", F.col("_set.n").alias("n_shingles"), F.col("_set.node").alias("node")), "sets")
-    roots = materialize(components(links(d)), "roots")
+    made: list[str] = []
+    roots = components(links(d, made=made), made)
     own = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     own = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id", "root")
-    return sets, materialize(named, "named")
+    named = materialize(named, "named")
+    drop(docs.sparkSession, made)
+    return sets, named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
