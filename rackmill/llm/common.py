@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: spark.checkpoint.dir, or one of our own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -26,10 +29,16 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and survives lost executors. The path is added to `made`, for drop()."""
+    """Writes df to the shared folder and reads it back: lineage is cut and survives lost executors, and the shuffle files
+    of the writing job go when it ends. The path is added to `made`, for drop()."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if made is not None:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,6 +44,8 @@ GROUP = 64
 ROUNDS = 2
 #: A token is frequent from so many nodes on; the order knows the most frequent KNOWN of them.
 FREQUENT, KNOWN = 32, 1_000_000
+#: Groups may be broadcast up to this size.
+BROADCAST_BYTES = 40 << 20
 _MULT = [U(pow(0xD1342543DE82EF95, k + 1, 2**64)) for k in range(64)]
 
 
@@ -163,26 +165,51 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of at most GROUP members (node, text): the union of their tokens and for each token a bit for each member (none for a single member)."""
+    """Lists of at most GROUP members (node, text): the union of their tokens and for each token a bit for each member; for a single member its text, which is shorter."""
     for batch in batches:
-        g, union, bits, members, sizes = [], [], [], [], []
+        g, union, bits, members, sizes, alone = [], [], [], [], [], []
         for group, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sets = [shingle_sets(pa.array([r["text"]]))[0] for r in rows]
-            every, inv = np.unique(np.concatenate(sets), return_inverse=True)
-            own = np.zeros(len(every) if len(sets) > 1 else 0, np.uint64)
-            if len(sets) > 1:
-                np.bitwise_or.at(own, inv, np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets]))
             g.append(group)
+            members.append([r["node"] for r in rows])
+            alone.append(rows[0]["text"] if len(rows) == 1 else None)
+            if len(rows) == 1:
+                union.append(None)
+                bits.append(None)
+                sizes.append(None)
+                continue
+            sets = [s for part in parts(pa.array([r["text"] for r in rows])) for s in shingle_sets(part)]
+            every, inv = np.unique(np.concatenate(sets), return_inverse=True)
+            own = np.zeros(len(every), np.uint64)
+            np.bitwise_or.at(own, inv, np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets]))
             union.append(every.tobytes())
             bits.append(own.tobytes())
-            members.append([r["node"] for r in rows])
             sizes.append([len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(union, pa.binary()), pa.array(bits, pa.binary()), pa.array(members, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], names=["g", "tokens", "bits", "members", "sizes"])
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(union, pa.binary()), pa.array(bits, pa.binary()), pa.array(members, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64())), pa.array(alone, pa.string())], names=["g", *_GROUP])
+
 
+_GROUP = ("tokens", "bits", "members", "sizes", "text")
 
-def _holds(bits: bytes, at: np.ndarray, members: int) -> np.ndarray:
+
+def _unpacked(batch: pa.RecordBatch, prefix: str, name: str) -> Iterator[tuple[np.ndarray, bytes | None, list[int], np.ndarray]]:
+    """Tokens, bits, members and their sizes of the group on one side of each row; equal neighbours are worked out once."""
+    tokens, bits, members, sizes, text = (batch.column(f"{prefix}{c}") for c in _GROUP)
+    ids = batch.column(name).to_numpy()
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
+    sets = iter([s for part in parts(text.take(pa.array(first))) for s in shingle_sets(part)])
+    ends = [*first[1:].tolist(), len(ids)]
+    for a, b in zip(first.tolist(), ends, strict=True):
+        s = next(sets)
+        if not tokens[a].is_valid:
+            found = s, None, members[a].as_py(), np.array([len(s)])
+        else:
+            found = np.frombuffer(tokens[a].as_buffer(), U), bits[a].as_py(), members[a].as_py(), np.array(sizes[a].as_py())
+        for _ in range(b - a):
+            yield found
+
+
+def _holds(bits: bytes | None, at: np.ndarray, members: int) -> np.ndarray:
     """Which members hold the tokens at these places of a group: a row for each token."""
-    if members == 1:
+    if bits is None:
         return np.ones((len(at), 1), np.float32)
     return ((np.frombuffer(bits, np.uint64)[at][:, None] >> np.arange(members, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
 
@@ -207,11 +234,11 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of groups. The other group's union bounds the overlap of each member; if a member reaches the bound, the group is opened."""
     for batch in batches:
         left, right = [], []
-        cols = [c.to_pylist() for c in batch.columns]
-        for t1, b1, m1, n1, t2, b2, m2, n2 in zip(*cols, strict=True):
-            x, y = np.frombuffer(t1, U), np.frombuffer(t2, U)
+        for (x, b1, m1, sizes), (y, b2, m2, others) in zip(_unpacked(batch, "own_", "own"), _unpacked(batch, "", "g"), strict=True):
             _, i, k = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-            own, sizes, others = _holds(b1, i, len(m1)), np.array(n1), np.array(n2)
+            if DEN * len(i) < NUM * sizes.min():
+                continue
+            own = _holds(b1, i, len(m1))
             if not (DEN * own.sum(0) >= NUM * sizes).any():
                 continue
             both = own.T @ _holds(b2, k, len(m2))
@@ -297,9 +324,12 @@ def links(docs: DataFrame, text_col: str = "text", made: list[str] | None = None
     asked = materialize(pair.groupBy("node", "n", "own", "g", "n0", "n1").count().filter(f"count >= {need}").select("own", "g").distinct(), "asked", made)
     wanted = asked.select(F.explode(F.array("own", "g")).alias("g")).distinct()
     rows = members.join(small(wanted), "g", "left_semi").join(texts, "node").groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("rows"))
-    unions = materialize(rows.mapInArrow(_grouped, "g long, tokens binary, bits binary, members array<long>, sizes array<long>"), "unions", made)
-    asking = unions.withColumnsRenamed({c: f"own_{c}" for c in ("tokens", "bits", "members", "sizes")}).withColumnRenamed("g", "own")
-    columns = [f"{o}{c}" for o in ("own_", "") for c in ("tokens", "bits", "members", "sizes")]
+    unions = materialize(rows.mapInArrow(_grouped, "g long, tokens binary, bits binary, members array<long>, sizes array<long>, text string"), "unions", made)
+    asking = unions.withColumnsRenamed({c: f"own_{c}" for c in _GROUP}).withColumnRenamed("g", "own")
+    columns = ["own", "g", *(f"{o}{c}" for o in ("own_", "") for c in _GROUP)]
+    size = unions.agg(F.sum(F.coalesce(F.octet_length("tokens"), F.lit(0)) + F.coalesce(F.octet_length("bits"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # else both joins shuffle
+        asking, unions = F.broadcast(asking), F.broadcast(unions)
     opened = asked.join(asking, "own").join(unions, "g").select(columns).mapInArrow(_opened, "a long, b long")
     return found.unionByName(opened.filter("a <> b"))
 
