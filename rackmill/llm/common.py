@@ -33,7 +33,7 @@ def materialize(df: DataFrame, name: str, made: list[str] | None = None) -> Data
     of the writing job go when it ends. The path is added to `made`, for drop()."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
