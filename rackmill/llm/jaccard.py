@@ -299,8 +299,9 @@ def links(docs: DataFrame, text_col: str = "text", made: list[str] | None = None
         counted = led.groupBy("node", "n", F.col("lead.node").alias("b"), F.col("lead.n").alias("m")).count()
         best = counted.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").groupBy("node", "n").agg(F.max(F.struct("count", "b")).alias("x"))
         best = materialize(best.select("node", "n", "x.b", "x.count"), "best", made)
-        homes = best.select("node", F.col("b").alias("home")) if homes is None else homes
         asked = best.filter(f"8 * count >= n - ceil({NUM} * n / {DEN}) + 1")
+        if homes is None:  # only what shares a good part of its prefix: the union of unlike nodes would bound nothing
+            homes = best.filter(f"3 * count >= n - ceil({NUM} * n / {DEN}) + 1").select("node", F.col("b").alias("home"))
         new = materialize(verify(asked.select(F.col("node").alias("a"), "b"), texts), "links", made)
         found = new if found is None else found.unionByName(new)
         roots = materialize(components(found, made), "roots", made)
