@@ -7,8 +7,7 @@ are hashed at every position with every mask; documents join the items on (mask,
 
 Around each hit the document is aligned with the item token by token, without gaps. On this diagonal the
 best stretch is taken: the longest that begins and ends with equal tokens and whose substitutions are
-at most SUBSTITUTED of its tokens in every part reached (each substitution must be paid for by equal tokens on both
-sides). The document is contaminated if a stretch has at least LEAST tokens, or covers at least
+at most SUBSTITUTED of its tokens. The document is contaminated if a stretch has at least LEAST tokens, or covers at least
 COVER of an item shorter than that (items of fewer tokens than SPAN are compared whole).
 
 The index of the items (hashes and tokens) is built on the driver in blocks of at most BLOCK_TOKENS tokens, so what is
@@ -29,10 +28,11 @@ from pyspark.sql import functions as F
 
 from .words import U, hashes, mix, parts, raw
 
-#: Six of eleven positions each. Whatever two of 13 tokens, three of 16 or four of 20 are substituted, a mask fits somewhere between them.
-MASKS = ("11111100000", "00000111111", "11100111000", "00011100111", "11001100110", "10110011001", "11010010110")
+#: Six or seven of eleven positions each. In every stretch of LEAST tokens or more with at most SUBSTITUTED of them substituted a mask fits somewhere.
+MASKS = ("11111100000", "00000111111", "11100111000", "00011100111", "11001100110", "10110011001", "11010010110", "11101000111")
 SPAN = 11
 LEAST, COVER, SUBSTITUTED, SHORTEST = 13, 0.8, 0.2, 4
+_COST = round((1 - SUBSTITUTED) / SUBSTITUTED)  # equal tokens that one substitution needs
 BLOCK_TOKENS = 2_000_000
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -143,14 +143,15 @@ class Index:
 
 
 def best_stretch(same: np.ndarray) -> int:
-    """Length of the longest stretch found by paying for substitutions: an equal token earns SUBSTITUTED, another costs 1 - SUBSTITUTED."""
-    if not same.any():
+    """Length of the longest stretch that begins and ends with an equal token and has at most SUBSTITUTED others: an equal token earns 1, another costs _COST."""
+    at = np.flatnonzero(same)
+    if not len(at):
         return 0
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, SUBSTITUTED, SUBSTITUTED - 1.0))])
-    low = np.minimum.accumulate(score)
-    end = int((score - low).argmax())
-    begin = int(np.flatnonzero(score[: end + 1] == low[end])[0]) if end else 0
-    return end - begin
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -_COST))])
+    low = np.minimum.accumulate(score[at])
+    # for each end the first begin whose score isn't above the end's
+    first = at[np.searchsorted(-low, -score[at + 1])]
+    return int((at + 1 - first).max())
 
 
 def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_TOKENS) -> Iterator[Index]:

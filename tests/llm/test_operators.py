@@ -459,6 +459,27 @@ def test_best_stretch():
     assert f("") == 0 and f("000") == 0 and f("0001110") == 3 and f("111111111101111111111") == 21 and f("1110001") == 3
 
 
+def test_best_stretch_is_the_longest():
+    def longest(s):
+        return max((b - a for a in range(len(s)) for b in range(a + 1, len(s) + 1) if s[a] and s[b - 1] and 5 * (b - a - sum(s[a:b])) <= b - a), default=0)
+
+    rng = random.Random(10)
+    for n in (1, 5, 13, 20, 60):
+        for p in (0.3, 0.7, 0.85):
+            for _ in range(60):
+                s = [rng.random() < p for _ in range(n)]
+                assert decontam.best_stretch(np.array(s)) == longest(s)
+
+
+@pytest.mark.parametrize(("n", "k"), [(13, 2), (15, 3), (16, 3), (20, 4)])
+def test_verdict_on_all_patterns_of_substitutions(n, k):
+    """Any k of n tokens inside, with other tokens around the passage in the item and in the document."""
+    item = [f"w{i}" for i in range(n + 20)]
+    index = decontam.Index([(1, " ".join(item))])
+    texts = [" ".join("x" if i < 10 or i >= n + 10 or i - 10 in lost else t for i, t in enumerate(item)) for lost in itertools.combinations(range(1, n - 1), k)]
+    assert index.overlaps(pa.array(texts)) == [{0: n}] * len(texts)
+
+
 # ---- pipeline ----
 
 
