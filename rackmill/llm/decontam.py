@@ -3,12 +3,13 @@
 Tokens are runs of letters and digits (ASCII, lower-cased, and every byte of a further character), so
 case, punctuation and white space don't matter. A seed is a fixed mask over SPAN neighbouring tokens;
 positions with 0 are ignored, so a hit survives a substituted token there. Test items and documents
-are hashed at every position with every mask; documents join the items on (mask, hash).
+are hashed at every position with every mask; documents join the items on (mask, hash). Items of which COVER
+is fewer than LEAST tokens have the masks of SHORT_MASKS as well.
 
 Around each hit the document is aligned with the item token by token, without gaps. On this diagonal the
 best stretch is taken: the longest that begins and ends with equal tokens and whose substitutions are
 at most SUBSTITUTED of its tokens. The document is contaminated if a stretch has at least LEAST tokens, or covers at least
-COVER of an item shorter than that (items of fewer tokens than SPAN are compared whole).
+COVER of an item of which that is fewer.
 
 The index of the items (hashes and tokens) is built on the driver in blocks of at most BLOCK_TOKENS tokens, so what is
 broadcast at once is bounded; each further block is a further pass over the documents.
@@ -31,6 +32,9 @@ from .words import U, hashes, mix, parts, raw
 #: Six or seven of eleven positions each. In every stretch of LEAST tokens or more with at most SUBSTITUTED of them substituted a mask fits somewhere.
 MASKS = ("11111100000", "00000111111", "11100111000", "00011100111", "11001100110", "10110011001", "11010010110", "11101000111")
 SPAN = 11
+#: The same for stretches of SHORTEST tokens or more.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+_EVERY = MASKS + SHORT_MASKS
 LEAST, COVER, SUBSTITUTED, SHORTEST = 13, 0.8, 0.2, 4
 _COST = round((1 - SUBSTITUTED) / SUBSTITUTED)  # equal tokens that one substitution needs
 BLOCK_TOKENS = 2_000_000
@@ -58,17 +62,22 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds(t: np.ndarray, mask: int) -> np.ndarray:
-    """The hash at every position, len(t) - SPAN + 1 of them."""
-    n = len(t) - SPAN + 1
+    """The hash at every position at which the mask fits in."""
+    n = len(t) - len(_EVERY[mask]) + 1
     if n <= 0:
         return np.zeros(0, U)
     total = np.full(n, (mask + 1) * 0x9E3779B97F4A7C15 % 2**64, U)
-    for k, c in enumerate(MASKS[mask]):
+    for k, c in enumerate(_EVERY[mask]):
         if c == "1":
             total += t[k : k + n] * _MULT[k]
     return mix(total)
 
 
+def _is_short(n: int | np.ndarray) -> bool | np.ndarray:
+    """Whether COVER of an item of n tokens is fewer than LEAST."""
+    return COVER * n < LEAST
+
+
 class Index:
     """Items (id, text): seed hashes with the places they stand at, and all tokens."""
 
@@ -82,13 +91,10 @@ class Index:
             if len(own) < SHORTEST:
                 continue
             base = self.starts[-1]
-            for m in range(len(MASKS)):
+            for m in range(len(_EVERY) if _is_short(len(own)) else len(MASKS)):
                 h = seeds(own, m)
                 hs.append(h)
                 places.append(base + np.arange(len(h)))
-            if len(own) < SPAN:  # compared whole, from its first tokens on
-                hs.append(mix(own[:1] * _MULT[0] + own[1:2] * _MULT[1] + own[2:3] * _MULT[2] + own[3:4] * _MULT[3]))
-                places.append(np.array([base]))
             self.ids.append(item)
             every.append(own)
             self.starts.append(base + len(own))
@@ -97,18 +103,15 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.hashes, self.places = h[order], p[order]
         self.starts = np.array(self.starts)
-        self.short = any(b - a < SPAN for a, b in zip(self.starts[:-1], self.starts[1:], strict=True))
+        self.short = bool(_is_short(np.diff(self.starts)).any())
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
 
     def hits(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the texts and places in the items with a common seed."""
         docs, items = [], []
-        for m in range(len(MASKS) + self.short):
-            if m < len(MASKS):
-                h = seeds(t, m)
-            else:
-                h = mix(t[:-3] * _MULT[0] + t[1:-2] * _MULT[1] + t[2:-1] * _MULT[2] + t[3:] * _MULT[3]) if len(t) > 3 else np.zeros(0, U)
+        for m in range(len(_EVERY) if self.short else len(MASKS)):
+            h = seeds(t, m)
             at = np.flatnonzero(self.filter[(h >> U(64 - _FILTER_BITS)).astype(np.int64)])
             if not len(at) or not len(self.hashes):
                 continue
@@ -137,7 +140,7 @@ class Index:
             if hi - lo < SHORTEST:
                 continue
             n = best_stretch(t[lo + shift : hi + shift] == self.tokens[lo:hi])
-            if n >= LEAST or n >= COVER * (b - a) and n >= SHORTEST and b - a < LEAST / COVER:
+            if n >= LEAST or n >= COVER * (b - a) and n >= SHORTEST and _is_short(b - a):
                 out[d][int(i)] = max(n, out[d].get(int(i), 0))
         return out
 

@@ -480,6 +480,23 @@ def test_verdict_on_all_patterns_of_substitutions(n, k):
     assert index.overlaps(pa.array(texts)) == [{0: n}] * len(texts)
 
 
+@pytest.mark.parametrize("n", range(4, 17))
+def test_short_items_with_substitutions(n):
+    """Every choice of substituted tokens of an item, its ends included, against the rule itself."""
+    item = [f"w{i}" for i in range(n)]
+    index = decontam.Index([(1, " ".join(item))])
+    lost = [x for k in range(min(n, 4) + 1) for x in itertools.combinations(range(n), k)]
+    texts = [" ".join(["x"] * 9 + ["x" if i in x else t for i, t in enumerate(item)] + ["x"] * 9) for x in lost]
+
+    def want(x):
+        kept = [i for i in range(n) if i not in x]
+        m = max((b - a + 1 for a in kept for b in kept if a <= b and 5 * sum(a < i < b for i in x) <= b - a + 1), default=0)
+        return {0: m} if m >= 4 and (m >= 13 or 5 * m >= 4 * n) else {}
+
+    assert index.overlaps(pa.array(texts)) == [want(x) for x in lost]
+    assert n < 5 or all(index.overlaps(pa.array([" ".join("x" if i == k else t for i, t in enumerate(item))]))[0] for k in range(n))
+
+
 # ---- pipeline ----
 
 
