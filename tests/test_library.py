@@ -255,3 +255,79 @@ def test_rack_type_and_ensemble(spark):
     d = spark.createDataFrame([("i", "m1", ["a", "b"], [0.4, 0.6]), ("i", "m2", ["a", "b"], [0.6, 0.4])], "image string, model string, class_names array<string>, probs array<double>")
     assert match.ensemble(d).first()["class"] == "b"
     assert math.isclose(sum(one(spark, sim.softmax(F.array(F.lit(1.0), F.lit(3.0))))), 1)
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """60,000 rows of one group."""
+    i = F.col("id")
+    return spark.range(60_000).select(F.lit(1).alias("image"), F.lit("c").alias("class"), i.alias("det_id"), (i * 31 % 1000 / 1000.0).alias("score"), *(c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), (i * 37 % 960, i * 53 % 560, i * 37 % 960 + 200, i * 53 % 560 + 90), strict=True)))
+
+
+def test_box_operators_take_crowded_images(crowd):
+    p = crowd.toPandas()
+    b, s = p[["x1", "y1", "x2", "y2"]].to_numpy(float), p["score"].to_numpy()
+    got = cluster.soft_nms(crowd).orderBy("keep_order").toPandas()
+    assert got["det_id"].tolist() == cluster.soft_nms_kernel(b, s)[0]
+    assert cluster.suppress_overlaps(crowd).orderBy("keep_order").toPandas()["det_id"].tolist() == cluster.suppress_kernel(b)
+    fused = cluster.box_fusion(crowd).toPandas()
+    assert fused["members"].sum() == len(p) and sorted(fused["score"]) == sorted(x for _, x, _ in cluster.fuse_kernel(b, s))
+
+
+def test_leaders_and_rows_take_crowded_groups(crowd):
+    n = 60_000
+    points = crowd.select("image", F.col("det_id").alias("point_id"), (F.col("det_id") % 40).cast("double").alias("y"))
+    got = cluster.row_cluster(points).orderBy("point_id").toPandas()["row_no"].to_numpy()
+    want = cluster.rows_kernel(sorted(k % 40 for k in range(n)))
+    assert len(got) == n and sorted(got) == sorted(want) and [got[k] for k in range(40)] == want[:: n // 40]
+    crops = crowd.select("class", F.col("det_id").alias("crop_id"), (F.col("det_id") * 2654435761 % 4294967296).alias("phash"))
+    groups = cluster.leader_cluster(crops, ["class"], 0.6).orderBy("crop_id").toPandas()["group_no"].tolist()
+    assert groups == cluster.leader_kernel([k * 2654435761 % 4294967296 for k in range(n)], 0.6)
+
+
+def test_matches_of_crowded_jobs(spark, crowd):
+    """Against the rule itself, with images that straddle batches."""
+    i = F.col("det_id")
+    rows = crowd.select(F.lit("j").alias("job"), F.format_string("img%06d", (i / 7).cast("int")).alias("image"), (i % 7).alias("ord"), F.format_string("v%d", i * 31 % 9973 % 600).alias("vendor"), F.format_string("r%d", i).alias("ref"), (i * 17 % 100 / 100.0).alias("edge"), (i * 29 % 37 / 37.0).alias("feature"))
+    seen, want = {}, {}
+    for image, own in rows.toPandas().sort_values(["image", "ord"]).groupby("image"):
+        scores = [0.55 * r.edge + 0.45 * (r.feature + 1) / 2 - 0.05 * seen.get(r.vendor, 0) for r in own.itertuples()]
+        k = int(np.argmax(scores))
+        score, v = scores[k], own["vendor"].iloc[k]
+        if score >= 0.25:
+            want[image] = score
+            seen[v] = seen.get(v, 0) + 1
+    got = cluster.penalised_match(rows).toPandas()
+    assert dict(zip(got["image"], got["score"], strict=True)) == pytest.approx(want, abs=1e-6)
+
+
+def test_composite_clusters_of_crowded_classes(spark):
+    """30,000 crops, each a near copy of the first of its hundred; the pairs name the two in either order."""
+    e = spark.range(30_000).select(F.lit("c").alias("class"), F.col("id"), (F.col("id") - F.col("id") % 100).alias("lead"))
+    near = e.filter("id <> lead").select("class", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("lead")).alias("a"), F.when(F.col("id") % 2 == 0, F.col("lead")).otherwise(F.col("id")).alias("b"), F.lit(0.9).alias("score"))
+    pairs = near.unionByName(e.select("class", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score")))
+    got = cluster.composite_cluster(pairs).orderBy("crop_id").toPandas()
+    assert got["crop_id"].tolist() == list(range(30_000)) and got["group_no"].tolist() == [k // 100 for k in range(30_000)]
+
+
+@given(boxes, st.integers(1, 6))
+@settings(max_examples=40)
+def test_box_kernels_are_the_nested_loop(rows, scale):
+    """Many copies of the boxes side by side, so that cells come in, against all pairs."""
+    b = np.array([[x * scale + 90 * j, y * scale, x * scale + w + 90 * j, y * scale + h] for j in range(12) for x, y, w, h, _ in rows], float)
+    s = np.array([r[4] / 100 for _ in range(12) for r in rows])
+    iou = lambda k: cluster._ious(b, k, np.arange(len(b)))
+    live, now, keep = np.ones(len(b), bool), s.copy(), []
+    while live.any() and np.where(live, now, -1).max() >= 0.001:
+        k = int(np.where(live, now, -1).argmax())
+        keep.append(k)
+        live[k] = False
+        now = np.where(live, now * np.exp(-(iou(k) ** 2) / 0.5), now)
+    assert cluster.soft_nms_kernel(b, s)[0] == keep
+    used, members = np.zeros(len(b), bool), []
+    for k in np.argsort(-s, kind="stable"):
+        if not used[k]:
+            own = ~used & (iou(k) >= 0.3)
+            used |= own
+            members.append(np.flatnonzero(own).tolist())
+    assert [m for _, _, m in cluster.fuse_kernel(b, s)] == members
