@@ -79,13 +79,15 @@ def gallery(inventory: DataFrame, folder: str, aliases: DataFrame) -> DataFrame:
 
 
 def resolve_folder(folders: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Each wanted id with its folder: equal, job_ and the id, or a prefix; of equals the last by name. folders: name; wanted: job_id."""
+    """Each wanted id with its folder: equal, job_ and the id, or a prefix with or without job_; of equals the last by name. folders: name; wanted: job_id."""
     keys = wanted.select("job_id").distinct()
     exact = keys.join(folders, F.col("job_id") == F.col("name")).select("job_id", "name", F.lit(0).alias("prio"))
     named = keys.join(folders, F.concat(F.lit("job_"), F.col("job_id")) == F.col("name")).select("job_id", "name", F.lit(1).alias("prio"))
-    # a prefix is an equality on the first eight characters and a check of the rest
-    head = F.substring("name", 1, 8)
-    prefix = keys.filter(F.length("job_id") >= 8).join(folders.withColumn("_h", head), F.substring("job_id", 1, 8) == F.col("_h")).filter(F.col("name").startswith(F.col("job_id"))).select("job_id", "name", F.lit(2).alias("prio"))
+    # a prefix is an equality on the first eight characters, or all of a shorter id, and a check of the rest
+    rest = F.explode(F.when(F.col("name").startswith("job_"), F.array("name", F.substr("name", F.lit(5)))).otherwise(F.array("name")))
+    rests = folders.select("name", rest.alias("_r")).filter("_r <> ''")
+    heads = rests.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("_r"), F.lit(8))))).withColumn("_h", F.substr("_r", F.lit(1), F.col("_n")))
+    prefix = keys.join(heads, F.substring("job_id", 1, 8) == F.col("_h")).filter(F.col("_r").startswith(F.col("job_id"))).select("job_id", "name", F.lit(2).alias("prio"))
     every = exact.unionByName(named).unionByName(prefix)
     w = Window.partitionBy("job_id").orderBy("prio", F.desc("name"))
     return every.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "prio")

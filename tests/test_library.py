@@ -331,3 +331,15 @@ def test_box_kernels_are_the_nested_loop(rows, scale):
             used |= own
             members.append(np.flatnonzero(own).tolist())
     assert [m for _, _, m in cluster.fuse_kernel(b, s)] == members
+
+
+def test_folders_by_prefix(spark):
+    names = ["abc-x", "abc-y", "job_abcdefgh1_2", "job_abcdefgh1_1", "job_", "q", "job_zz9", "zz1", "other"]
+    ids = ["abc", "abcdefgh1", "q", "zz", "zz9", "nope", "job_zz", "abc-y-longer"]
+    got = jobs.resolve_folder(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(i,) for i in ids], "job_id string")).collect()
+
+    def want(i):
+        found = [i] if i in names else [f"job_{i}"] if f"job_{i}" in names else [n for n in names if n.startswith((i, f"job_{i}"))]
+        return max(found, default=None)
+
+    assert {r.job_id: r.name for r in got} == {i: want(i) for i in ids if want(i)} and len(got) == 6
