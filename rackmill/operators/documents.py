@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,19 +81,28 @@ def leaf_labels(leaves: DataFrame, patterns: Sequence[tuple[str, str]], key: str
     return leaves.withColumn("_label", F.explode_outer(own)).groupBy(key).agg(F.array_sort(F.collect_set("_label")).alias("labels"))
 
 
+_LEAVES = "array<struct<path:array<int>,leaf:string>>"
+
+
+def _string_leaves(json_texts: pa.Array) -> pa.Array:
+    out = []
+    for t in json_texts.to_pylist():
+        found, rest = [], [((), json.loads(t))] if t is not None else []
+        while rest:
+            path, v = rest.pop()
+            if isinstance(v, str):
+                found.append({"path": path, "leaf": v})
+            elif isinstance(v, (dict, list)):
+                rest += [((*path, i), x) for i, x in enumerate(v.values() if isinstance(v, dict) else v)][::-1]
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("path", pa.list_(pa.int32())), ("leaf", pa.string())])))
+
+
 def json_leaves(docs: DataFrame, key: str = "doc", text: str = "json") -> DataFrame:
-    """All string leaves of JSON documents, in document order; a corrupt document has none. Depth is that of the documents."""
-    spark = docs.sparkSession
-    docs.select(F.col(key).alias("k"), F.try_parse_json(text).alias("v")).filter("v is not null").createOrReplaceTempView("_json_roots")
-    return spark.sql(f"""
-        with recursive walk(k, path, v) as (
-          select k, cast(array() as array<int>), v from _json_roots
-          union all
-          select w.k, w.path || array(e.pos), e.value from walk w, lateral variant_explode(w.v) e
-          where schema_of_variant(w.v) like 'OBJECT%' or schema_of_variant(w.v) like 'ARRAY%'
-        )
-        select k as {key}, path, cast(v as string) as leaf from walk where schema_of_variant(v) = 'STRING'
-    """)
+    """All string leaves of JSON documents, in document order with the members of an object by name; a corrupt document has none.
+    Each document is walked in its own row, at any number of leaves; Spark's parser calls a document of over about 1,000 levels corrupt."""
+    leaves = F.arrow_udf(_string_leaves, _LEAVES)(F.to_json(F.try_parse_json(text)))
+    return docs.select(F.col(key), F.explode(leaves).alias("_l")).select(key, "_l.path", "_l.leaf")
 
 
 def summary_sentence(units: Column, constant: str = "The rack holds no identified devices.") -> Column:

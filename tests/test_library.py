@@ -343,3 +343,12 @@ def test_folders_by_prefix(spark):
         return max(found, default=None)
 
     assert {r.job_id: r.name for r in got} == {i: want(i) for i in ids if want(i)} and len(got) == 6
+
+
+def test_json_leaves_of_deep_and_many_nodes(spark):
+    deep = '{"a":[' * 60 + '"end"' + "]}" * 60
+    wide = spark.range(11).select(F.concat(F.lit("w"), F.col("id")).alias("doc"), F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('"x"'), 100_000), ","), F.lit("]")).alias("json"))
+    d = wide.unionByName(spark.createDataFrame([("deep", deep), ("top", '"t"'), ("none", None), ("mixed", '{"b": "2", "a": ["1", null, 3, {}, []]}')], "doc string, json string"))
+    got = {r.doc: (r.n, r.first) for r in documents.json_leaves(d).groupBy("doc").agg(F.count("*").alias("n"), F.min(F.struct("path", "leaf")).alias("first")).collect()}
+    assert set(got) == {*(f"w{k}" for k in range(11)), "deep", "top", "mixed"} and sum(n for n, _ in got.values()) == 1_100_004
+    assert list(got["deep"][1].path) == [0] * 120 and got["deep"][1].leaf == "end" and got["top"][1].path == [] and got["mixed"][1].leaf == "1"
