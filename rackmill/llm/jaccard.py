@@ -6,23 +6,25 @@ are one node. Two nodes link when 100 * |A & B| >= 80 * |A | B|.
 1. Every document emits its prefix: the first n - ceil(0.8 n) + 1 tokens in a global order in which
    very frequent tokens come late. Any order gives the same links (linked sets share a prefix
    token); the frequencies only decide how many candidates are looked at. Tokens of one node end here.
-2. Groups. In a few rounds every node is compared with the node it most often meets as the leader
-   of a token, and joined to it if they link: first the node with the most common tokens. Nodes with
-   the same leader, linked or not, are cut into groups of at most GROUP nodes, ordered by component and size.
-3. Matrix. For each token its groups are listed, for each group the union of its members' tokens is
-   stored, with a bit for each member.
-4. A node queries the groups, other than those of its own component alone, that hold at least as
-   many of its prefix tokens as a link needs; the queries of a group's nodes are put together. The
-   overlap of a node with a group's union bounds its overlap with each member; only groups that reach 0.8 of
-   a node's tokens are opened, and members are compared exactly, by one product of the two groups' bits.
+2. Leaders. In rounds every node is compared with the node that it most often meets as the leader
+   of a token, and joined to it if they link: first the node with the most common tokens, later nodes in a random order of the
+   round. Rounds end when few comparisons give links, or after ROUNDS; they only save work, step 4 finds what they miss.
+   Nodes with the same first leader, linked or not, are cut into groups of at most GROUP nodes and about
+   GROUP_TOKENS tokens, ordered by component and size.
+3. Matrix. It has a row for each group and each distinct prefix token of its members, without tokens of one component only;
+   for each group of a pair the union of its members' tokens is stored, with a bit for each member.
+4. The matrix is joined with itself: two groups are a pair if they hold as many prefix tokens in common as the
+   least that a link between any two members needs, and are not both of one component. In a pair, the overlap of a node with
+   the other group's union bounds its overlap with each member; only if some node reaches 0.8 of its tokens are the groups opened,
+   and members are compared exactly, by one product of the two groups' bits.
 5. Components over all links, by large-star / small-star rounds.
 
-No step emits all pairs within a group, collects an unbounded group or drops a candidate. Node and
-token identities are 64-bit hashes; two different ones are equal with probability 2**-64 a pair.
+No step emits all pairs within a group, collects an unbounded group or drops a candidate. Node,
+token and text identities are 64-bit hashes; two different ones are equal with probability 2**-64 a pair.
 
 Defined results: null, empty and word-less texts have n_shingles 0 and are linked with nothing
 (component_id is their own doc_id, or null). Repeated rows are copies and each gets a row. A null doc_id takes part;
-it is never the smallest. Only the id and text columns are read.
+it is never the smallest. Only the id and text columns are read; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -35,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, materialize, small
-from .words import U, mix, parts, word_hashes
+from .words import U, mix, parts, tidy, word_hashes
 
 WORDS = 5
 #: Similarity as a fraction.
 NUM, DEN = 80, 100
 GROUP = 64
-ROUNDS = 2
+GROUP_TOKENS = 1 << 16
+#: At most so many rounds of leaders; they end early when less than one comparison in DRY gives a link.
+ROUNDS, DRY = 6, 8
 #: A token is frequent from so many nodes on; the order knows the most frequent KNOWN of them.
 FREQUENT, KNOWN = 32, 1_000_000
 #: Groups may be broadcast up to this size.
@@ -96,7 +100,7 @@ def _described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def described(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with _set: struct of n (shingles) and node (null if none)."""
-    return docs.withColumn("_set", F.arrow_udf(_described, "n long, node long")(F.col(text_col)))
+    return docs.withColumn("_set", F.arrow_udf(tidy(_described), "n long, node long")(F.col(text_col)))
 
 
 def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
@@ -104,19 +108,21 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
     known, level = frequent
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task are emitted once
         for batch in batches:
             for part in parts(batch.column(0)):
                 nodes, sizes, tokens, ends = [], [], [], [0]
                 for s in shingle_sets(part):
-                    if not len(s):
+                    if not len(s) or (node := node_of(s)) in seen:
                         continue
+                    seen.add(node)
                     if len(known):
                         k = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         own = np.where(known[k] == s, level[k], 0)
                         s2 = s[np.argsort(own, kind="stable")] if own.any() else s
                     else:
                         s2 = s
-                    nodes.append(node_of(s))
+                    nodes.append(node)
                     sizes.append(len(s))
                     tokens.append(s2[: prefix_length(len(s))])
                     ends.append(ends[-1] + len(tokens[-1]))
@@ -127,11 +133,19 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
     return emit
 
 
-def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent prefix tokens (in hash order) and the level, the logarithm, of their frequency: at most KNOWN, so of bounded size."""
+def _frequent(docs: DataFrame, text_col: str, made: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent prefix tokens (in hash order) and the level, the logarithm, of their frequency: from such a level on that they are at most KNOWN, so of bounded size."""
     none = np.zeros(0, U), np.zeros(0, np.int8)
-    counts = docs.select(text_col).mapInArrow(_prefixes(none), "token long, node long, n int").groupBy("token").count().filter(F.col("count") >= FREQUENT)
-    rows = counts.select("token", F.floor(F.log2("count")).cast("byte").alias("level"), "count").orderBy(F.desc("count"), "token").limit(KNOWN).select("token", "level").toArrow()
+    counts = docs.select(text_col).mapInArrow(tidy(_prefixes(none)), "token long, node long, n int").groupBy("token").count().filter(F.col("count") >= FREQUENT)
+    counts = materialize(counts.select("token", F.floor(F.log2("count")).cast("byte").alias("level")), "frequent", made)
+    levels = sorted(counts.groupBy("level").count().collect(), reverse=True)
+    total, least = 0, 64
+    for level, many in levels:
+        total += many
+        if total > KNOWN:
+            break
+        least = level
+    rows = counts.filter(F.col("level") >= least).toArrow()
     tokens, level = rows.column(0).to_numpy().view(U), rows.column(1).to_numpy()
     order = np.argsort(tokens)
     return tokens[order], level[order]
@@ -161,7 +175,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. texts: node, text."""
     t = texts.select("node", "text")
     joined = pairs.select("a", "b").join(t.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(tidy(_verified), "a long, b long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,102 +281,140 @@ def components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame([], "node long, root long") if seen[0] == 0 else e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """rows with comp: the root of each node, or the node."""
-    if roots is None:
-        return rows.withColumn("comp", F.col("node"))
-    return rows.join(small(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+def _of(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
+    """rows joined with `by`, which has each key once: by broadcast if it is small, else shuffled, where Spark splits the rows of frequent keys."""
+    return rows.join(small(by), key)
 
 
-def links(docs: DataFrame, text_col: str = "text", made: list[str] | None = None) -> DataFrame:
-    """Links (a, b) between nodes that connect exactly what all links connect."""
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col))
+def _shared(docs: DataFrame, text_col: str, made: list[str]) -> DataFrame:
+    """token, node, n, size of every prefix token that two or more nodes hold; size counts its nodes. Tokens are counted with partial aggregation and joined back, so that no task gathers the rows of a token."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, made))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _prefixes(frequent.value)(batches)
 
-    one = Window.partitionBy("token")
-    prefixes = docs.select(text_col).mapInArrow(emit, "token long, node long, n int")
-    met = prefixes.select("*", F.min("node").over(one).alias("lo"), F.max("node").over(one).alias("hi"), F.count("*").over(one).alias("size")).filter("lo <> hi")
-    rows = materialize(met.select("token", "node", "n", "size").distinct(), "rows", made)  # a token's rows are in one task by now
+    rows = materialize(docs.select(text_col).mapInArrow(tidy(emit), "token long, node long, n int"), "prefixes", made)
+    frequent.destroy()
+    twice = materialize(rows.groupBy("token").count().filter("count > 1").select("token"), "twice", made)
+    rows = materialize(_of(rows, twice, "token").distinct(), "met", made)
+    sizes = materialize(rows.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "sizes", made)
+    return materialize(_of(rows, sizes, "token"), "rows", made)
+
+
+def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """nodes with comp: the root of each node, or the node."""
+    if roots is None:
+        return nodes.withColumn("comp", F.col("node"))
+    return nodes.join(small(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+
+def _need(a: str, b: str) -> str:
+    """A lower bound of the common prefix tokens of linked sets, of which the larger has at most `a` and the smaller at least `b` tokens: more than 0.8 (a + b) / 1.8 - 0.8 a."""
+    return f"floor(({NUM * DEN} * ({a} + {b}) - {NUM * (NUM + DEN)} * {a}) / {DEN * (NUM + DEN)}) + 1"
+
+
+def links(docs: DataFrame, sets: DataFrame, text_col: str = "text", made: list[str] | None = None) -> DataFrame:
+    """Links (a, b) between nodes that connect exactly what all links connect. sets: node, text_hash of docs."""
+    made = [] if made is None else made
+    rows = _shared(docs, text_col, made)
     # how common a node's tokens are: of many near copies, the text that they were made from comes first
     nodes = materialize(rows.groupBy("node", "n").agg((F.sum("size") * 1000 / F.col("n")).cast("long").alias("common")), "nodes", made)
-    text = described(docs.select(F.col(text_col).alias("text")), "text").select("text", F.col("_set.node").alias("node"))
-    texts = materialize(text.join(small(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts", made)
+    wanted = materialize(_of(sets.select("node", "text_hash"), nodes.select("node"), "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "wanted", made)
+    texts = _of(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), wanted, "text_hash").select("node", "text")
+    texts = materialize(texts.dropDuplicates(["node"]), "texts", made)
 
     found, roots, homes = None, None, None
-    known_rows = rows.select("token", "node", "n").join(small(nodes.select("node", "common")), "node")
     for turn in range(ROUNDS):
-        # the leader of a token: its most common node, later one of another component that comes first in this round's order
-        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h") if turn else F.col("common").alias("h"), "node", "comp", "n")
-        led = _labelled(known_rows, roots).withColumn("lead", F.max(key).over(one)).filter("lead.comp <> comp")
-        counted = led.groupBy("node", "n", F.col("lead.node").alias("b"), F.col("lead.n").alias("m")).count()
-        best = counted.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").groupBy("node", "n").agg(F.max(F.struct("count", "b")).alias("x"))
+        # the leader of a token: its most common node, later one that comes first in this round's order; nodes of the leader's component ask nothing
+        known = _labelled(nodes, roots).withColumn("h", F.xxhash64("node", F.lit(turn)) if turn else F.col("common")).select("node", "n", "comp", "h")
+        met = rows.select("token", "node").join(small(known), "node")
+        lead = met.groupBy("token").agg(F.max(F.struct("h", "node", "comp", "n")).alias("lead"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+        lead = materialize(lead.select("token", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("other")), "lead", made)
+        led = _of(met, lead, "token").filter(f"other <> comp and {DEN} * least(n, m) >= {NUM} * greatest(n, m)")
+        best = led.groupBy("node", "n", "b").count().groupBy("node", "n").agg(F.max(F.struct("count", "b")).alias("x"))
         best = materialize(best.select("node", "n", "x.b", "x.count"), "best", made)
-        asked = best.filter(f"8 * count >= n - ceil({NUM} * n / {DEN}) + 1")
         if homes is None:  # only what shares a good part of its prefix: the union of unlike nodes would bound nothing
             homes = best.filter(f"3 * count >= n - ceil({NUM} * n / {DEN}) + 1").select("node", F.col("b").alias("home"))
-        new = materialize(verify(asked.select(F.col("node").alias("a"), "b"), texts), "links", made)
+        asked = best.filter(f"8 * count >= n - ceil({NUM} * n / {DEN}) + 1").select(F.col("node").alias("a"), "b")
+        tries = asked.count()
+        if not tries:
+            break
+        new = materialize(verify(asked, texts), "links", made)
         found = new if found is None else found.unionByName(new)
-        roots = materialize(components(found, made), "roots", made)
+        if hits := new.count():
+            roots = materialize(components(found, made), "roots", made)
+        if hits * DRY < tries:
+            break
 
-    r = _labelled(rows.select("token", "node", "n"), roots).withColumns({"lo": F.min("comp").over(one), "hi": F.max("comp").over(one)}).filter("lo <> hi")
-    r = materialize(r.select("token", "node", "n", "comp"), "open", made)
-    # groups: nodes that met the same leader most, by component and size, GROUP at a time; in hashed blocks, so that no window holds a very large group
-    members = r.select("node", "n", "comp").distinct().join(small(homes), "node", "left").withColumn("home", F.coalesce("home", "node"))
+    comps = _labelled(nodes, roots).select("node", "n", "comp")
+    r = rows.select("token", "node").join(small(comps), "node")
+    several = materialize(r.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token"), "several", made)
+    r = materialize(_of(r, several, "token"), "open", made)
+    # groups: nodes that met the same leader most, by component and size; in hashed blocks, so that no window holds a very large group
+    members = r.select("node", "n", "comp").distinct()
+    members = (members.withColumn("home", F.col("node")) if homes is None else members.join(small(homes), "node", "left").withColumn("home", F.coalesce("home", "node"))).select("node", "n", "comp", "home")
     sizes = members.groupBy("home").agg(F.count("*").alias("size"))
     members = members.join(small(sizes), "home").withColumn("sub", F.expr(f"pmod(xxhash64(node), cast(ceil(size / {64 * GROUP}) as bigint))"))
-    rank = F.row_number().over(Window.partitionBy("home", "sub").orderBy("comp", "n", "node"))
-    members = members.withColumn("k", F.floor((rank - 1) / GROUP)).withColumn("g", F.xxhash64("home", "sub", "k")).select("node", "n", "comp", "g")
-    members = materialize(members, "members", made)
+    order = Window.partitionBy("home", "sub").orderBy("comp", "n", "node")
+    members = members.withColumns({"k": F.floor((F.row_number().over(order) - 1) / GROUP), "t": F.floor((F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) / GROUP_TOKENS)})
+    members = materialize(members.withColumn("g", F.xxhash64("home", "sub", "k", "t")).select("node", "n", "comp", "g"), "members", made)
     bounds = members.groupBy("g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    bounds = materialize(bounds.withColumn("pure", (F.col("c0") == F.col("c1")).cast("int")), "bounds", made)
-    matrix = r.select("token", "node").join(members.select("node", "g"), "node").select("token", "g").distinct().join(small(bounds), "g")
-    own = members.select("node", "g").join(small(bounds.select("g", "pure")), "g").select("node", F.col("g").alias("own"), F.col("pure").alias("own_pure"))
-    # nodes of groups of several components ask first, nodes of one component never ask its own groups; each pair of groups is asked from one side
-    pair = r.join(own, "node").join(matrix, "token").filter("not (pure = 1 and c0 = comp) and (own_pure < pure or (own_pure = pure and own <= g))").filter(f"{DEN} * n >= {NUM} * n0 and {NUM} * n <= {DEN} * n1")
-    need = f"ceil({NUM} * (n + n0) / {NUM + DEN}) - ceil({NUM} * greatest(n, n1) / {DEN}) + 1"
-    asked = materialize(pair.groupBy("node", "n", "own", "g", "n0", "n1").count().filter(f"count >= {need}").select("own", "g").distinct(), "asked", made)
+    bounds = materialize(bounds.select("g", "n0", "n1", F.when(F.col("c0") == F.col("c1"), F.col("c0")).alias("only")), "bounds", made)  # only: the component of a group of one
+    matrix = r.select("token", "node").join(small(members.select("node", "g")), "node").select("token", "g").distinct()
+    matrix = materialize(matrix.join(small(bounds), "g"), "matrix", made)
+    other = matrix.withColumnsRenamed({"g": "own", "n0": "m0", "n1": "m1", "only": "own_only"})
+    pair = other.join(matrix, "token").filter(f"own < g and (only is null or own_only is null or only <> own_only) and {DEN} * n1 >= {NUM} * m0 and {DEN} * m1 >= {NUM} * n0")
+    need = f"least({_need('n1', 'm0')}, {_need('m1', 'n0')})"
+    asked = pair.groupBy("own", "g", "n0", "n1", "m0", "m1").count().filter(f"count >= {need}").select("own", "g")
+    asked = materialize(asked.unionByName(bounds.filter("only is null").select(F.col("g").alias("own"), "g")), "asked", made)
     wanted = asked.select(F.explode(F.array("own", "g")).alias("g")).distinct()
-    rows = members.join(small(wanted), "g", "left_semi").join(texts, "node").groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("rows"))
-    unions = materialize(rows.mapInArrow(_grouped, "g long, tokens binary, bits binary, members array<long>, sizes array<long>, text string"), "unions", made)
+    rows = texts.join(small(members.join(small(wanted), "g", "left_semi").select("node", "g")), "node").groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("rows"))
+    unions = materialize(rows.mapInArrow(tidy(_grouped), "g long, tokens binary, bits binary, members array<long>, sizes array<long>, text string"), "unions", made)
     asking = unions.withColumnsRenamed({c: f"own_{c}" for c in _GROUP}).withColumnRenamed("g", "own")
     columns = ["own", "g", *(f"{o}{c}" for o in ("own_", "") for c in _GROUP)]
     size = unions.agg(F.sum(F.coalesce(F.octet_length("tokens"), F.lit(0)) + F.coalesce(F.octet_length("bits"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     if size <= BROADCAST_BYTES:  # else both joins shuffle
         asking, unions = F.broadcast(asking), F.broadcast(unions)
-    opened = asked.join(asking, "own").join(unions, "g").select(columns).mapInArrow(_opened, "a long, b long")
-    return found.unionByName(opened.filter("a <> b"))
+    opened = asked.join(asking, "own").join(unions, "g").select(columns).mapInArrow(tidy(_opened), "a long, b long").filter("a <> b")
+    opened = materialize(opened, "links", made)
+    return opened if found is None else found.unionByName(opened)
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles, node of each row; and node, component_id, root of each node."""
+def classes(docs: DataFrame, id_col: str, text_col: str, made: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, node of each row; and node, component_id, root of each node. Both are tables named in `made`."""
+    made = [] if made is None else made
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(described(d, "text").select("doc_id", F.col("_set.n").alias("n_shingles"), F.col("_set.node").alias("node")), "sets")
-    made: list[str] = []
-    roots = components(links(d, made=made), made)
+    sets = described(d, "text").select("doc_id", F.col("_set.n").alias("n_shingles"), F.col("_set.node").alias("node"), F.xxhash64("text").alias("text_hash"))
+    sets = materialize(sets, "sets", made)
+    scratch: list[str] = []
+    roots = components(links(d, sets.filter("node is not null"), made=scratch), scratch)
     own = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    own = own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id", "root")
-    named = materialize(named, "named")
-    drop(docs.sparkSession, made)
-    return sets, named
+    own = materialize(own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "own", scratch)
+    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(own.join(least, "root").select("node", "component_id", "root"), "named", made)
+    drop(docs.sparkSession, scratch)
+    return sets.drop("text_hash"), named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    sets, named = classes(docs, id_col, text_col)
+    made: list[str] = []
+    sets, named = classes(docs, id_col, text_col, made)
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return sets.join(named, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    result = materialize(sets.join(named, "node", "left").select("doc_id", "n_shingles", own.alias("component_id")), "classes")
+    drop(docs.sparkSession, made)
+    return result
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, the one with the smallest id; texts without words all stay.
     Where rows repeat that id, or a component has no id at all, any one of these rows stays."""
-    sets, named = classes(docs, id_col, text_col)
-    rows = sets.filter("node is not null").join(named, "node")
-    lost = rows.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    made: list[str] = []
+    sets, named = classes(docs, id_col, text_col, made)
     if sets.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        rows = sets.filter("node is not null").join(named, "node")
+        lost = materialize(rows.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)), "lost")
+        drop(docs.sparkSession, made)
         return docs.join(small(lost), id_col, "left_anti").select(docs.columns)
     tagged = described(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns}), f"_own_{text_col}").withColumn("_node", F.col("_set.node"))
     joined = tagged.join(named.select(F.col("node").alias("_node"), F.col("component_id").alias("_component"), F.col("root").alias("_root")), "_node", "left")
