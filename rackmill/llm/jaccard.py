@@ -263,10 +263,8 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
-    """node, root (the smallest reachable node) for all nodes of the edges (a, b), by alternating large stars and small stars until nothing changes."""
-    spark = edges.sparkSession
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", made)
-    seen = None
+    """node, root (the smallest reachable node) for all nodes of the edges (a, b), by alternating large stars and small stars until only stars are left. A root has a row too."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -274,11 +272,11 @@ def components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
         e = materialize(star, "edges", made)
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == seen:
+        # a star: whoever has an edge to a smaller node has one only, and that node has none
+        ends = e.groupBy("u").agg(F.count("*").alias("n"))
+        if ends.filter("n > 1").isEmpty() and e.select(F.col("v").alias("u")).join(ends, "u", "left_semi").isEmpty():
             break
-        seen = now
-    return spark.createDataFrame([], "node long, root long") if seen[0] == 0 else e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _of(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
@@ -287,7 +285,7 @@ def _of(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
 
 
 def _shared(docs: DataFrame, text_col: str, made: list[str]) -> DataFrame:
-    """token, node, n, size of every prefix token that two or more nodes hold; size counts its nodes. Tokens are counted with partial aggregation and joined back, so that no task gathers the rows of a token."""
+    """token, node, n, size of every prefix token that two or more nodes hold; size counts the tasks' nodes that hold it. Tokens are counted with partial aggregation and joined back, so that no task gathers the rows of a token."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, made))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,10 +293,9 @@ def _shared(docs: DataFrame, text_col: str, made: list[str]) -> DataFrame:
 
     rows = materialize(docs.select(text_col).mapInArrow(tidy(emit), "token long, node long, n int"), "prefixes", made)
     frequent.destroy()
-    twice = materialize(rows.groupBy("token").count().filter("count > 1").select("token"), "twice", made)
-    rows = materialize(_of(rows, twice, "token").distinct(), "met", made)
-    sizes = materialize(rows.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "sizes", made)
-    return materialize(_of(rows, sizes, "token"), "rows", made)
+    sizes = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    sizes = materialize(sizes.select("token", "size"), "sizes", made)
+    return materialize(_of(rows, sizes, "token").distinct(), "rows", made)
 
 
 def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -313,9 +310,12 @@ def _need(a: str, b: str) -> str:
     return f"floor(({NUM * DEN} * ({a} + {b}) - {NUM * (NUM + DEN)} * {a}) / {DEN * (NUM + DEN)}) + 1"
 
 
-def links(docs: DataFrame, sets: DataFrame, text_col: str = "text", made: list[str] | None = None) -> DataFrame:
-    """Links (a, b) between nodes that connect exactly what all links connect. sets: node, text_hash of docs."""
-    made = [] if made is None else made
+def _edges(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def linked(docs: DataFrame, sets: DataFrame, text_col: str, made: list[str]) -> DataFrame | None:
+    """node and root (the smallest node of its component) of all nodes that link with another; None if none do. sets: node, text_hash of docs."""
     rows = _shared(docs, text_col, made)
     # how common a node's tokens are: of many near copies, the text that they were made from comes first
     nodes = materialize(rows.groupBy("node", "n").agg((F.sum("size") * 1000 / F.col("n")).cast("long").alias("common")), "nodes", made)
@@ -323,14 +323,14 @@ def links(docs: DataFrame, sets: DataFrame, text_col: str = "text", made: list[s
     texts = _of(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), wanted, "text_hash").select("node", "text")
     texts = materialize(texts.dropDuplicates(["node"]), "texts", made)
 
-    found, roots, homes = None, None, None
+    roots, homes = None, None
     for turn in range(ROUNDS):
         # the leader of a token: its most common node, later one that comes first in this round's order; nodes of the leader's component ask nothing
         known = _labelled(nodes, roots).withColumn("h", F.xxhash64("node", F.lit(turn)) if turn else F.col("common")).select("node", "n", "comp", "h")
         met = rows.select("token", "node").join(small(known), "node")
         lead = met.groupBy("token").agg(F.max(F.struct("h", "node", "comp", "n")).alias("lead"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-        lead = materialize(lead.select("token", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("other")), "lead", made)
-        led = _of(met, lead, "token").filter(f"other <> comp and {DEN} * least(n, m) >= {NUM} * greatest(n, m)")
+        lead = lead.select("token", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("other"))
+        led = met.join(lead, "token").filter(f"other <> comp and {DEN} * least(n, m) >= {NUM} * greatest(n, m)")
         best = led.groupBy("node", "n", "b").count().groupBy("node", "n").agg(F.max(F.struct("count", "b")).alias("x"))
         best = materialize(best.select("node", "n", "x.b", "x.count"), "best", made)
         if homes is None:  # only what shares a good part of its prefix: the union of unlike nodes would bound nothing
@@ -340,16 +340,15 @@ def links(docs: DataFrame, sets: DataFrame, text_col: str = "text", made: list[s
         if not tries:
             break
         new = materialize(verify(asked, texts), "links", made)
-        found = new if found is None else found.unionByName(new)
         if hits := new.count():
-            roots = materialize(components(found, made), "roots", made)
+            roots = components(_edges(roots, new), made)
         if hits * DRY < tries:
             break
 
     comps = _labelled(nodes, roots).select("node", "n", "comp")
     r = rows.select("token", "node").join(small(comps), "node")
-    several = materialize(r.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token"), "several", made)
-    r = materialize(_of(r, several, "token"), "open", made)
+    several = r.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
+    r = materialize(r.join(several, "token"), "open", made)
     # groups: nodes that met the same leader most, by component and size; in hashed blocks, so that no window holds a very large group
     members = r.select("node", "n", "comp").distinct()
     members = (members.withColumn("home", F.col("node")) if homes is None else members.join(small(homes), "node", "left").withColumn("home", F.coalesce("home", "node"))).select("node", "n", "comp", "home")
@@ -377,7 +376,7 @@ def links(docs: DataFrame, sets: DataFrame, text_col: str = "text", made: list[s
         asking, unions = F.broadcast(asking), F.broadcast(unions)
     opened = asked.join(asking, "own").join(unions, "g").select(columns).mapInArrow(tidy(_opened), "a long, b long").filter("a <> b")
     opened = materialize(opened, "links", made)
-    return opened if found is None else found.unionByName(opened)
+    return roots if opened.isEmpty() else components(_edges(roots, opened), made)
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, made: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -387,9 +386,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str, made: list[str] | None
     sets = described(d, "text").select("doc_id", F.col("_set.n").alias("n_shingles"), F.col("_set.node").alias("node"), F.xxhash64("text").alias("text_hash"))
     sets = materialize(sets, "sets", made)
     scratch: list[str] = []
-    roots = components(links(d, sets.filter("node is not null"), made=scratch), scratch)
+    roots = linked(d, sets.filter("node is not null"), "text", scratch)
     own = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    own = materialize(own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "own", scratch)
+    own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = materialize(own.join(least, "root").select("node", "component_id", "root"), "named", made)
     drop(docs.sparkSession, scratch)
