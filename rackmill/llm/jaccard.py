@@ -48,6 +48,8 @@ GROUP_TOKENS = 1 << 16
 ROUNDS, DRY = 6, 8
 #: A token is frequent from so many nodes on; the order knows the most frequent KNOWN of them.
 FREQUENT, KNOWN = 32, 1_000_000
+#: Tokens that a task counts at once.
+WINDOW = 1 << 20
 #: Groups may be broadcast up to this size.
 BROADCAST_BYTES = 40 << 20
 _MULT = [U(pow(0xD1342543DE82EF95, k + 1, 2**64)) for k in range(64)]
@@ -133,10 +135,41 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
     return emit
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token and the number of the task's distinct sets that hold it, where there are two or more. Beyond WINDOW tokens at once the rarest are forgotten."""
+    seen: set[int] = set()
+    tokens, counts = np.zeros(0, U), np.zeros(0, np.int64)
+
+    def fold(fresh: list[np.ndarray]) -> None:
+        nonlocal tokens, counts
+        u, c = np.unique(np.concatenate(fresh), return_counts=True)
+        u, at = np.unique(np.concatenate([tokens, u]), return_inverse=True)
+        tokens, counts = u, np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
+        least = 1
+        while len(tokens) > WINDOW:
+            least += 1
+            tokens, counts = tokens[counts >= least], counts[counts >= least]
+
+    fresh, n = [], 0
+    for batch in batches:
+        for part in parts(batch.column(0)):
+            for s in shingle_sets(part):
+                if len(s) and (node := node_of(s)) not in seen:
+                    seen.add(node)
+                    fresh.append(s)
+                    n += len(s)
+            if n > WINDOW:
+                fold(fresh)
+                fresh, n = [], 0
+    if fresh:
+        fold(fresh)
+    twice = counts > 1
+    yield pa.RecordBatch.from_arrays([pa.array(tokens[twice].view(np.int64)), pa.array(counts[twice])], names=["token", "count"])
+
+
 def _frequent(docs: DataFrame, text_col: str, made: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent prefix tokens (in hash order) and the level, the logarithm, of their frequency: from such a level on that they are at most KNOWN, so of bounded size."""
-    none = np.zeros(0, U), np.zeros(0, np.int8)
-    counts = docs.select(text_col).mapInArrow(tidy(_prefixes(none)), "token long, node long, n int").groupBy("token").count().filter(F.col("count") >= FREQUENT)
+    """The most frequent tokens of all sets (in hash order) and the level, the logarithm, of their frequency: from such a level on that they are at most KNOWN, so of bounded size."""
+    counts = docs.select(text_col).mapInArrow(tidy(_counted), "token long, count long").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= FREQUENT)
     counts = materialize(counts.select("token", F.floor(F.log2("count")).cast("byte").alias("level")), "frequent", made)
     levels = sorted(counts.groupBy("level").count().collect(), reverse=True)
     total, least = 0, 64
