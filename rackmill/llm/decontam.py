@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, hashes, mix, parts, raw
+from .common import free
+from .words import U, hashes, mix, parts, raw, tidy
 
 #: Six or seven of eleven positions each. In every stretch of LEAST tokens or more with at most SUBSTITUTED of them substituted a mask fits somewhere.
 MASKS = ("11111100000", "00000111111", "11100111000", "00011100111", "11001100110", "10110011001", "11010010110", "11101000111")
@@ -180,11 +181,13 @@ def _finder(known):
             lists = pa.array([sorted({ids[i] for i in x if ids[i] is not None}) for x in found], pa.list_(pa.int64()))
             yield pa.StructArray.from_arrays([lists, pa.array([max(x.values(), default=0) for x in found], pa.int32())], names=["items", "longest"])
 
-    return F.arrow_udf(find, "items array<long>, longest int")
+    return F.arrow_udf(tidy(find), "items array<long>, longest int")
 
 
-def matched(docs: DataFrame, items: DataFrame, text_col: str = "text", out: str = "_found", item_id: str = "item_id", item_text: str = "text", most: int = BLOCK_TOKENS) -> DataFrame:
-    """docs with a struct of items (array of ids, ascending) and longest (tokens of the longest stretch)."""
+def matched(docs: DataFrame, items: DataFrame, text_col: str = "text", out: str | None = None, item_id: str = "item_id", item_text: str = "text", most: int = BLOCK_TOKENS) -> DataFrame:
+    """docs with a struct, named `out`, else _found, of items (array of ids, ascending) and longest (tokens of the longest stretch). A column of that name goes."""
+    out = out or "_found"
+    docs = docs.drop(out)
     found = F.struct(F.array().cast("array<long>").alias("items"), F.lit(0).cast("int").alias("longest"))
     for k, index in enumerate(blocks(items, item_id, item_text, most)):
         own = f"{out}_{k}"
@@ -206,7 +209,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs without an overlap, with docs' own columns."""
-    return matched(docs, items, text_col).filter("_found.longest = 0").select(docs.columns)
+    out = free(docs, "_found")
+    return matched(docs, items, text_col, out).filter(F.col(f"{out}.longest") == 0).select(docs.columns)
 
 
 __all__ = ["Index", "best_stretch", "blocks", "clean", "decontaminate", "matched"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import parts, raw
+from .words import parts, raw, tidy
 
 OTHERS = 37
 SYMBOLS = 27 + OTHERS
@@ -167,7 +167,7 @@ def fold(col):
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Prototypes of all languages; gathered: at most SYMBOLS**3 whole numbers a language."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~fold(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    summed = rows.mapInArrow(_learned, "lang string, code int, weight long").groupBy("lang", "code").agg(F.sum("weight").alias("weight")).toArrow().sort_by([("lang", "ascending"), ("code", "ascending")])
+    summed = rows.mapInArrow(tidy(_learned), "lang string, code int, weight long").groupBy("lang", "code").agg(F.sum("weight").alias("weight")).toArrow().sort_by([("lang", "ascending"), ("code", "ascending")])
     langs = np.array(summed.column("lang").to_pylist(), object)
     codes, weights = summed.column("code").to_numpy(), summed.column("weight").to_numpy().astype(float)
     return Profiles({k: (codes[langs == k], weights[langs == k]) for k in sorted(set(langs.tolist()))})
@@ -182,7 +182,7 @@ def identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", out:
             lang, score = known.value(batch)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
-    return docs.withColumn(out, F.arrow_udf(predict, "lang_pred string, score double")(F.col(text_col)))
+    return docs.withColumn(out, F.arrow_udf(tidy(predict), "lang_pred string, score double")(F.col(text_col)))
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

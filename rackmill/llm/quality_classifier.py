@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, mix, parts, word_hashes
+from .common import free
+from .words import U, mix, parts, tidy, word_hashes
 
 BUCKETS, DIMS, REACH = 1 << 14, 32, 2
 SAMPLE = 12_000
@@ -79,7 +80,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """BUCKETS rows, whatever the corpus."""
     schema = "bucket int, " + ", ".join(f"{n} double" for n in _DIMS)
-    found = docs.select(text_col).mapInArrow(_contexts, schema).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in _DIMS)).toArrow()
+    found = docs.select(text_col).mapInArrow(tidy(_contexts), schema).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in _DIMS)).toArrow()
     context = np.zeros((BUCKETS, DIMS))
     if found.num_rows:
         context[found.column(0).to_numpy()] = np.stack([found.column(k + 1).to_numpy() for k in range(DIMS)], 1)
@@ -193,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "y", "x"])
                 at += len(part)
 
-    chosen = d.join(F.broadcast(y), "_id").select("_id", "y", "text").mapInArrow(pool, "_id long, y int, x binary")
+    chosen = d.join(F.broadcast(y), "_id").select("_id", "y", "text").mapInArrow(tidy(pool), "_id long, y int, x binary")
     # a document whose id repeats in docs counts once, so the rows are at most `sample`
     got = chosen.groupBy("_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).toArrow().sort_by("_id")
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, -1).astype(float) if got.num_rows else np.zeros((0, 1))
@@ -208,7 +209,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
         for batch in batches:
             yield pa.array(known.value(batch), pa.float64())
 
-    return docs.withColumn(out, F.arrow_udf(score, "double")(F.col(text_col)))
+    return docs.withColumn(out, F.arrow_udf(tidy(score), "double")(F.col(text_col)))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -220,4 +221,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs predicted good, with docs' own columns."""
-    return scored(docs, train(docs, labels, id_col, text_col), text_col, "_quality").filter(F.round("_quality", 9) >= threshold).select(docs.columns)
+    out = free(docs, "_quality")
+    return scored(docs, train(docs, labels, id_col, text_col), text_col, out).filter(F.round(out, 9) >= threshold).select(docs.columns)

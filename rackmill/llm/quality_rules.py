@@ -1,16 +1,18 @@
 """Quality rules and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
 Each document's words and pairs of neighbouring words are hashed into BUCKETS. Two multinomials over the
-buckets, of the trusted documents and of the whole corpus, are estimated from all of them with
+buckets, of the trusted documents and of the whole corpus, are counted over all of them, with
 add-ALPHA smoothing; a document's score is the mean over its n-grams of log(p_trusted / p_corpus).
-It is kept if it passes the base rules and its score is at least the threshold, for every document
-and without any randomness. The trusted target is given as rows; trusted_documents() takes those labelled good.
+No document counts for its own score: texts fall into FOLDS parts by their hash, so that copies are together, and a
+part is scored with the counts of the others. A document is kept if it passes the base rules and its score is at least the
+threshold, for every document and without any randomness. The threshold is the corpus's own: the highest step of
+1 / STEPS that at most LOST of the trusted documents with LEAST_WORDS words or more are below, all scored as any document is.
 
 Base rules: at least 20 words, and at most 30 % of the words in 8-word windows that occur twice or more.
 
 Defined results: null, empty and word-less texts have all measures 0, score 0 and fail the base
-rules. Without trusted n-grams the ratio is 0 everywhere. Repeated rows each get a row; other columns stay or
-are ignored.
+rules. Without trusted n-grams the ratio and the threshold are 0. Repeated rows each get a row; other columns stay or
+are ignored, and may have any names. A null id or a null flag is not trusted.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import free, small
 
 BUCKETS = 1 << 15
 ALPHA = 1.0
-#: Mean log-likelihood ratio from which a document is kept: below every labelled good document that passes the base rules.
-THRESHOLD = -0.1
+FOLDS = 4
+#: Share of the trusted documents that may be below the threshold, and steps in a unit of the score.
+LOST, STEPS = 0.005, 1000
 LEAST_WORDS, WINDOW, REPEATED_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -37,94 +40,123 @@ def let(value: Column, then) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    return let(F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACE)), lambda t: F.when(t != "", F.split(t, "[ \\t-\\r]+")).otherwise(F.array().cast("array<string>")))
 
 
-def grams(ws: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all words and of all pairs of neighbours."""
+def joined(h: Column, gap: int = 1) -> Column:
+    """Hashes of every element with the one `gap` places on."""
+    n = F.greatest(F.size(h) - gap, F.lit(0))
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + gap, n), lambda a, b: F.xxhash64(a, b))
 
-    def of(h: Column) -> Column:
-        pairs = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-        return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")), F.when(F.size(h) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
-    return let(F.transform(ws, lambda w: F.xxhash64(w)), of)
+def hashed(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """docs with {prefix}ws (words), {prefix}h1 (their hashes) and {prefix}h2 (of pairs of neighbours)."""
+    return docs.withColumn(f"{prefix}ws", words(F.col(text_col))).withColumn(f"{prefix}h1", F.transform(f"{prefix}ws", lambda w: F.xxhash64(w))).withColumn(f"{prefix}h2", joined(F.col(f"{prefix}h1")))
 
 
-def repeated_words(ws: Column, window: int = WINDOW) -> Column:
-    """How many words stand in windows that occur twice or more."""
+def repeated_words(h8: Column, window: int = WINDOW) -> Column:
+    """How many words stand in windows that occur twice or more. h8: the windows' hashes."""
 
-    def of(hashes: Column) -> Column:
-        def covered(s: Column) -> Column:
-            # windows in order of (hash, position): those with an equal neighbour, then their positions in order
-            n = F.size(s)
-            twice = F.filter(s, lambda e, i: ((i > 0) & (F.get(s, i - 1)["h"] == e["h"])) | ((i < n - 1) & (F.get(s, i + 1)["h"] == e["h"])))
-            at = F.array_sort(F.transform(twice, lambda e: e["i"]))
-            start = F.struct(F.lit(0).alias("sum"), F.lit(-window).alias("last"))
-            return F.aggregate(at, start, lambda a, i: F.struct((a["sum"] + F.least(F.lit(window), i - a["last"])).alias("sum"), i.alias("last")), lambda a: a["sum"])
+    def covered(s: Column) -> Column:
+        # windows in order of (hash, position): those with an equal neighbour, then their positions in order
+        n = F.size(s)
+        twice = F.filter(s, lambda e, i: ((i > 0) & (F.get(s, i - 1)["h"] == e["h"])) | ((i < n - 1) & (F.get(s, i + 1)["h"] == e["h"])))
+        at = F.array_sort(F.transform(twice, lambda e: e["i"]))
+        start = F.struct(F.lit(0).alias("sum"), F.lit(-window).alias("last"))
+        return F.aggregate(at, start, lambda a, i: F.struct((a["sum"] + F.least(F.lit(window), i - a["last"])).alias("sum"), i.alias("last")), lambda a: a["sum"])
 
-        pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.array_sort(pairs), covered))
-
-    windows = let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda i: F.xxhash64(F.slice(h, i, window))))
-    return F.when(F.size(ws) < window, F.lit(0)).otherwise(let(windows, of)).cast("long")
+    pairs = F.transform(h8, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(h8)) == F.size(h8), F.lit(0)).otherwise(let(F.array_sort(pairs), covered)).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, _SPACE, "") != "")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text", buckets: int = BUCKETS, alpha: float = ALPHA) -> list[float]:
-    """log(p_trusted / p_corpus) of every bucket; `buckets` numbers whatever the corpus. trusted: rows with a text column."""
-
-    def counted(d: DataFrame, name: str) -> DataFrame:
-        return d.select(F.explode(grams(words(F.col(text_col)), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
-
-    both = counted(docs, "corpus").join(counted(trusted, "trusted"), "bucket", "full_outer")
-    corpus, good = [0] * buckets, [0] * buckets
-    for r in both.collect():
-        corpus[r.bucket], good[r.bucket] = r.corpus or 0, r.trusted or 0
-    all_corpus, all_good = sum(corpus), sum(good)
-    if not all_good or not all_corpus:
-        return [0.0] * buckets
-    return [math.log((g + alpha) / (all_good + alpha * buckets)) - math.log((c + alpha) / (all_corpus + alpha * buckets)) for g, c in zip(good, corpus, strict=True)]
-
-
-def measured(docs: DataFrame, weights: list[float], text_col: str = "text", prefix: str = "", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the measures, score, base_failed and kept, under names that begin with prefix."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def fold(text: Column, folds: int = FOLDS) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
+
+
+def ratios(docs: DataFrame, trusted_col: str, text_col: str = "text", buckets: int = BUCKETS, alpha: float = ALPHA, folds: int = FOLDS) -> list[float]:
+    """log(p_trusted / p_corpus) of every fold and bucket, from the documents of the other folds; folds * buckets numbers whatever the corpus."""
+    p = free(docs, "_rules_")
+    d = hashed(docs.select(fold(F.col(text_col), folds).alias("fold"), F.coalesce(F.col(trusted_col), F.lit(False)).cast("int").alias("good"), F.col(text_col).alias("text")), "text", p)
+    d = d.select("fold", "good", F.explode(F.concat(f"{p}h1", f"{p}h2")).alias("h")).groupBy("fold", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("corpus"), F.sum("good").alias("good"))
+    corpus, good = [[0] * buckets for _ in range(folds)], [[0] * buckets for _ in range(folds)]
+    for r in d.collect():
+        corpus[r.fold][r.bucket], good[r.fold][r.bucket] = r.corpus, r.good
+    all_corpus, all_good = [sum(c) for c in zip(*corpus, strict=True)], [sum(g) for g in zip(*good, strict=True)]
+    out: list[float] = []
+    for f in range(folds):
+        n_corpus, n_good = sum(all_corpus) - sum(corpus[f]), sum(all_good) - sum(good[f])
+        if n_corpus and n_good:
+            base = math.log(n_corpus + alpha * buckets) - math.log(n_good + alpha * buckets)
+            out += [math.log(g - own_g + alpha) - math.log(c - own_c + alpha) + base for g, own_g, c, own_c in zip(all_good, good[f], all_corpus, corpus[f], strict=True)]
+        else:
+            out += [0.0] * buckets
+    return out
+
+
+def scored(docs: DataFrame, weights: list[float], text_col: str, prefix: str, buckets: int = BUCKETS, folds: int = FOLDS) -> DataFrame:
+    """docs with the columns of hashed() and {prefix}score."""
+    p = prefix
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    d = hashed(docs, text_col, p)
+    g = F.concat(f"{p}h1", f"{p}h2")
+    total = let(fold(F.col(text_col), folds) * buckets, lambda f: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(table, f + F.pmod(x, F.lit(buckets)).cast("int"))))  # the fold is bound first, or it would be hashed for every n-gram
+    n = F.size(f"{p}h1") + F.size(f"{p}h2")
+    return d.withColumn(f"{p}score", F.when(n > 0, F.round(total / n, 9)).otherwise(0.0))
+
+
+def threshold(docs: DataFrame, trusted_col: str, weights: list[float], text_col: str = "text", lost: float = LOST, steps: int = STEPS) -> float:
+    """From a histogram of the trusted documents' scores, which has at most as many bars as the score's range has steps."""
+    p = free(docs, "_rules_")
+    d = scored(docs.filter(F.col(trusted_col)).select(text_col), weights, text_col, p).filter(F.size(f"{p}ws") >= LEAST_WORDS)
+    bars = sorted((r.step, r["count"]) for r in d.groupBy(F.floor(F.col(f"{p}score") * steps).alias("step")).count().collect())
+    below, most = 0, lost * sum(n for _, n in bars)
+    for step, n in bars:
+        if below + n > most:
+            return step / steps
+        below += n
+    return 0.0
+
+
+def measured(docs: DataFrame, weights: list[float], least: float, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with the measures, score, base_failed and kept, under names that begin with prefix; docs has no such names."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     p = prefix
-    d = docs.withColumn(f"{p}words", words(F.col(text_col)))
-    ws = F.col(f"{p}words")
-    mean = let(grams(ws, buckets), lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(g)).otherwise(0.0))
+    d = scored(docs, weights, text_col, p).withColumn(f"{p}h4", joined(F.col(f"{p}h2"), 2)).withColumn(f"{p}h8", joined(F.col(f"{p}h4"), 4))
     d = d.withColumns({
-        f"{p}n_words": F.size(ws).cast("long"),
-        f"{p}word_chars": F.length(F.translate(text, _SPACE, "")).cast("long"),
-        f"{p}n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        f"{p}n_words": F.size(f"{p}ws").cast("long"),
+        f"{p}word_chars": F.length(F.array_join(f"{p}ws", "")).cast("long"),
+        f"{p}n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
         f"{p}n_dup_lines": duplicate_lines(text),
-        f"{p}n_repeat_words": repeated_words(ws),
-        f"{p}score": F.round(mean, 9),
-    }).drop(f"{p}words")
+        f"{p}n_repeat_words": repeated_words(F.col(f"{p}h8")),
+    }).drop(*(f"{p}{x}" for x in ("ws", "h1", "h2", "h4", "h8")))
     failed = (F.col(f"{p}n_words") < LEAST_WORDS) | (100 * F.col(f"{p}n_repeat_words") > REPEATED_PERCENT * F.col(f"{p}n_words"))
     d = d.withColumn(f"{p}base_failed", failed)
-    return d.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}score") >= threshold))
+    return d.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}score") >= least))
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts of documents labelled good. labels: doc_id, quality."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(small(good), F.col("_id") == F.col("_good"), "left_semi").select(text_col)
+def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", out: str = "trusted") -> DataFrame:
+    """docs with a flag, whether the document is labelled good. labels: doc_id, quality. Their ids are broadcast up to a size; beyond it docs are shuffled once."""
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
+    return docs.join(small(good), F.col(id_col) == F.col("_good"), "left").withColumn(out, F.col("_good").isNotNull()).drop("_good")
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted_col: str = "trusted", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measures, score, base_failed and kept for each row of docs."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    weights = ratios(d, trusted.select(F.col(text_col).alias("text")))
-    return measured(d, weights).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-
-
-def passing(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with docs' own columns."""
-    p = "_rules_"
-    return measured(docs, ratios(docs.select(text_col), trusted), text_col, p).filter(f"{p}kept").select(docs.columns)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(trusted_col).alias("trusted"))
+    weights = ratios(d, "trusted")
+    least = threshold(d, "trusted", weights)
+    return measured(d.drop("trusted"), weights, least).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with docs' own columns. labels: doc_id, quality."""
+    p = free(docs, "_rules_")
+    d = trusted_documents(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), labels, "_id").select("text", "trusted")
+    weights = ratios(d, "trusted")
+    least = threshold(d, "trusted", weights)
+    return measured(docs, weights, least, text_col, p).filter(f"{p}kept").select(docs.columns)

@@ -54,7 +54,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules, trusted_documents
 
     docs = _documents(spark, sf_dir)
-    return quality_rules(docs, trusted_documents(docs, table(spark, sf_dir, "labels")))
+    return quality_rules(trusted_documents(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

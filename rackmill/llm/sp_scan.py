@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_counts import PieceCodec, Units
-from .words import parts
+from .words import parts, tidy
 
 CHUNK = 4096
 MARK = "▁"
@@ -334,7 +334,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", out: str = "piec
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
 
-    return docs.withColumn(out, F.arrow_udf(encode, "array<int>")(F.col(text_col)))
+    return docs.withColumn(out, F.arrow_udf(tidy(encode), "array<int>")(F.col(text_col)))
 
 
 def decoded(docs: DataFrame, path: str, ids_col: str = "pieces", out: str = "decoded", chunk: int = CHUNK) -> DataFrame:
@@ -345,7 +345,7 @@ def decoded(docs: DataFrame, path: str, ids_col: str = "pieces", out: str = "dec
         for batch in batches:
             yield pa.array([own.decode(np.array(x.as_py() or [], np.int32)) for x in batch], pa.string())
 
-    return docs.withColumn(out, F.arrow_udf(decode, "string")(F.col(ids_col)))
+    return docs.withColumn(out, F.arrow_udf(tidy(decode), "string")(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -366,5 +366,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     same.append(text == (x or ""))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(text_crc, pa.int64()), pa.array(same, pa.bool_())], names=["n_pieces", "ids_crc32", "decoded_crc32", "same"])
 
-    d = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(both, "n_pieces long, ids_crc32 long, decoded_crc32 long, same boolean")(F.col(text_col)).alias("x"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(tidy(both), "n_pieces long, ids_crc32 long, decoded_crc32 long, same boolean")(F.col(text_col)).alias("x"))
     return d.select("doc_id", "x.*")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir, materialize
 from .token_counts import JsonCodec, PieceCodec, Units, codec
-from .words import slices
+from .words import slices, tidy
 
 BLOCK_BYTES = 1 << 16
 RESTART = 16
@@ -266,7 +266,7 @@ def write_shards(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # equal ids are dealt and sorted by their content, so that a hot id is no hot task; texts are encoded after that, once
     ranged = d.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    return materialize(ranged.mapInArrow(written, MANIFEST), "manifest")
+    return materialize(ranged.mapInArrow(tidy(written), MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         rows = []
                 yield _digests(rows)
 
-    return listed.mapInArrow(scanned, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(tidy(scanned), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:

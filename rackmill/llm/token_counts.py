@@ -259,7 +259,7 @@ def counter(path: str, chunk_chars: int, overlap_chars: int) -> Counter:
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each row of docs. One pass, no shuffle."""
-    from .words import parts
+    from .words import parts, tidy
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count_all = counter(path, chunk_chars, overlap_chars)
@@ -269,7 +269,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 out += count_all([x or "" for x in part.to_pylist()])
             yield pa.array(out, pa.int64())
 
-    counted = F.arrow_udf(count, "long")
+    counted = F.arrow_udf(tidy(count), "long")
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), counted(F.col(text_col)).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
