@@ -15,7 +15,7 @@ from rackmill.llm.common import materialize, table
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.passing(docs, quality_rules.trusted_documents(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.passing(docs, table(spark, sf_dir, "labels"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
