@@ -16,9 +16,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors and the driver see: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rackmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/rackmill/{spark.sparkContext.applicationId}"
@@ -33,12 +35,9 @@ def materialize(df: DataFrame, name: str, made: list[str] | None = None) -> Data
     of the writing job go when it ends. The path is added to `made`, for drop()."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    if spark.conf.get(CLEANUP, "false") != "true":
+        spark.conf.set(CLEANUP, "true")
+    df.write.option("compression", "zstd").parquet(path)
     if made is not None:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,8 @@ RESTART-th entry shares nothing. The index holds for each block its last key, of
 filter has ten bits an id and seven probes; the footer has a fixed size.
 
 A key is the document id as eight big-endian bytes with the sign bit turned, so byte order is number
-order, then the row's number among equal ids (four bytes). A null id is an empty key and comes first.
+order, then the number of the task that wrote it and the row's number among the task's equal ids (four bytes each): one id may
+span tasks, and every row has a key of its own. A null id is an empty key and comes first; rows without id share it.
 
 Shards are written by the tasks of one range partitioning, each under a name of its own; the
 manifest, written through Spark's commit protocol, names the files of the attempts that count, so a
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, materialize
@@ -53,8 +54,8 @@ _INDEX = struct.Struct("<HQI")
 END_ID = 0
 
 
-def key_of(doc_id: int | None, ordinal: int = 0) -> bytes:
-    return b"" if doc_id is None else struct.pack(">QI", doc_id + (1 << 63), ordinal)
+def key_of(doc_id: int | None, ordinal: int = 0, task: int = 0) -> bytes:
+    return b"" if doc_id is None else struct.pack(">QII", doc_id + (1 << 63), task, ordinal)
 
 
 def id_of(key: bytes) -> int | None:
@@ -256,7 +257,7 @@ def write_shards(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
                 if w is None:
                     name, first = f"{task:08d}-{nth:05d}-{uuid.uuid4().hex}.sst", doc_id
                     w = ShardWriter(fs.open_output_stream(f"{base}/{name}"), width)
-                w.add(key_of(doc_id, ordinal), ids)
+                w.add(key_of(doc_id, ordinal, task), ids)
                 last = doc_id
         if w is not None:
             done()
@@ -310,12 +311,15 @@ def lookup(manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
 
 def token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Writes the shards to the shared folder; the manifest and what the files hold."""
-    manifest = write_shards(docs, path, _as_uri(fresh_dir(docs.sparkSession, "sst")), id_col, text_col)
+    manifest = write_shards(docs, path, _as_uri(docs.sparkSession, fresh_dir(docs.sparkSession, "sst")), id_col, text_col)
     return manifest, read_shards(manifest)
 
 
-def _as_uri(path: str) -> str:
-    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+def _as_uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: that of the default file system where it has none, as for Spark's tables."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
 
 
 __all__ = ["Encoder", "ShardReader", "ShardWriter", "lookup", "read_shards", "token_shards", "write_shards"]

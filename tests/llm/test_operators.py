@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -121,6 +122,22 @@ def test_empty_tables(nothing, labels, spark):
 # ---- 2 ----
 
 
+def test_keys_of_a_hot_id(spark, tmp_path):
+    """One id over several tasks: every row has a key of its own, and all are found."""
+    rows = [(7, f"text {k}") for k in range(400)] + [(k, "x") for k in (1, 2, 9, 10, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = sstable.write_shards(df, BPE, f"file://{tmp_path}/hot")
+        shards = [r.shard for r in manifest.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    keys = [key for s in shards for key, _ in sstable.ShardReader(s).scan()]
+    assert len(shards) > 1 and len(set(keys)) == len(keys) == 405
+    assert len(sstable.lookup(manifest, 7)) == 400
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/1?x=/fr/#y", "http://a.example.com/en/2", "http://example.com", "http://xcom/", "http://b.net/fr/9", "http://b.net/de/9", "http://b.org?q://z/en/", "a://É.com/x", "http://b.net/fr"]
     want = [("", "", None), ("", "", None), ("", "", None), ("", "", None), ("www.example.com", "/en/1", "www.example.com/en/"), ("a.example.com", "/en/2", "example.com/en/"), ("example.com", "", None), ("xcom", "/", None), ("b.net", "/fr/9", "net/fr/"), ("b.net", "/de/9", None), ("b.org", "", None), ("É.com", "/x", "com/"), ("b.net", "/fr", None)]
@@ -144,6 +161,28 @@ def test_trees_learn_lexical_labels():
     assert url_gbt.UrlModel([])(["x"])[0] < 0.5
 
 
+def test_trees_judge_unseen_hosts():
+    """Trained without a fold of hosts, the trees find its seed hosts and allow plain ones."""
+    urls = [r[0] for r in duckdb.sql("select url from '/root/testdata/sf0.1/pages.parquet' where url is not null").fetchall()]
+    label = {u: int(bool(set(re.split(r"[.\-]", url_gbt.parse(u)[0])) & set(url_gbt.SEED_WORDS))) for u in urls}
+    hosts = sorted({url_gbt.parse(u)[0] for u in urls})
+    fold = dict(zip(hosts, np.random.default_rng(0).permutation(len(hosts)) % 5, strict=True))
+    found, wrong = [], []
+    for k in range(5):
+        m = url_gbt.UrlModel([(u, label[u]) for u in urls if fold[url_gbt.parse(u)[0]] != k])
+        rest = [u for u in urls if fold[url_gbt.parse(u)[0]] == k]
+        for u, p in zip(rest, m(rest), strict=True):
+            (found if label[u] else wrong).append(p >= 0.5)
+    assert np.mean(found) >= 0.9 and np.mean(wrong) <= 0.02
+
+
+def test_awkward_urls(spark):
+    urls = [None, None, "", "http://a.b/" + "x/" * 300_000, "http://a.b/1", "http://a.b/1"]
+    pages = spark.createDataFrame([(k % 4, u, "h", "v") for k, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+    got = url_gbt.judge(pages, url_gbt.seed_labels(pages)).collect()
+    assert sorted(r.page_id for r in got) == [0, 0, 1, 1, 2, 3] and all(r.verdict in ("allow", "block") for r in got)
+
+
 # ---- 3 ----
 
 
