@@ -39,6 +39,8 @@ _EVERY = MASKS + SHORT_MASKS
 LEAST, COVER, SUBSTITUTED, SHORTEST = 13, 0.8, 0.2, 4
 _COST = round((1 - SUBSTITUTED) / SUBSTITUTED)  # equal tokens that one substitution needs
 BLOCK_TOKENS = 2_000_000
+#: Seed hits in memory at once.
+PAIRS = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MULT = np.array([pow(0xD6E8FEB86659FD93, k + 1, 2**64) for k in range(SPAN)], U)
@@ -83,7 +85,7 @@ class Index:
     """Items (id, text): seed hashes with the places they stand at, and all tokens."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, every, hs, places = [], [], [], []
+        self.ids, every, hs, places, firsts = [], [], [], [], []
         texts = pa.array([t for _, t in items], pa.string())
         flat, at = tokens(texts) if items else (np.zeros(0, U), np.zeros(1, np.int64))
         self.starts = [0]
@@ -96,6 +98,7 @@ class Index:
                 h = seeds(own, m)
                 hs.append(h)
                 places.append(base + np.arange(len(h)))
+                firsts.append(_begins(h))
             self.ids.append(item)
             every.append(own)
             self.starts.append(base + len(own))
@@ -103,49 +106,69 @@ class Index:
         h, p = (np.concatenate(hs), np.concatenate(places)) if hs else (np.zeros(0, U), np.zeros(0, np.int64))
         order = np.argsort(h, kind="stable")
         self.hashes, self.places = h[order], p[order]
+        first = np.concatenate(firsts)[order] if firsts else np.zeros(0, bool)
+        self.first_hashes, self.first_places = self.hashes[first], self.places[first]
         self.starts = np.array(self.starts)
         self.short = bool(_is_short(np.diff(self.starts)).any())
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the texts and places in the items with a common seed."""
-        docs, items = [], []
+    def hits(self, t: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in the texts and places in the items with a common seed, at most about PAIRS at once. Of a run of equal seeds in a text and one in an item,
+        pairs with the first place of either run are enough, since every diagonal begins at one of them."""
+        if not len(self.hashes):
+            return
         for m in range(len(_EVERY) if self.short else len(MASKS)):
             h = seeds(t, m)
-            at = np.flatnonzero(self.filter[(h >> U(64 - _FILTER_BITS)).astype(np.int64)])
-            if not len(at) or not len(self.hashes):
-                continue
-            lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            n = hi - lo
-            docs.append(np.repeat(at, n))
-            items.append(self.places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        if not docs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(docs), np.concatenate(items)
+            begins = _begins(h)
+            begins[ends[ends < len(h)]] = True
+            known = self.filter[(h >> U(64 - _FILTER_BITS)).astype(np.int64)]
+            for which, hs, places in ((known & begins, self.hashes, self.places), (known & ~begins, self.first_hashes, self.first_places)):
+                at = np.flatnonzero(which)
+                lo, hi = np.searchsorted(hs, h[at], "left"), np.searchsorted(hs, h[at], "right")
+                at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+                total, i = np.cumsum(n), 0
+                while i < len(at):
+                    k = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + PAIRS, "right")))
+                    c = n[i:k]
+                    yield np.repeat(at[i:k], c), places[np.repeat(lo[i:k], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+                    i = k
 
     def overlaps(self, texts: pa.Array) -> list[dict[int, int]]:
         """For each text the items it holds, by number, with the tokens of the best stretch."""
         t, at = tokens(texts)
         out: list[dict[int, int]] = [{} for _ in range(len(texts))]
-        p, q = self.hits(t)
-        if not len(p):
-            return out
-        doc = np.searchsorted(at, p, "right") - 1
-        item = np.searchsorted(self.starts, q, "right") - 1
-        # one alignment for each text, item and diagonal
-        key = np.unique(np.stack([doc, item, p - q]), axis=1)
-        for d, i, shift in key.T:
+        # one alignment for each text, item and diagonal; the three as one number
+        items, span = len(self.ids) + 1, len(t) + len(self.tokens) + 1
+        assert len(texts) * items * span < 2**63
+        found = [np.zeros(0, np.int64)]
+        for p, q in self.hits(t, at):
+            doc, item = np.searchsorted(at, p, "right") - 1, np.searchsorted(self.starts, q, "right") - 1
+            found.append(np.unique((doc * items + item) * span + (p - q + len(self.tokens))))
+            if sum(map(len, found)) > 4 * PAIRS:
+                found = [np.unique(np.concatenate(found))]
+        for key in np.unique(np.concatenate(found)).tolist():
+            pair, shift = divmod(key, span)
+            (d, i), shift = divmod(pair, items), shift - len(self.tokens)
             a, b = self.starts[i], self.starts[i + 1]
+            if out[d].get(i) == b - a:
+                continue
             lo, hi = max(a, at[d] - shift), min(b, at[d + 1] - shift)
             if hi - lo < SHORTEST:
                 continue
             n = best_stretch(t[lo + shift : hi + shift] == self.tokens[lo:hi])
             if n >= LEAST or n >= COVER * (b - a) and n >= SHORTEST and _is_short(b - a):
-                out[d][int(i)] = max(n, out[d].get(int(i), 0))
+                out[d][i] = max(n, out[d].get(i, 0))
         return out
 
 
+def _begins(h: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    out = np.ones(len(h), bool)
+    out[1:] = h[1:] != h[:-1]
+    return out
+
+
 def best_stretch(same: np.ndarray) -> int:
     """Length of the longest stretch that begins and ends with an equal token and has at most SUBSTITUTED others: an equal token earns 1, another costs _COST."""
     at = np.flatnonzero(same)

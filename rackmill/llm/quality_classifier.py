@@ -9,7 +9,8 @@ bucket is context and index vector side by side.
 A document's input is the mean of its words' vectors, their root mean square and the logarithm of its
 number of words. The network (one hidden layer of rectified units, one output) is trained in numpy
 on the driver, from at most SAMPLE labelled documents: those with the smallest hash of their id. A fifth of
-these is held back to choose the stopping epoch and the temperature that calibrates the probability.
+these is held back: one half of it chooses the stopping epoch, the other the temperature and the shift that calibrate the probability
+(training gives both labels more even weights than they have).
 
 Learning uses no document whose crc32(id as text) mod HELD is 0, and no other column than text; word vectors are
 unlabelled statistics of all texts.
@@ -110,10 +111,10 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Two layers and a temperature; numpy only."""
+    """Two layers, a temperature and a shift; numpy only."""
 
     def __init__(self, share: float = 0.5):
-        self.share, self.layers, self.temperature = share, None, 1.0
+        self.share, self.layers, self.temperature, self.shift = share, None, 1.0, 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Network:
         self.share = float(y.mean()) if len(y) else 0.5
@@ -121,7 +122,7 @@ class Network:
             return self
         rng = np.random.default_rng(7)
         order = rng.permutation(len(y))
-        test, train = order[: len(y) // 5], order[len(y) // 5 :]
+        stop, calibrate, train = order[: len(y) // 10], order[len(y) // 10 : len(y) // 5], order[len(y) // 5 :]
         self.mean, self.std = x[train].mean(0), x[train].std(0) + 1e-3
         z = ((x - self.mean) / self.std).clip(-8, 8)
         d = x.shape[1]
@@ -143,12 +144,13 @@ class Network:
                     m[i] = 0.9 * m[i] + 0.1 * gr
                     v[i] = 0.999 * v[i] + 0.001 * gr * gr
                     w[i] = w[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-            loss = _loss(self._logit(z[test], w), y[test])
+            loss = _loss(self._logit(z[stop], w), y[stop])
             if loss < best[0]:
                 best = (loss, [a.copy() for a in w])
         self.layers = best[1]
-        logit = self._logit(z[test], self.layers)
-        self.temperature = min(np.geomspace(0.25, 8, 60), key=lambda t: _loss(logit / t, y[test]))
+        logit, y = self._logit(z[calibrate], self.layers), y[calibrate]
+        pairs = [(t, b) for t in np.geomspace(0.25, 8, 60) for b in np.linspace(-2, 2, 41)]
+        self.temperature, self.shift = min(pairs, key=lambda x: _loss(logit / x[0] + x[1], y)) if len(y) else (1.0, 0.0)
         return self
 
     @staticmethod
@@ -159,7 +161,7 @@ class Network:
         if self.layers is None:
             return np.full(len(x), self.share)
         z = ((x - self.mean) / self.std).clip(-8, 8)
-        return 1 / (1 + np.exp(-np.clip(self._logit(z, self.layers) / self.temperature, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self._logit(z, self.layers) / self.temperature + self.shift, -30, 30)))
 
 
 def _loss(logit: np.ndarray, y: np.ndarray) -> float:

@@ -604,3 +604,52 @@ def test_pipeline_takes_awkward_rows(spark, awkward):
         out.write.format("noop").mode("overwrite").save()
         if name != p.STAGES[-1][0]:
             assert out.columns == df.columns
+
+
+def test_repeated_tokens_stay_bounded():
+    """Runs of one token and short periods on both sides: memory is bounded and the stretch is found at every diagonal."""
+    long = "a " * 60_000
+    index = decontam.Index([(1, "a " * 700), (2, "b c " * 300), (3, "x " + "a " * 30 + "y z")])
+    got = index.overlaps(pa.array([long, "q " + "b c " * 5_000, "x " + "a " * 30 + "y z", "a a a", "w " * 50]))
+    assert got[0] == {0: 700, 2: 30} and got[1] == {1: 600} and got[2] == {0: 30, 2: 33} and got[3] == got[4] == {}  # by number
+    most = max(len(p) for p, _ in index.hits(decontam.tokens(pa.array([long]))[0], np.array([0, 60_000])))
+    assert most <= 2 * decontam.PAIRS
+
+
+def test_copies_just_below_the_limit(spark):
+    """Many near copies of which most don't link: the groups' matrix joins far fewer rows than there are pairs."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for i in rng.sample(range(0, 296, 6), 7):
+            w[i] = f"m{rng.randint(0, 10**9)}"
+        rows.append((k, " ".join(w)))
+    made = {}
+    plain = jaccard.materialize
+
+    def kept(df, name, paths=None):
+        made[name] = plain(df, name)
+        return made[name]
+
+    jaccard.materialize = kept
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    finally:
+        jaccard.materialize = plain
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for k in range(i):
+            if find(i) != find(k) and 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k]):
+                parent[max(find(i), find(k))] = min(find(i), find(k))
+    assert got == {k: find(k) for k in range(len(rows))}
+    m = made["matrix"].groupBy("token").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+    assert m <= 400 * 400 / 8
