@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, small
+from .common import free, materialize, small
 
 BUCKETS = 1 << 15
 ALPHA = 1.0
@@ -78,38 +78,41 @@ def fold(text: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
 
 
-def ratios(docs: DataFrame, trusted_col: str, text_col: str = "text", buckets: int = BUCKETS, alpha: float = ALPHA, folds: int = FOLDS) -> list[float]:
-    """log(p_trusted / p_corpus) of every fold and bucket, from the documents of the other folds; folds * buckets numbers whatever the corpus."""
+def ratios(docs: DataFrame, trusted_col: str, text_col: str = "text", buckets: int = BUCKETS, alpha: float = ALPHA, folds: int = FOLDS) -> DataFrame:
+    """For every fold the array of log(p_trusted / p_corpus) of all buckets, from the documents of the other folds: `folds` rows whatever the corpus, in a table of their own."""
     p = free(docs, "_rules_")
     d = hashed(docs.select(fold(F.col(text_col), folds).alias("fold"), F.coalesce(F.col(trusted_col), F.lit(False)).cast("int").alias("good"), F.col(text_col).alias("text")), "text", p)
-    d = d.select("fold", "good", F.explode(F.concat(f"{p}h1", f"{p}h2")).alias("h")).groupBy("fold", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("corpus"), F.sum("good").alias("good"))
-    corpus, good = [[0] * buckets for _ in range(folds)], [[0] * buckets for _ in range(folds)]
-    for r in d.collect():
-        corpus[r.fold][r.bucket], good[r.fold][r.bucket] = r.corpus, r.good
-    all_corpus, all_good = [sum(c) for c in zip(*corpus, strict=True)], [sum(g) for g in zip(*good, strict=True)]
-    out: list[float] = []
+    d = d.select("fold", "good", F.explode(F.concat(f"{p}h1", f"{p}h2")).alias("h")).groupBy("fold", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("corpus"), F.sum("good").alias("trusted"))
+    names = ("corpus", "trusted")
+    of = {(n, f): F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(n))), F.lit(0)).alias(f"{n}{f}") for n in names for f in range(folds)}
+    counts = materialize(d.groupBy("bucket").agg(*of.values()), "buckets")
+    total = counts.agg(*(F.coalesce(F.sum(f"{n}{f}"), F.lit(0)).alias(f"{n}{f}") for n, f in of)).first()
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
+    rows = []
     for f in range(folds):
-        n_corpus, n_good = sum(all_corpus) - sum(corpus[f]), sum(all_good) - sum(good[f])
-        if n_corpus and n_good:
-            base = math.log(n_corpus + alpha * buckets) - math.log(n_good + alpha * buckets)
-            out += [math.log(g - own_g + alpha) - math.log(c - own_c + alpha) + base for g, own_g, c, own_c in zip(all_good, good[f], all_corpus, corpus[f], strict=True)]
-        else:
-            out += [0.0] * buckets
-    return out
-
-
-def scored(docs: DataFrame, weights: list[float], text_col: str, prefix: str, buckets: int = BUCKETS, folds: int = FOLDS) -> DataFrame:
-    """docs with the columns of hashed() and {prefix}score."""
+        others = [k for k in range(folds) if k != f]
+        all_corpus, all_trusted = (sum(total[f"{n}{k}"] for k in others) for n in names)
+        weight = F.lit(0.0)
+        if all_corpus and all_trusted:
+            corpus, trusted = (sum((F.col(f"{n}{k}") for k in others), F.lit(alpha)) for n in names)
+            weight = F.log(trusted) - F.log(corpus) + F.lit(math.log(all_corpus + alpha * buckets) - math.log(all_trusted + alpha * buckets))
+        rows.append(F.struct(F.lit(f).alias("fold"), "bucket", weight.alias("weight")))
+    listed = every.select(F.explode(F.array(*rows)).alias("x")).groupBy("x.fold").agg(F.sort_array(F.collect_list(F.struct("x.bucket", "x.weight"))).alias("x"))
+    return materialize(listed.select("fold", F.col("x.weight").alias("weights")), "weights")
+
+
+def scored(docs: DataFrame, weights: DataFrame, text_col: str, prefix: str, buckets: int = BUCKETS, folds: int = FOLDS) -> DataFrame:
+    """docs with the columns of hashed() and {prefix}score. weights: of ratios(); its few rows are broadcast."""
     p = prefix
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    d = hashed(docs, text_col, p)
+    d = hashed(docs, text_col, p).withColumn(f"{p}fold", fold(F.col(text_col), folds))
+    d = d.join(F.broadcast(weights.select(F.col("fold").alias(f"{p}fold"), F.col("weights").alias(f"{p}weights"))), f"{p}fold", "left")
     g = F.concat(f"{p}h1", f"{p}h2")
-    total = let(fold(F.col(text_col), folds) * buckets, lambda f: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(table, f + F.pmod(x, F.lit(buckets)).cast("int"))))  # the fold is bound first, or it would be hashed for every n-gram
+    total = F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(f"{p}weights", F.pmod(x, F.lit(buckets)).cast("int")))
     n = F.size(f"{p}h1") + F.size(f"{p}h2")
-    return d.withColumn(f"{p}score", F.when(n > 0, F.round(total / n, 9)).otherwise(0.0))
+    return d.withColumn(f"{p}score", F.when(n > 0, F.round(total / n, 9)).otherwise(0.0)).drop(f"{p}fold", f"{p}weights")
 
 
-def threshold(docs: DataFrame, trusted_col: str, weights: list[float], text_col: str = "text", lost: float = LOST, steps: int = STEPS) -> float:
+def threshold(docs: DataFrame, trusted_col: str, weights: DataFrame, text_col: str = "text", lost: float = LOST, steps: int = STEPS) -> float:
     """From a histogram of the trusted documents' scores, which has at most as many bars as the score's range has steps."""
     p = free(docs, "_rules_")
     d = scored(docs.filter(F.col(trusted_col)).select(text_col), weights, text_col, p).filter(F.size(f"{p}ws") >= LEAST_WORDS)
@@ -122,7 +125,7 @@ def threshold(docs: DataFrame, trusted_col: str, weights: list[float], text_col:
     return 0.0
 
 
-def measured(docs: DataFrame, weights: list[float], least: float, text_col: str = "text", prefix: str = "") -> DataFrame:
+def measured(docs: DataFrame, weights: DataFrame, least: float, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with the measures, score, base_failed and kept, under names that begin with prefix; docs has no such names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     p = prefix
