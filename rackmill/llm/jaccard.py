@@ -50,8 +50,8 @@ ROUNDS, DRY = 6, 8
 FREQUENT, KNOWN = 32, 1_000_000
 #: Tokens that a task counts at once.
 WINDOW = 1 << 20
-#: Groups may be broadcast up to this size.
-BROADCAST_BYTES = 40 << 20
+#: Groups may be broadcast up to this size; they pass through the driver.
+BROADCAST_BYTES = 4 << 20
 _MULT = [U(pow(0xD1342543DE82EF95, k + 1, 2**64)) for k in range(64)]
 
 

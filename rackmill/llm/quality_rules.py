@@ -115,8 +115,9 @@ def scored(docs: DataFrame, weights: DataFrame, text_col: str, prefix: str, buck
 def threshold(docs: DataFrame, trusted_col: str, weights: DataFrame, text_col: str = "text", lost: float = LOST, steps: int = STEPS) -> float:
     """From a histogram of the trusted documents' scores, which has at most as many bars as the score's range has steps."""
     p = free(docs, "_rules_")
-    d = scored(docs.filter(F.col(trusted_col)).select(text_col), weights, text_col, p).filter(F.size(f"{p}ws") >= LEAST_WORDS)
-    bars = sorted((r.step, r["count"]) for r in d.groupBy(F.floor(F.col(f"{p}score") * steps).alias("step")).count().collect())
+    d = scored(docs.filter(F.col(trusted_col)).select(text_col), weights, text_col, p)
+    step = F.when(F.size(f"{p}ws") >= LEAST_WORDS, F.floor(F.col(f"{p}score") * steps))
+    bars = sorted((r.step, r["count"]) for r in d.groupBy(step.alias("step")).count().collect() if r.step is not None)
     below, most = 0, lost * sum(n for _, n in bars)
     for step, n in bars:
         if below + n > most:
@@ -126,7 +127,8 @@ def threshold(docs: DataFrame, trusted_col: str, weights: DataFrame, text_col: s
 
 
 def measured(docs: DataFrame, weights: DataFrame, least: float, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the measures, score, base_failed and kept, under names that begin with prefix; docs has no such names."""
+    """docs with the measures, score, base_failed and kept, under names that begin with prefix; docs has no such names.
+    {prefix}pin is at least 0 and without meaning: a filter that asks for it stays above the measures, where pushed further it would compute them again for each place in which it names them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     p = prefix
     d = scored(docs, weights, text_col, p).withColumn(f"{p}h4", joined(F.col(f"{p}h2"), 2)).withColumn(f"{p}h8", joined(F.col(f"{p}h4"), 4))
@@ -136,6 +138,7 @@ def measured(docs: DataFrame, weights: DataFrame, least: float, text_col: str =
         f"{p}n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
         f"{p}n_dup_lines": duplicate_lines(text),
         f"{p}n_repeat_words": repeated_words(F.col(f"{p}h8")),
+        f"{p}pin": F.rand(0),
     }).drop(*(f"{p}{x}" for x in ("ws", "h1", "h2", "h4", "h8")))
     failed = (F.col(f"{p}n_words") < LEAST_WORDS) | (100 * F.col(f"{p}n_repeat_words") > REPEATED_PERCENT * F.col(f"{p}n_words"))
     d = d.withColumn(f"{p}base_failed", failed)
@@ -162,4 +165,4 @@ def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     d = trusted_documents(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), labels, "_id").select("text", "trusted")
     weights = ratios(d, "trusted")
     least = threshold(d, "trusted", weights)
-    return measured(docs, weights, least, text_col, p).filter(f"{p}kept").select(docs.columns)
+    return measured(docs, weights, least, text_col, p).filter(f"{p}kept and {p}pin >= 0").select(docs.columns)
