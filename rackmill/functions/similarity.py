@@ -137,16 +137,21 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
 
 
 def alias_score(part: Column, alias: Column) -> Column:
-    """1 if one holds the other; else 0.6 of the shared tokens and 0.5 of the sequence ratio."""
+    """1 if the part holds the alias, plus 0.6 of the share of the alias' tokens that the part has, plus 0.5 of the sequence ratio; 0 if either is empty."""
     p, a = F.lower(part), F.lower(alias)
     x, y = F.array_distinct(F.split(p, r"\s+")), F.array_distinct(F.split(a, r"\s+"))
     shared = F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.greatest(F.size(y), F.lit(1)).cast("double"))
-    return F.when(p.contains(a), 1.0).otherwise(F.least(F.lit(0.99), 0.6 * shared + 0.5 * sequence_ratio(p, a)))
+    total = F.when(p.contains(a), 1.0).otherwise(0.0) + 0.6 * shared + 0.5 * sequence_ratio(p, a)
+    return F.when((p == "") | (a == ""), 0.0).otherwise(total)
 
 
 def image_name_score(name: Column, wanted: Column) -> Column:
-    """2 if one name holds the other; plus 0.6 for shared tokens and 0.5 for the sequence ratio."""
-    n, w = F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), F.regexp_replace(F.lower(wanted), "[^a-z0-9]+", " ")
-    x, y = F.split(F.trim(n), " "), F.split(F.trim(w), " ")
-    shared = F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_distinct(y)).cast("double"))
-    return F.when(n.contains(w) | w.contains(n), 2.0).otherwise(0.0) + 0.6 * shared + 0.5 * sequence_ratio(n, w)
+    """2 if the name holds what is wanted, plus 0.6 of the share of the wanted tokens that the name has, plus 0.5 of the sequence ratio."""
+
+    def plain(c: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s\-+]+", " "), r"\s+", " "))
+
+    n, w = plain(name), plain(wanted)
+    x, y = (F.array_distinct(F.filter(F.split(c, " "), lambda t: t != "")) for c in (n, w))
+    shared = F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.greatest(F.size(y), F.lit(1)).cast("double"))
+    return F.when((w != "") & n.contains(w), 2.0).otherwise(0.0) + 0.6 * shared + 0.5 * sequence_ratio(n, w)

@@ -165,13 +165,13 @@ def field(text: Column, name: str) -> Column:
 
 
 def colours(text: Column, canon: Sequence[str] = COLOURS) -> Column:
-    """Colours named behind RJ45, possibly cut short: the first canonical colour that equals, begins with or contains the token
-    (or that the token begins with or contains), else the token itself; title case, each once."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)RJ[_-]?45[_-]([A-Za-z]+)"), F.lit(1))
+    """Colours named behind RJ45 in capitals, possibly cut short: the first canonical colour that contains the token or that the token
+    begins with, else the token itself; title case, each once."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"RJ[_-]?45[_-]([A-Za-z]+)"), F.lit(1))
 
     def named(t: Column) -> Column:
         low = F.lower(t)
-        hit = F.filter(F.array(*map(F.lit, canon)), lambda c: (c == low) | c.contains(low) | low.contains(c))
+        hit = F.filter(F.array(*map(F.lit, canon)), lambda c: c.contains(low) | low.startswith(c))
         return F.initcap(F.coalesce(F.get(hit, F.lit(0)), low))
 
     return F.array_distinct(F.transform(tokens, named))

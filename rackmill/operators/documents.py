@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Titles that open a section of a report, as the report writers write them.
-SECTIONS = (("rack", "(?i)rack.{0,40}report"), ("patch_panel", "(?i)patch ?panel.{0,40}report"), ("switch", "(?i)switch.{0,40}report"), ("connected_port", "(?i)connected ports?.{0,40}report"), ("empty_port", "(?i)empty ports?.{0,40}report"), ("cable", "(?i)cable.{0,40}report"))
+# The titles that open a section of a report, as reports have them; letter case doesn't matter.
+SECTIONS = (
+    ("patch_panel_details", "Patch Panel Classification Results"),
+    ("rack_details", "Rack Detection Report"),
+    ("switch_details", "OCR Vendor & Model Detection|Switch Make and Model|Switch Classification"),
+    ("cable_classification", "Cable Classification Report"),
+    ("empty_ports", "EMPTY PORT IDENTIFICATION AND LOCATION"),
+    ("connected_ports", "Connected Port Classification"),
+)
 
 
 def lines(docs: DataFrame, key: str = "doc", text: str = "text", drop: Sequence[str] = ()) -> DataFrame:
@@ -40,7 +47,7 @@ def sections(docs: DataFrame, key: str = "doc", text: str = "text", patterns: Se
     """key, section, text of all sections whose header is found."""
     heads = None
     for name, p in patterns:
-        hits, pieces = F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), F.split(text, p)
+        hits, pieces = F.regexp_extract_all(text, F.lit(f"(?i)({p})"), F.lit(1)), F.split(text, f"(?i)(?:{p})")
         h = docs.select(key, F.lit(name).alias("section"), F.length(text).alias("length"), F.explode(_starts(hits, pieces)).alias("start"))
         heads = h if heads is None else heads.unionByName(h)
     spans = section_spans(heads, key)

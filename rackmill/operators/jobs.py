@@ -13,6 +13,8 @@ MOST_FILES = (("multi", 20), ("single", 1), ("video", 1))
 #: Folders whose first image stands for a job, best first.
 THUMBNAILS = ("rack", "switch", "patch_panel", "cables", "cable", "connected_port", "empty_port", "units")
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
+#: Those that a report shows.
+PICTURED = ("jpg", "jpeg", "png", "webp")
 # -------------------------------------------------------------------------------------------------
 
 
@@ -58,10 +60,10 @@ def output_inventory(files: DataFrame) -> DataFrame:
 
 
 def first_image(inventory: DataFrame, folders: Sequence[str] = THUMBNAILS) -> DataFrame:
-    """Of each job the first image by folder precedence, then by path."""
-    top = F.lower(F.regexp_extract("relative", r"(?:^|/)([^/]+)/[^/]+$", 1))
+    """Of each job the first image directly below one of the folders of its output, by folder precedence, then by path."""
+    top = F.regexp_extract("relative", r"^(?:output/)?([^/]+)/[^/]+$", 1)
     prio = F.coalesce(*(F.when(top == f, F.lit(k)) for k, f in enumerate(folders)))
-    return inventory.filter(F.col("ext").isin(*IMAGES)).withColumn("prio", prio).filter("prio is not null").groupBy("job_id").agg(F.min_by("relative", F.struct("prio", "relative")).alias("image"))
+    return inventory.filter(F.col("ext").isin(*PICTURED)).withColumn("prio", prio).filter("prio is not null").groupBy("job_id").agg(F.min_by("relative", F.struct("prio", "relative")).alias("image"))
 
 
 def job_history(jobs: DataFrame, inventory: DataFrame, user: str | None = None) -> DataFrame:

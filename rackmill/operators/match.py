@@ -33,18 +33,19 @@ def cascade(rows: DataFrame, key: Sequence[str], flags: Sequence[Column]) -> Dat
     return rows
 
 
-def match_models(queries: DataFrame, references: DataFrame) -> DataFrame:
+def match_models(queries: DataFrame, references: DataFrame, pair: Column | None = None) -> DataFrame:
     """The most similar reference of each query after the optional filters ports, rows, arrangement.
 
     queries: image, embedding, vendor?, num_ports, num_rows, arrangement; references: vendor, filename, embedding, num_rows, arrangement,
     ports. A known vendor restricts the references (unknown vendors match nothing), a null vendor doesn't. Detected counts of 0 or null skip a filter.
+    pair: a condition on image and the references' columns, for pairs that may be compared at all.
     """
     q = queries.withColumn("_v", tx.alnum(F.col("vendor"))).withColumnsRenamed({c: f"q_{c}" for c in ("embedding", "num_ports", "num_rows", "arrangement", "vendor")})
     r = references.withColumn("_v", tx.alnum(F.col("vendor")))
     named = q.filter("q_vendor is not null").join(r, "_v")
-    # queries without a vendor go through all references: in blocks of references, hashed, with the queries beside each
+    # queries without a vendor go through all references: a join on true, beside the references if they are few
     free = q.filter("q_vendor is null").drop("_v").join(dimension(r.drop("_v")), F.lit(True))
-    pairs = named.drop("_v").unionByName(free)
+    pairs = named.drop("_v").unionByName(free).filter(F.lit(True) if pair is None else pair)
     pairs = cascade(pairs, ["image"], [
         (F.coalesce("q_num_ports", F.lit(0)) == 0) | F.array_contains(_nearest(F.col("q_num_ports")), F.col("ports")),
         (F.coalesce("q_num_rows", F.lit(0)) == 0) | (F.col("q_num_rows") == F.col("num_rows")),
@@ -60,9 +61,9 @@ def _nearest(n: Column) -> Column:
     return nearest_ports(n)
 
 
-def two_stage(queries: DataFrame, references: DataFrame, key: str, cheap: Column, costly: Column, k: int = 5) -> DataFrame:
-    """Within the key, the k best by the cheap score are scored again. Both sides have id and feat columns q_* and r_*."""
-    pairs = queries.join(references, key).withColumn("cheap", cheap)
+def two_stage(queries: DataFrame, references: DataFrame, key: str, cheap: Column, costly: Column, k: int = 5, pair: Column | None = None) -> DataFrame:
+    """Within the key, the k best by the cheap score are scored again. Both sides have id and feat columns q_* and r_*. pair: a condition on pairs."""
+    pairs = queries.join(references, key).filter(F.lit(True) if pair is None else pair).withColumn("cheap", cheap)
     short = top_k(pairs, ["q_id"], [F.desc("cheap"), F.asc("r_id")], k).drop("rank")
     return top_k(short.withColumn("score", costly), ["q_id"], [F.desc("score"), F.asc("r_id")], 1).drop("rank")
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 _BOX = "event_id*37%960 as x1, event_id*53%560 as y1"
 _PORTS = f"ports as (select user_id as image, event_id as port_id, case when event_id%3=0 then 'connected' else 'empty' end as state, {_BOX} from events)"
-_DEVICES = """devices as (select o_custkey%150 as image, o_orderkey as dev_id, case when o_orderkey%40=0 then 'switch' else 'patch_panel' end as kind,
-  o_orderkey*17%500 as px, o_orderkey*29%300 as py from orders where o_orderkey%20=0)"""
+_DEVICES = """devices as (select o_custkey//10 as image, o_orderkey as dev_id, case when o_orderkey%40=0 then 'switch' else 'patch_panel' end as kind,
+  o_orderkey*17%500 as px, o_orderkey*29%300 as py from orders)"""
 _ASSIGNED = f"""with {_PORTS}, {_DEVICES}, pairs as (
   select p.image, port_id, dev_id, kind,
     (least(x1+12, px+400) - greatest(x1, px)) as w, (least(y1+10, py+200) - greatest(y1, py)) as h, x1, y1, px, py
@@ -32,7 +32,7 @@ SQL: dict[str, str] = {
     "port_counts_per_device": f"{_ASSIGNED} select image, parent_id, count(*) filter (state='connected') as n_connected, count(*) filter (state='empty') as n_empty from assigned where parent_id is not null group by all",
     "nested_device_ports": f"""{_ASSIGNED} select d.image, d.dev_id, count(*) filter (state='connected') as n_connected, count(*) filter (state='empty') as n_empty
         from devices d left join assigned a on a.image=d.image and a.parent_id=d.dev_id group by all""",
-    "unit_labels": f"""with {_DET}, units as (select o_custkey%150 as image, o_orderkey as unit_no, o_orderkey*17%700 as ux, o_orderkey*29%400 as uy from orders where o_orderkey%20=0),
+    "unit_labels": f"""with {_DET}, units as (select o_custkey//10 as image, o_orderkey as unit_no, o_orderkey*17%700 as ux, o_orderkey*29%400 as uy from orders),
         pairs as (select u.image, unit_no, class, confidence, det_id, (least(x1+200,ux+220)-greatest(x1,ux)) as w, (least(y1+90,uy+80)-greatest(y1,uy)) as h from units u join det d on u.image=d.image),
         hit as (select *, row_number() over (partition by image, unit_no order by confidence desc, det_id) as rn from pairs where w>0 and h>0 and (w*h)::double/(220*80+200*90-w*h) > 0.25)
         select u.image, u.unit_no, coalesce(class,'empty') as label, round(coalesce(confidence,0.0),6) as confidence from units u left join hit h on u.image=h.image and u.unit_no=h.unit_no and rn=1""",
@@ -45,7 +45,7 @@ SQL: dict[str, str] = {
     "latest_status": 'select user_id, arg_max(event_type, (ts, event_id)) as status, max(ts) as "at" from events group by 1',
     "model_match_cascade": f"""with {_BASE}, p as (select q.vec_id as image, r.vec_id as rid, q.label, {_dot('q.embedding','r.embedding')} / (sqrt({_dot('q.embedding','q.embedding')})*sqrt({_dot('r.embedding','r.embedding')})) as s,
           q.vec_id%11*4 as np, r.ports, q.rows_ = r.rows_ as f2, q.arrangement = r.arrangement as f3
-          from base q join base r on q.label=r.label and q.vec_id%2=0 and r.vec_id%2=1),
+          from base q join base r on q.label=r.label and q.vec_id<>r.vec_id),
         near as (select np, p from (select np, p, row_number() over (partition by np order by abs(p-np), p) as rn from (select distinct vec_id%11*4 as np from embeddings), unnest([8,12,16,20,24,28,48]) t(p)) where rn<=3),
         a as (select p.*, np=0 or exists(select 1 from near n where n.np=p.np and n.p=p.ports) as f1 from p),
         b as (select * from (select *, bool_or(f1) over (partition by image) as any1 from a) where f1 or not any1),
@@ -54,7 +54,7 @@ SQL: dict[str, str] = {
         e as (select *, row_number() over (partition by image order by s desc, rid) as rn from d)
         select image, 'Vendor ' || label as vendor, 'ref' || lpad(rid::varchar, 6, '0') as filename, round(s, 6) as similarity from e where rn=1""",
     "two_stage_topk": f"""with p as (select q.vec_id as q_id, r.vec_id as r_id, {_dot('q.embedding[1:8]','r.embedding[1:8]')} as cheap, {_dot('q.embedding','r.embedding')} as score
-          from embeddings q join embeddings r on q.label=r.label and q.vec_id%2=0 and r.vec_id%2=1),
+          from embeddings q join embeddings r on q.label=r.label and q.vec_id<>r.vec_id),
         k as (select *, row_number() over (partition by q_id order by cheap desc, r_id) as rn from p),
         f as (select *, row_number() over (partition by q_id order by score desc, r_id) as r2 from k where rn<=5)
         select q_id, r_id, round(score,6) as score from f where r2=1""",
@@ -107,7 +107,7 @@ SQL: dict[str, str] = {
     "upload_validation": """with f as (select o_custkey, ['multi','single','video'][o_custkey%3+1] as t, o_orderkey from orders),
         g as (select o_custkey as upload_id, t as upload_type, count(*) as n_files, bool_and(t='video' or o_orderkey%17<>0) as ok from f group by all)
         select upload_id, upload_type, n_files, ok and n_files <= case t when 'multi' then 20 else 1 end as ok from (select *, upload_type as t from g)""",
-    "job_history": f"with {_JOBS} select job_id, user_id, case o_orderkey%5 when 0 then 'rack/img.jpg' when 1 then 'switch/img.jpg' when 2 then 'cable/img.jpg' when 3 then 'units/unit1/switch/img.jpg' end as image from jobs where status='done' and o_orderkey%3=0",
+    "job_history": f"with {_JOBS} select job_id, user_id, case o_orderkey%5 when 0 then 'rack/img.jpg' when 1 then 'switch/img.jpg' when 2 then 'cable/img.jpg' end as image from jobs where status='done' and o_orderkey%3=0",
     "gallery": """select 'job_' || o_orderkey as job_id, case o_orderkey%5 when 1 then 'switch/img.jpg' else 'units/unit1/switch/img.jpg' end as relative, case o_orderkey%5 when 1 then 'img.jpg' else 'unit1 - img.jpg' end as label from orders where o_orderkey%5 in (1,3)""",
     "job_logs": """select 'job_' || o_orderkey as job_id, count(l_orderkey) as n_messages, coalesce(string_agg(l_returnflag || l_linestatus, '' order by l_linenumber, l_returnflag || l_linestatus),'') as all_messages
         from orders left join lineitem on l_orderkey=o_orderkey group by o_orderkey""",

@@ -39,10 +39,10 @@ def _ports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0")  # the derivation of devices, not a sample: one order in twenty is a device
+    o = table(spark, sf_dir, "orders")  # every order is a device
     x, y = _int(F.col("o_orderkey") * 17 % 500), _int(F.col("o_orderkey") * 29 % 300)
     kind = F.when(F.col("o_orderkey") % 40 == 0, "switch").otherwise("patch_panel")
-    return o.select((F.col("o_custkey") % 150).alias("image"), F.col("o_orderkey").alias("dev_id"), kind.alias("kind"), F.col("o_orderkey").alias("ordinal"), g.box(x, y, x + 400, y + 200).alias("box"))
+    return o.select(F.expr("o_custkey div 10").alias("image"), F.col("o_orderkey").alias("dev_id"), kind.alias("kind"), F.col("o_orderkey").alias("ordinal"), g.box(x, y, x + 400, y + 200).alias("box"))
 
 
 def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,9 @@ def nested_device_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0")
+    o = table(spark, sf_dir, "orders")
     x, y = _int(F.col("o_orderkey") * 17 % 700), _int(F.col("o_orderkey") * 29 % 400)
-    units = o.select((F.col("o_custkey") % 150).alias("image"), F.col("o_orderkey").alias("unit_no"), g.box(x, y, x + 220, y + 80).alias("box"))
+    units = o.select(F.expr("o_custkey div 10").alias("image"), F.col("o_orderkey").alias("unit_no"), g.box(x, y, x + 220, y + 80).alias("box"))
     return spatial.label_units(units, _detections(spark, sf_dir)).select("image", "unit_no", "label", F.round("confidence", 6).alias("confidence"))
 
 
@@ -117,22 +117,22 @@ def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector asks the vectors of its label other than itself, that is, of another half."""
+    """Every vector asks all other vectors of its label."""
     e = table(spark, sf_dir, "embeddings")
     counts = F.array(*map(F.lit, g.PORT_COUNTS))
     base = e.select("vec_id", "embedding", F.concat(F.lit("Vendor "), F.col("label").cast("string")).alias("vendor"), F.get(counts, _int(F.col("vec_id") % 7)).alias("ports"), _int(F.col("vec_id") % 3 + 1).alias("rows"), F.get(F.array(*map(F.lit, ("LEFT", "RIGHT", "CENTER", "MIXED", "NONE"))), _int(F.col("vec_id") % 5)).alias("arrangement"))
-    q = base.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("image"), "embedding", "vendor", _int(F.col("vec_id") % 11 * 4).alias("num_ports"), F.col("rows").alias("num_rows"), "arrangement")
-    r = base.filter("vec_id % 2 = 1").select("vendor", F.format_string("ref%06d", "vec_id").alias("filename"), "embedding", F.col("rows").alias("num_rows"), "arrangement", "ports")
-    return match.match_models(q, r)
+    q = base.select(F.col("vec_id").alias("image"), "embedding", "vendor", _int(F.col("vec_id") % 11 * 4).alias("num_ports"), F.col("rows").alias("num_rows"), "arrangement")
+    r = base.select("vendor", F.format_string("ref%06d", "vec_id").alias("filename"), "embedding", F.col("rows").alias("num_rows"), "arrangement", "ports")
+    return match.match_models(q, r, F.col("filename") != F.format_string("ref%06d", "image"))
 
 
 @query
 def two_stage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_feat"), "label")
-    r = e.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("r_feat"), "label")
+    q = e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_feat"), "label")
+    r = e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("r_feat"), "label")
     head = lambda c: F.slice(c, 1, 8)
-    out = match.two_stage(q, r, "label", sim.dot(head("q_feat"), head("r_feat")), sim.dot(F.col("q_feat"), F.col("r_feat")))
+    out = match.two_stage(q, r, "label", sim.dot(head("q_feat"), head("r_feat")), sim.dot(F.col("q_feat"), F.col("r_feat")), pair=F.col("q_id") != F.col("r_id"))
     return out.select("q_id", "r_id", F.round("score", 6).alias("score"))
 
 
@@ -253,7 +253,7 @@ def leaf_label_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def colour_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.get(F.array(*map(F.lit, ("Black", "Whi", "Gr", "Y", "ow", "Reddish", "Teal"))), _int(F.col("p_partkey") % 7))
-    text = F.concat(F.lit("cable RJ45_"), token, F.lit(" and rj-45-"), F.lit("blu"))
+    text = F.concat(F.lit("cable RJ45_"), token, F.lit(" and RJ-45-"), F.lit("blu, rj45_red"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.colours(text), ",").alias("colours"))
 
 

@@ -1,5 +1,6 @@
 """Golden rows, properties and SQL twins of the audit operators."""
 
+import difflib
 import glob
 import math
 import random
@@ -192,9 +193,11 @@ def test_votes_and_vendors(spark):
 
 
 def test_sections_and_pairs(spark):
-    d = spark.createDataFrame([("a", "Rack Analysis Report\nx\nSwitch Report\nVendor: A\nModel: B\nRack Full Report\ny")], "doc string, text string")
-    got = {r.section: r.text for r in documents.sections(d).collect()}
-    assert got["rack"].strip() == "Rack Full Report\ny" and got["switch"].strip().startswith("Switch Report")
+    text = "Rack Detection Report\nx\nOCR Vendor & Model Detection\nVendor: A\nModel: B\nempty port identification and location\nz\nConnected Port Classification\nPatch Panel Classification Results\nCable Classification Report\nRACK DETECTION REPORT\ny"
+    d = spark.createDataFrame([("a", text)], "doc string, text string")
+    got = {r.section: r.text.strip() for r in documents.sections(d).collect()}
+    assert got["rack_details"] == "RACK DETECTION REPORT\ny" and got["switch_details"] == "OCR Vendor & Model Detection\nVendor: A\nModel: B"
+    assert got["empty_ports"] == "empty port identification and location\nz" and got["connected_ports"] == "Connected Port Classification" and len(got) == 6
     pairs = documents.line_pairs(documents.lines(d)).collect()
     assert [(p.first, p.second) for p in pairs] == [("A", "B")]
 
@@ -352,3 +355,23 @@ def test_json_leaves_of_deep_and_many_nodes(spark):
     got = {r.doc: (r.n, r.first) for r in documents.json_leaves(d).groupBy("doc").agg(F.count("*").alias("n"), F.min(F.struct("path", "leaf")).alias("first")).collect()}
     assert set(got) == {*(f"w{k}" for k in range(11)), "deep", "top", "mixed"} and sum(n for n, _ in got.values()) == 1_100_004
     assert list(got["deep"][1].path) == [0] * 120 and got["deep"][1].leaf == "end" and got["top"][1].path == [] and got["mixed"][1].leaf == "1"
+
+
+def test_first_image_is_directly_below_a_folder(spark):
+    paths = ["/o/job_1/output/units/u1/switch/a.jpg", "/o/job_1/output/units/b.webp", "/o/job_2/switch/c.bmp", "/o/job_2/cable/d.JPEG", "/o/job_3/rack/x/e.png", "/o/job_4/output/rack/g.png", "/o/job_4/output/rack/f.png"]
+    inventory = jobs.output_inventory(spark.createDataFrame([(p,) for p in paths], "path string"))
+    got = {r.job_id: r.image for r in jobs.first_image(inventory).collect()}
+    assert got == {"job_1": "output/units/b.webp", "job_2": "cable/d.JPEG", "job_4": "output/rack/f.png"}
+
+
+def test_colours_and_name_scores(spark):
+    assert values(spark, ["rj45_red RJ_45_infrared RJ-45-Gray RJ45_blues"], tx.colours(F.col("s"))) == [["Infrared", "Gray", "Blue"]]
+    pairs = [("cisco systems switch", "cisco systems"), ("net gear", "netgear"), ("d-link.12", "d-link"), ("", "x"), ("x", "")]
+    d = spark.createDataFrame(pairs, "a string, b string").select("a", "b", sim.alias_score(F.col("a"), F.col("b")).alias("s"), sim.image_name_score(F.col("a"), F.col("b")).alias("t")).collect()
+    for r in d:
+        a, b = r.a.replace(".", " "), r.b
+
+        def score(x, y, hold):
+            return (hold if y and y in x else 0) + 0.6 * len(set(x.split()) & set(y.split())) / max(1, len(set(y.split()))) + 0.5 * difflib.SequenceMatcher(None, x, y).ratio()
+
+        assert r.t == pytest.approx(score(a, b, 2)) and r.s == pytest.approx(score(r.a, r.b, 1) if r.a and r.b else 0)
