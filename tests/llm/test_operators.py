@@ -595,6 +595,23 @@ def test_pipeline_stages(spark):
     assert good.join(rules, "doc_id", "left_anti").count() <= 0.03 * good.count()
 
 
+def test_each_stage_keeps_what_its_operator_says(spark):
+    """Base rules, near duplicates and ids by brute force, the other verdicts by the operators that tests above hold against it."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    stage = {name: {r.doc_id: r for r in f(spark, docs, sf).collect()} for name, f in p.STAGES}
+    said = quality_rules.quality_rules(quality_rules.trusted_documents(docs, labels)).collect()
+    assert stage["quality_rules"].keys() == {r.doc_id for r in said if r.kept} and all(r.base_failed == base_measures(dict(rows)[r.doc_id] or "")[-1] for r in said)
+    assert stage["quality_classifier"].keys() == {r.doc_id for r in quality_classifier.quality(docs, labels).collect() if r.predicted}
+    assert stage["ngram_jaccard_join"].keys() == {d for d, n, c in classes(rows) if not n or d == c}
+    assert stage["benchmark_decontamination"].keys() == {r.doc_id for r in decontam.decontaminate(docs, items).collect() if not r.contaminated}
+    sp = token_counts.PieceCodec(PIECES).sp
+    assert {d: r.n_pieces for d, r in stage["sentencepiece"].items()} == {d: len(sp.encode(t or "")) for d, t in rows}
+
+
 def test_pipeline_takes_awkward_rows(spark, awkward):
     import corpus_pipeline as p
 
