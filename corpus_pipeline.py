@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each reads the documents that its predecessor kept.
 
 A stage is a function of (spark, docs, sf_dir). The first four return rows of docs with the columns of docs;
-the last encodes the texts that are left. Extra columns stay, whatever their names.
+the last encodes the texts that are left. Extra columns stay, whatever their names. Null, empty and word-less texts fail the quality rules; in the
+later stages they are no copies and hold no passage. Of repeated rows and equal texts one row stays after the join stage; a row with a null id is judged like any other.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: Hashed models, a trained network and tokenizers are no SQL; tests hold the stages against brute force.
+#: Hashed models, a trained network and tokenizers are no SQL; tests hold each stage against its operator's verdicts, and base rules, near duplicates and ids against brute force.
 ORACLE_SQL = None
 
 
