@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
@@ -78,6 +78,10 @@ def _frame(out: list[list], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: np.concatenate(v) for n, v in zip(names, out, strict=True)})
 
 
+# What each score of a pair of crops weighs.
+CROP_WEIGHTS = {"orb": 0.50, "ssim": 0.25, "hist": 0.15, "phash": 0.10}
+
+
 class _Whole:
     """A state that holds a group's columns and gives them to the kernel at its end."""
 
@@ -297,45 +301,53 @@ def leader_cluster(crops: DataFrame, key: Sequence[str] = ("class",), least: flo
 class _Composite:
     """Pairs by their later crop; groups are known by the first members alone."""
 
-    def __init__(self, least: float, representatives: int):
-        self.least, self.representatives, self.group, self.sizes = least, representatives, {}, []
-        self.crop, self.best, self.k = None, 0.0, 0
+    def __init__(self, least: float, representatives: int, weights: Sequence[float]):
+        self.least, self.representatives, self.weights, self.group, self.sizes = least, representatives, weights, {}, []
+        self.crop, self.near = None, {}
 
-    def add(self, crops: np.ndarray, others: np.ndarray, scores: np.ndarray) -> list[list[int]]:
+    def add(self, crops: np.ndarray, others: np.ndarray, *scores: np.ndarray) -> list[list[int]]:
         rows: list[tuple[int, int]] = []
-        for x, r, s in zip(crops.tolist(), others.tolist(), scores.tolist(), strict=True):
+        for x, r, *s in zip(crops.tolist(), others.tolist(), *(c.tolist() for c in scores), strict=True):
             if x != self.crop:
                 rows += self._settle()
-                self.crop, self.best, self.k = x, 0.0, 0
+                self.crop, self.near = x, {}
             k = self.group.get(r) if r != x else None
-            if k is not None and (s > self.best or s == self.best and k < self.k):
-                self.best, self.k = s, k
+            if k is not None:
+                self.near[k] = [max(p) for p in zip(self.near.get(k, s), s, strict=True)]
         return [[x for x, _ in rows], [k for _, k in rows]]
 
     def _settle(self) -> list[tuple[int, int]]:
         if self.crop is None:
             return []
-        if not self.sizes or self.best < self.least:
-            self.k = len(self.sizes)
+        best, k = 0.0, 0
+        for own, parts in self.near.items():
+            total = sum(w * p for w, p in zip(self.weights, parts, strict=True))
+            if total > best or total == best and own < k:
+                best, k = total, own
+        if not self.sizes or best < self.least:
+            k = len(self.sizes)
             self.sizes.append(0)
-        if self.sizes[self.k] < self.representatives:
-            self.group[self.crop] = self.k
-        self.sizes[self.k] += 1
-        return [(self.crop, self.k)]
+        if self.sizes[k] < self.representatives:
+            self.group[self.crop] = k
+        self.sizes[k] += 1
+        return [(self.crop, k)]
 
     def end(self) -> list[list[int]]:
         rows = self._settle()
         return [[x for x, _ in rows], [k for _, k in rows]]
 
 
-def composite_cluster(pairs: DataFrame, key: Sequence[str] = ("class",), least: float = 0.8, representatives: int = 3) -> DataFrame:
-    """Leader clustering over pair scores. pairs: key, a, b, score, and a row (a, a, 1.0) for each crop. A group is compared
-    by its first `representatives` members."""
+def composite_cluster(pairs: DataFrame, key: Sequence[str] = ("class",), least: float = 0.8, representatives: int = 3, weights: Mapping[str, float] = {"score": 1.0}) -> DataFrame:
+    """Leader clustering over pair scores. pairs: key, a, b, the score columns that `weights` names, and a row (a, a) for each crop.
+
+    A group is compared by its first `representatives` members: of each score the best over them, then the weighted sum of these
+    bests. Null and NaN scores count as 0; of equal sums the first group wins.
+    """
     late, early = F.greatest("a", "b").alias("crop_id"), F.least("a", "b").alias("other")
-    alone = F.struct(F.least("a", "b").alias("crop_id"), F.least("a", "b").alias("other"), F.lit(0.0).alias("score"))
-    own = F.struct(late, early, F.col("score").cast("double").alias("score"))
+    alone = F.struct(F.least("a", "b").alias("crop_id"), F.least("a", "b").alias("other"), *(F.lit(0.0).alias(c) for c in weights))
+    own = F.struct(late, early, *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in weights))
     both = pairs.select(*key, F.explode(F.when(F.col("a") == F.col("b"), F.array(own)).otherwise(F.array(own, alone))).alias("p")).select(*key, "p.*")
-    return streamed(both, key, ["crop_id", "other", "score"], lambda: _Composite(least, representatives), _key_schema(pairs, key) + ", crop_id long, group_no int", ["crop_id", "other"])
+    return streamed(both, key, ["crop_id", "other", *weights], lambda: _Composite(least, representatives, list(weights.values())), _key_schema(pairs, key) + ", crop_id long, group_no int", ["crop_id", "other"])
 
 
 class _Penalised:

@@ -139,6 +139,25 @@ def report_table(rows: DataFrame, columns: Sequence[str], key: str, order: str,
     return rows.groupBy(key).agg(F.concat(F.lit(f"<html><body><h1>{name}</h1><table><tr>{head}</tr>\n"), body, F.lit("</table></body></html>")).alias("html"))
 
 
+def _body_rows(docs: DataFrame, key: str, html: str, least: int) -> DataFrame:
+    rows = docs.select(key, F.posexplode(tx.html_rows(F.col(html))).alias("ord", "_c"))
+    return rows.filter((F.col("ord") > 0) & (F.size("_c") >= least))
+
+
+def connected_rows(docs: DataFrame, key: str = "doc", html: str = "html") -> DataFrame:
+    """Ports of a report's table of connected ports. Its first row is the header; rows of fewer than six cells and those with
+    n/a as description and as usage of the cable give nothing; a seventh cell is optional. ord is the row's number in the table."""
+    names = ("cable", "cable_description", "usage", "port", "port_description", "other_port")
+    out = _body_rows(docs, key, html, 6).select(key, "ord", *(F.coalesce(F.get("_c", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names, 1)))
+    return out.filter(~((F.lower("cable_description") == "n/a") & (F.lower("usage") == "n/a")))
+
+
+def empty_rows(docs: DataFrame, key: str = "doc", html: str = "html") -> DataFrame:
+    """Ports of a report's table of empty ports: SFP if the first cell says so (QSFP does too), else Ethernet; rows without a cell give nothing."""
+    kind = F.when(F.contains(F.get("_c", F.lit(0)), F.lit("SFP")), "SFP").otherwise("Ethernet")
+    return _body_rows(docs, key, html, 1).select(key, "ord", kind.alias("type"))
+
+
 def merged_reports(reports: DataFrame, key: str = "job") -> DataFrame:
     """key and one document of the meaningful report bodies, in category order and then by name. reports: key, name, html."""
     own = reports.filter(tx.html_meaningful(F.col("html")) & ~tx.no_images(F.col("name"))).select(key, tx.category_rank(F.col("name")).alias("rank"), F.lower("name").alias("name"), tx.html_body(F.col("html")).alias("body"))

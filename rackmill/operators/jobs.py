@@ -49,6 +49,18 @@ def latest_job(jobs: DataFrame, files: DataFrame) -> DataFrame:
     return best.select("user_id", "x.job_id", "x.at", F.when(F.col("x.prio") == 0, "table").otherwise("files").alias("found_in"))
 
 
+def current_job(sessions: DataFrame, jobs: DataFrame, folders: DataFrame) -> DataFrame:
+    """user_id, job_id, found_in: the session's job if the table has it, whoever owns it; else the user's newest job; else the newest job_
+    folder of all, if it has an output; else null. Of equal times the last by name.
+    sessions: user_id, job_id; jobs: job_id, user_id, created_at; folders: name, mtime, has_output."""
+    known = jobs.select(F.col("job_id").alias("_s")).distinct()
+    newest = jobs.groupBy("user_id").agg(F.max_by("job_id", F.struct("created_at", "job_id")).alias("_t"))
+    last = folders.filter(F.col("name").startswith("job_")).agg(F.max_by(F.when(F.col("has_output"), F.col("name")), F.struct("mtime", "name")).alias("_f"))
+    out = sessions.select("user_id", "job_id").join(known, F.col("job_id") == F.col("_s"), "left").join(newest, "user_id", "left").withColumn("_f", last.scalar())
+    found = F.when(F.col("_s").isNotNull(), "session").when(F.col("_t").isNotNull(), "table").when(F.col("_f").isNotNull(), "folder")
+    return out.select("user_id", F.coalesce("_s", "_t", "_f").alias("job_id"), found.alias("found_in"))
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 

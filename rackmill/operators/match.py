@@ -158,6 +158,14 @@ def vendor_vote(parts: DataFrame, aliases: DataFrame, least: float = 0.2, fuzzy:
     return won.select("image", "w.*")
 
 
+def vendor_hits(parts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """image, vendor, hits: the image's text parts that hold at least one alias of the vendor, whichever vendor they vote for.
+    parts: image, part; aliases: vendor, alias. Vendors without a hit have no row; blank or null parts and aliases hit nothing."""
+    p = parts.select("image", tx.ocr(F.col("part")).alias("_p")).filter("_p <> ''")
+    v = aliases.withColumn("_a", tx.ocr(F.col("alias"))).filter("_a <> ''").groupBy("vendor").agg(F.collect_set("_a").alias("_as"))
+    return p.join(dimension(v), F.exists("_as", lambda a: F.contains(F.col("_p"), a))).groupBy("image", "vendor").agg(F.count("*").alias("hits"))
+
+
 def early_vendor(fragments: DataFrame, vendors: DataFrame, least: float = 65.0) -> DataFrame:
     """An exact substring, by band and then vendor order, beats any fuzzy hit; else the best fuzzy ratio from `least` on, the first of equals.
     fragments: image, band, text; vendors: ord, vendor."""

@@ -24,6 +24,10 @@ def _dot(a: str, b: str) -> str:
 
 
 _JOBS = "jobs as (select 'job_' || o_orderkey as job_id, o_custkey::varchar as user_id, case when o_orderstatus='F' then 'done' else 'waiting' end as status, o_orderdate as created_at, o_orderkey from orders)"
+_LINES = """with l as (select l_orderkey as doc, l_linenumber, l_partkey, l_suppkey, 'c' || l_returnflag as cable, case when l_returnflag='R' then 'N/A' else l_returnflag end as cable_description,
+  case when l_returnflag='R' or l_linestatus='O' then 'n/a' else 'net' end as usage, l_partkey::varchar as port, l_suppkey::varchar as port_description, l_linenumber::varchar as other_port,
+  coalesce(o_orderpriority='1-URGENT', false) as urgent from lineitem join orders on l_orderkey=o_orderkey),
+numbered as (select *, row_number() over (partition by doc order by l_linenumber, l_partkey, l_suppkey) as ord from l)"""
 _RANK = "case when n like '%rack%' then 0 when n like '%panel%' then 2 when n like '%switch%' then 1 when n like '%cable%' then 3 when n like '%connected%' then 5 when n like '%empty%' then 4 else 999 end"
 _STRIP = r"regexp_replace(%s, '<[^>]*>', '', 'gs')"
 
@@ -149,4 +153,24 @@ SQL: dict[str, str] = {
           and 100*(least(x1+12,px+400)-greatest(x1,px))*(least(y1+10,py+200)-greatest(y1,py)) >= 85*120 and 2*x1+12 between 2*px and 2*px+800 and 2*y1+10 between 2*py and 2*py+400 and 100*(y1+10-py) <= 95*200 group by all)
         select p.image as doc, p.port_id, coalesce(dev.dev_id, fd, around)::varchar as resolved, case when dev.dev_id is not null then 'parent_id' when fd is not null then 'first_device' when around is not null then 'box' end as rule
         from ports p left join dev on dev.image=p.image and p.port_id%2=0 and dev.dev_id = p.port_id%750*20 left join fd on fd.image=p.image left join ins on ins.image=p.image and ins.port_id=p.port_id""",
+    "parent_resolution_lists": f"""with {_PORTS}, {_DEVICES}, dev as (select distinct image, dev_id from devices where dev_id%60=0),
+        fd as (select image, min(dev_id) as fd, min(dev_id::varchar) as holder from dev group by 1),
+        ins as (select p.image, port_id, min(dev_id) as around from ports p join devices d on p.image=d.image where (least(x1+12,px+400)-greatest(x1,px))>0 and (least(y1+10,py+200)-greatest(y1,py))>0
+          and 100*(least(x1+12,px+400)-greatest(x1,px))*(least(y1+10,py+200)-greatest(y1,py)) >= 85*120 and 2*x1+12 between 2*px and 2*px+800 and 2*y1+10 between 2*py and 2*py+400 and 100*(y1+10-py) <= 95*200 group by all)
+        select p.image as doc, p.port_id, case when dev.dev_id is not null then dev.dev_id::varchar when fd is not null and state='connected' then holder else coalesce(fd, around)::varchar end as resolved,
+          case when dev.dev_id is not null then 'parent_id' when fd is not null and state='connected' then 'port_list' when fd is not null then 'first_device' when around is not null then 'box' end as rule
+        from ports p left join dev on dev.image=p.image and p.port_id%2=0 and dev.dev_id = p.port_id%750*20 left join fd on fd.image=p.image left join ins on ins.image=p.image and ins.port_id=p.port_id""",
+    "vendor_hits": r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as part from documents),
+        n as (select doc_id as image, trim(regexp_replace(regexp_replace(translate(replace(lower(part),'\n',' '),'01','ol'),'[^a-z0-9\s-]',' ','g'),'\s+',' ','g')) as p from l),
+        h as (select image, unnest([case when contains(p,'with') or contains(p,'and') then 'w' end, case when contains(p,'der') then 'd' end, case when contains(p,'the of') then 't' end]) as vendor from n where p<>'')
+        select image, vendor, count(*) as hits from h where vendor is not null group by 1,2""",
+    "current_job": f"""with {_JOBS}, done as (select * from jobs where status='done'),
+        s as (select c_custkey::varchar as user_id, case when c_custkey%3=0 then 'job_' || (c_custkey*4) end as job_id from customer),
+        t as (select user_id, job_id, row_number() over (partition by user_id order by created_at desc, job_id desc) as rn from done),
+        f as (select job_id from jobs order by created_at desc nulls last, job_id desc limit 1)
+        select s.user_id, coalesce(d.job_id, t.job_id, f.job_id) as job_id, case when d.job_id is not null then 'session' when t.job_id is not null then 'table' else 'folder' end as found_in
+        from s left join (select distinct job_id from done) d on d.job_id=s.job_id left join t on t.user_id=s.user_id and t.rn=1 cross join f""",
+    "connected_rows": f"""{_LINES} select doc, ord, cable, cable_description, usage, port, port_description, other_port from numbered
+        where not urgent and not (lower(cable_description)='n/a' and usage='n/a')""",
+    "empty_rows": f"""{_LINES} select doc, ord, case when cable='cR' then 'SFP' else 'Ethernet' end as type from numbered""",
 }

@@ -164,6 +164,13 @@ def vendor_exact_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.vendor_vote(lines, aliases, 0.2, fuzzy=False).select("image", "vendor", F.round("total", 3).alias("total"), "votes")
 
 
+@query
+def vendor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = spark.createDataFrame([("w", "with"), ("w", "and"), ("d", "der"), ("t", "the of")], "vendor string, alias string")
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image"), F.explode(F.split("text", "\n")).alias("part"))
+    return match.vendor_hits(lines, aliases)
+
+
 @query
 def port_count_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -316,6 +323,36 @@ def latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest_job(j, f)
 
 
+@query
+def current_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of all customers; a third names a job that may not exist."""
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, F.format_string("job_%d", F.col("c_custkey") * 4)).alias("job_id"))
+    j = _jobs(spark, sf_dir).filter("status = 'done'").select("job_id", "user_id", "created_at")
+    f = table(spark, sf_dir, "orders").select(F.format_string("job_%d", "o_orderkey").alias("name"), F.col("o_orderdate").alias("mtime"), F.lit(True).alias("has_output"))
+    return jobs.current_job(s, j, f)
+
+
+def _port_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An HTML report for each order with a row for each line: seven columns, or five if the order is urgent."""
+    columns = ["no", "cable", "cable_description", "usage", "port", "port_description", "other_port"]
+    power = F.col("l_returnflag") == "R"
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    l = l.select(F.col("l_orderkey").alias("doc"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"), F.when(power, "QSFP28").otherwise(F.col("l_returnflag")).alias("no"), F.concat(F.lit("c"), F.col("l_returnflag")).alias("cable"), F.when(power, "N/A").otherwise(F.col("l_returnflag")).alias("cable_description"),
+                 F.when(power | (F.col("l_linestatus") == "O"), "n/a").otherwise("net").alias("usage"), F.col("l_partkey").alias("port"), F.col("l_suppkey").alias("port_description"), F.col("l_linenumber").alias("other_port"), "o_orderpriority")
+    urgent = F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False))
+    return documents.report_table(l.filter(~urgent), columns, "doc", "at", "ports").unionByName(documents.report_table(l.filter(urgent), columns[:5], "doc", "at", "ports"))
+
+
+@query
+def connected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.connected_rows(_port_reports(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query
+def empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.empty_rows(_port_reports(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+
+
 @query
 def job_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.status_counts(_jobs(spark, sf_dir))
@@ -444,11 +481,25 @@ def kept_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.kept_units(u, "one_kind")
 
 
-@query
-def parent_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devices of an image as nodes, its ports with and without a parent id."""
+def _resolution(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ports and nodes: devices of an image as nodes, its ports with and without a parent id."""
     d = _devices(spark, sf_dir)
     nodes = d.select(F.col("image").alias("doc"), F.col("dev_id").cast("string").alias("node_id"), F.col("ordinal").alias("preorder"), F.when(F.col("dev_id") % 60 == 0, F.col("kind")).otherwise("thing").alias("type"), F.lit(None).cast("string").alias("segmented"), "box", F.lit(False).alias("has_ports"))
     p = _ports(spark, sf_dir).select(F.col("image").alias("doc"), "port_id", F.when(F.col("port_id") % 2 == 0, (F.col("port_id") % 750 * 20).cast("string")).alias("parent_id"), "box")
+    return p, nodes
+
+
+@query
+def parent_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, nodes = _resolution(spark, sf_dir)
     holds = nodes.limit(0).select("doc", F.col("node_id").alias("dev_id"), F.lit(0).cast("long").alias("port_id"))
     return hierarchy.parents(p, nodes, holds).select("doc", "port_id", "resolved", "rule")
+
+
+@query
+def parent_resolution_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with port lists: every device lists the connected ports of its image."""
+    p, nodes = _resolution(spark, sf_dir)
+    connected = _ports(spark, sf_dir).filter("state = 'connected'").select(F.col("image").alias("doc"), "port_id")
+    holds = connected.join(nodes.select("doc", F.col("node_id").alias("dev_id")), "doc")
+    return hierarchy.parents(p, nodes, holds).select("doc", "port_id", "resolved", "rule")

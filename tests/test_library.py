@@ -375,3 +375,38 @@ def test_colours_and_name_scores(spark):
             return (hold if y and y in x else 0) + 0.6 * len(set(x.split()) & set(y.split())) / max(1, len(set(y.split()))) + 0.5 * difflib.SequenceMatcher(None, x, y).ratio()
 
         assert r.t == pytest.approx(score(a, b, 2)) and r.s == pytest.approx(score(r.a, r.b, 1) if r.a and r.b else 0)
+
+
+def test_composite_groups_take_the_best_of_each_score(spark):
+    """Crops 0 and 1 share a group; crop 2 is near 0 by one score and near 1 by the other, so only the bests together reach the limit."""
+    rows = [(0, 0, 1.0, 1.0), (1, 1, 1.0, 1.0), (2, 2, 1.0, 1.0), (0, 1, 0.9, 0.9), (2, 0, 1.0, 0.2), (1, 2, 0.2, 1.0), (3, 3, 1.0, 1.0), (3, 0, float("nan"), 1.0), (3, 1, None, 1.0)]
+    pairs = spark.createDataFrame([("c", *r) for r in rows], "class string, a long, b long, u double, v double")
+    got = cluster.composite_cluster(pairs, weights={"u": 0.5, "v": 0.5}).orderBy("crop_id").collect()
+    assert [r.group_no for r in got] == [0, 0, 0, 1]
+    assert abs(sum(cluster.CROP_WEIGHTS.values()) - 1) < 1e-9
+    assert cluster.composite_cluster(pairs.limit(0), weights={"u": 1.0}).count() == 0
+
+
+def test_current_job_falls_back_twice(spark):
+    sessions = spark.createDataFrame([("u", "job_9"), ("v", "job_0"), ("w", None)], "user_id string, job_id string")
+    known = spark.createDataFrame([("job_9", "x", 1), ("job_1", "v", 1), ("job_2", "v", 2)], "job_id string, user_id string, created_at int")
+    folders = spark.createDataFrame([("job_a", 1, True), ("job_b", 2, True), ("tmp", 3, True)], "name string, mtime int, has_output boolean")
+    found = lambda f: sorted((r.user_id, r.job_id, r.found_in) for r in jobs.current_job(sessions, known, f).collect())
+    assert found(folders) == [("u", "job_9", "session"), ("v", "job_2", "table"), ("w", "job_b", "folder")]
+    assert found(folders.withColumn("has_output", F.lit(False)))[2] == found(folders.limit(0))[2] == ("w", None, None)
+
+
+def test_port_rows_need_cells(spark):
+    row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    html = "<table>" + row(*"abcdefg") + row(1, "RJ45", "copper", "net", "p1", "d") + row(1, 2, 3, 4, 5) + row(1, "x", "N/A", "n/a", 5, 6, 7) + row("a QSFP28 port") + row() + "</table>"
+    docs = spark.createDataFrame([(1, html), (2, None), (3, "")], "doc int, html string")
+    got = documents.connected_rows(docs).collect()
+    assert [(r.doc, r.ord, r.cable, r.port, r.other_port) for r in got] == [(1, 1, "RJ45", "p1", "")]
+    assert [(r.ord, r.type) for r in documents.empty_rows(docs).orderBy("ord").collect()] == [(1, "Ethernet"), (2, "Ethernet"), (3, "Ethernet"), (4, "SFP")]
+
+
+def test_vendor_hits_count_parts_once(spark):
+    parts = spark.createDataFrame([("i", "Cisco cisco systems"), ("i", "CISCO"), ("i", None), ("j", "dell or cisco"), ("j", "")], "image string, part string")
+    aliases = spark.createDataFrame([("Cisco", "cisco"), ("Cisco", "cisco systems"), ("Dell", "dell"), ("No", " ")], "vendor string, alias string")
+    got = sorted(map(tuple, match.vendor_hits(parts, aliases).collect()))
+    assert got == [("i", "Cisco", 2), ("j", "Cisco", 1), ("j", "Dell", 1)]
