@@ -81,8 +81,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_documents(spark, sf_dir))[0]
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_shards, op2_url_filter, op3_token_counts, op4_sentencepiece, op5_ngram_jaccard, op6_quality_rules, op7_sharding, op8_quality_classifier, op9_language_id, op10_decontamination)
+    f.__name__: f for f in (op1_token_shards, op2_url_filter, op3_token_counts, op4_sentencepiece, op5_ngram_jaccard, op6_quality_rules, op7_sharding, op8_quality_classifier, op9_language_id, op10_decontamination, op11_whitening, op12_source_mix, op13_spelling_variants)
 }
 
 #: Other operators hash, train or tokenize, which SQL doesn't; their tests hold them against brute force.
