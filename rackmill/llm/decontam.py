@@ -12,7 +12,7 @@ at most SUBSTITUTED of its tokens. The document is contaminated if a stretch has
 COVER of an item of which that is fewer.
 
 The index of the items (hashes and tokens) is built on the driver in blocks of at most BLOCK_TOKENS tokens, so what is
-broadcast at once is bounded; each further block is a further pass over the documents.
+broadcast at once is bounded; with more than one each is a pass over the documents, after which it is let go. Texts are then known by their md5.
 
 Defined results: null and empty texts are clean; null and empty items, and items of fewer than SHORTEST
 tokens, match nothing. Equal items are all named. Repeated rows each get a row; other columns stay or are ignored.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free
+from .common import free, materialize
 from .words import U, hashes, mix, parts, raw, tidy
 
 #: Six or seven of eleven positions each. In every stretch of LEAST tokens or more with at most SUBSTITUTED of them substituted a mask fits somewhere.
@@ -140,7 +140,9 @@ class Index:
         out: list[dict[int, int]] = [{} for _ in range(len(texts))]
         # one alignment for each text, item and diagonal; the three as one number
         items, span = len(self.ids) + 1, len(t) + len(self.tokens) + 1
-        assert len(texts) * items * span < 2**63
+        if len(texts) > 1 and len(texts) * items * span >= 2**63:
+            half = len(texts) // 2
+            return self.overlaps(texts[:half]) + self.overlaps(texts[half:])
         found = [np.zeros(0, np.int64)]
         for p, q in self.hits(t, at):
             doc, item = np.searchsorted(at, p, "right") - 1, np.searchsorted(self.starts, q, "right") - 1
@@ -208,19 +210,37 @@ def _finder(known):
 
 
 def matched(docs: DataFrame, items: DataFrame, text_col: str = "text", out: str | None = None, item_id: str = "item_id", item_text: str = "text", most: int = BLOCK_TOKENS) -> DataFrame:
-    """docs with a struct, named `out`, else _found, of items (array of ids, ascending) and longest (tokens of the longest stretch). A column of that name goes."""
+    """docs with a struct, named `out`, else _found, of items (array of ids, ascending) and longest (tokens of the longest stretch). A column of that name goes.
+
+    One block is one pass. Of several, each writes the answers of the texts it meets, by the texts' md5, and is let go before the next one is sent;
+    the answers are merged and joined back, so the plan is as long for many blocks as for two."""
     out = out or "_found"
     docs = docs.drop(out)
-    found = F.struct(F.array().cast("array<long>").alias("items"), F.lit(0).cast("int").alias("longest"))
-    for k, index in enumerate(blocks(items, item_id, item_text, most)):
-        own = f"{out}_{k}"
-        docs = docs.withColumn(own, _finder(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
-        if k:
-            both = F.struct(F.array_sort(F.array_union(f"{out}.items", f"{own}.items")).alias("items"), F.greatest(f"{out}.longest", f"{own}.longest").alias("longest"))
-            docs = docs.withColumn(out, both).drop(own)
-        else:
-            docs = docs.withColumnRenamed(own, out)
-    return docs if out in docs.columns else docs.withColumn(out, found)
+    spark = docs.sparkSession
+    known = blocks(items, item_id, item_text, most)
+    first, second = next(known, None), next(known, None)
+    nothing = F.struct(F.array().cast("array<long>").alias("items"), F.lit(0).cast("int").alias("longest"))
+    if first is None:
+        return docs.withColumn(out, nothing)
+    if second is None:
+        return docs.withColumn(out, _finder(spark.sparkContext.broadcast(first))(F.col(text_col)))
+    paths: list[str] = []
+    texts = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text"))
+    waiting = [first, second]
+    del first, second
+    while waiting:
+        index = waiting.pop(0)
+        sent = spark.sparkContext.broadcast(index)
+        answers = texts.select("key", _finder(sent)(F.col("text")).alias("f")).filter("f.longest > 0")
+        # equal texts have equal answers
+        answers = materialize(answers.groupBy("key").agg(F.first("f.items").alias("items"), F.max("f.longest").alias("longest")), "hits", paths)
+        sent.destroy()
+        waiting = waiting or [x for x in (next(known, None),) if x is not None]
+    merged = spark.read.schema(answers.schema).parquet(*paths).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+    key, own = free(docs, "_key"), free(docs, "_own")
+    found = merged.select(F.col("key").alias(own), F.struct("items", "longest").alias(out))
+    joined = docs.withColumn(key, F.md5(text_col)).join(found, F.col(key) == F.col(own), "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), nothing)).drop(key, own)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -525,6 +525,37 @@ def test_overlaps_with_substitutions(spark):
     assert decontam.clean(d, i).columns == d.columns and decontam.clean(d, i).count() == sum(not v for v in want.values())
 
 
+def test_many_blocks_of_items_are_one(spark):
+    """64 blocks give what one gives, repeated rows and ids and clashing names included, and the plan doesn't grow with them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    items = [(k % 60, " ".join(word() for _ in range(20))) for k in range(64)]
+    text = lambda *held: " ".join([*(word() for _ in range(20)), *held, *(word() for _ in range(20))])
+    rows = [(k, text(items[k % 64][1])) for k in range(80)] + [(1, text(items[3][1], items[62][1], items[63][1]))] * 3 + [(1, None), (None, None), (7, ""), (7, text())] * 2
+    d = spark.createDataFrame([(i, t, "x", 1, "k") for i, t in rows], "doc_id long, text string, items string, longest int, key string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    one, many = decontam.matched(d, i), decontam.matched(d, i, most=50)
+    assert sum(1 for _ in decontam.blocks(i, most=50)) == 64
+    rows_of = lambda df: Counter(str(r) for r in df.collect())
+    assert one.columns == many.columns and rows_of(one) == rows_of(many) and rows_of(one).total() == len(rows)
+    assert len(many._jdf.queryExecution().analyzed().toString()) < 2 * len(decontam.matched(d, i, most=700)._jdf.queryExecution().analyzed().toString())
+
+
+def test_a_part_too_large_for_one_number_is_split():
+    index = decontam.Index([(k, f"a b c d e f g h i j k l m n o p{k}") for k in range(3)])
+    texts = pa.array(["a b c d e f g h i j k l m n o p1", "x", None] * 3)
+    whole = index.overlaps(texts)
+    index.ids = _Wide(index.ids)
+    assert index.overlaps(texts) == whole and whole[0] == {0: 15, 1: 16, 2: 15}
+
+
+class _Wide(list):
+    """A list that says it is very long, as one of many items would be."""
+
+    def __len__(self):
+        return 2**55
+
+
 @pytest.mark.parametrize(("n", "k"), [(13, 2), (16, 3), (20, 4)])
 def test_masks_miss_no_pattern_of_substitutions(n, k):
     for lost in itertools.combinations(range(n), k):
