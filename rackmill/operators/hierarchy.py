@@ -1,7 +1,7 @@
 """Trees of detected things as node tables, and lookups by falling priority.
 
 nodes: doc, node_id, preorder (position in document order), parent_path, type, segmented, box, has_ports. A tree with nested
-objects becomes such a table once (documents.json_leaves gives the paths); every lookup is then a join or an aggregation.
+objects becomes such a table once (tree.walk); every lookup is then a join or an aggregation.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as tx
 from .match import dimension, first_match
+from .spatial import overlap_join
 
 # ---- fixed values -------------------------------------------------------------------------------
 #: Port and connector kinds that name a patch panel's model, tried in this order.
@@ -48,9 +49,10 @@ def parents(ports: DataFrame, nodes: DataFrame, holds: DataFrame) -> DataFrame:
     """
     dev = nodes.filter(is_device(F.col("type"), F.col("node_id"), F.col("has_ports"))).select("doc", F.col("node_id").alias("named"))
     holder = holds.join(dev.select("doc", F.col("named").alias("dev_id")), ["doc", "dev_id"], "left_semi").groupBy("doc", "port_id").agg(F.min("dev_id").alias("holder"))
-    boxes = nodes.filter("box is not null").select("doc", "preorder", F.col("node_id").alias("around"), F.col("box").alias("around_box"))
-    inside = ports.select("doc", "port_id", "box").join(boxes, "doc").filter(g.containment(F.col("box"), F.col("around_box")) == "Valid").groupBy("doc", "port_id").agg(F.min_by("around", "preorder").alias("around"))
-    p = ports.join(dev.distinct(), (ports["doc"] == dev["doc"]) & (F.col("parent_id") == F.col("named")), "left").drop(dev["doc"])
+    boxes = nodes.filter("box is not null and node_id is not null").select("doc", "preorder", F.col("node_id").alias("around"), F.col("box").alias("around_box"))
+    inside = overlap_join(ports.select("doc", "port_id", "box").filter("box is not null"), boxes, "doc", "box", "around_box").filter(g.containment(F.col("box"), F.col("around_box")) == "Valid").groupBy("doc", "port_id").agg(F.min_by("around", "preorder").alias("around"))
+    ids = dev.distinct().select(F.col("doc").alias("_doc"), "named")  # ports may come from the nodes themselves
+    p = ports.join(ids, (F.col("doc") == F.col("_doc")) & (F.col("parent_id") == F.col("named")), "left").drop("_doc")
     p = p.join(holder, ["doc", "port_id"], "left").join(first_device(nodes), "doc", "left").join(inside, ["doc", "port_id"], "left")
     found = F.coalesce("named", "holder", "first_device", "around")
     rule = F.when(F.col("named").isNotNull(), "parent_id").when(F.col("holder").isNotNull(), "port_list").when(F.col("first_device").isNotNull(), "first_device").when(F.col("around").isNotNull(), "box")

@@ -1 +1,6 @@
+"""The registered queries, and the same as SQL."""
 
+from . import oracles, queries, trees
+
+QUERIES = {**queries.QUERIES, **trees.QUERIES}
+SQL = {**oracles.SQL, **trees.SQL}

@@ -17,8 +17,7 @@ from rackmill.functions import geometry as g
 from rackmill.functions import similarity as sim
 from rackmill.functions import text as tx
 from rackmill.operators import cluster, documents, jobs, match, spatial
-from rackmill.plans.oracles import SQL
-from rackmill.plans.queries import QUERIES
+from rackmill.plans import QUERIES, SQL
 from rackmill.sources import readers, sinks
 from rackmill.streaming import feed
 
