@@ -7,8 +7,10 @@ Python's difflib or an LCS, which callers apply to distinct pairs only.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,6 +138,70 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     return _udf(_fuzzy)(a, b)
 
 
+class _Aliases:
+    """Aliases with their words and their counts of characters, for an upper bound of the sequence ratio: 2 * common characters / all characters."""
+
+    def __init__(self, aliases: list[str]):
+        self.aliases, self.words = aliases, [set(a.split()) for a in aliases]
+        self.letters = {c: k for k, c in enumerate(sorted(set("".join(aliases))))}
+        self.counts = np.array([self._count(a) for a in aliases], np.int32).reshape(len(aliases), len(self.letters))
+        self.sizes = np.array([len(a) for a in aliases])
+        self.by_word: dict[str, list[int]] = {}
+        for k, words in enumerate(self.words):
+            for w in words:
+                self.by_word.setdefault(w, []).append(k)
+
+    def _count(self, text: str) -> np.ndarray:
+        at = [self.letters[c] for c in text if c in self.letters]
+        return np.bincount(np.array(at, np.int64), minlength=len(self.letters))
+
+    def best(self, text: str, least: float, fuzzy: bool) -> tuple[float, int] | None:
+        """The largest score and the first alias that has it; None below `least`. Aliases whose bound stays below the best score so far are not compared."""
+        if not text or not self.aliases:
+            return None
+        base = np.array([1.0 if a in text else 0.0 for a in self.aliases])
+        words = set(text.split())
+        for k in {k for w in words for k in self.by_word.get(w, ())}:
+            base[k] += 0.6 * (len(words & self.words[k]) / len(self.words[k]))
+        if not fuzzy:
+            k = int(base.argmax())
+            return (float(base[k]), k) if base[k] >= least else None
+        most = base + np.minimum(self._count(text), self.counts).sum(1) / (len(text) + self.sizes) + 1e-9
+        score, found = -1.0, -1
+        for k in np.argsort(-most, kind="stable").tolist():
+            if most[k] < max(score, least):
+                break
+            s = float(base[k]) + 0.5 * _ratio(text, self.aliases[k])
+            if s > score or s == score and k < found:
+                score, found = s, k
+        return (score, found) if score >= least else None
+
+
+def best_alias(aliases, least: float, fuzzy: bool = True):
+    """A function of two text columns, alternatives of each other: struct of score and alias (its number) of the better one, the first of equals; null below `least`. aliases: a broadcast list."""
+
+    @F.arrow_udf("score double, alias int")
+    def apply(first: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known, memo = _Aliases(aliases.value), {}
+
+        def judged(text: str | None):
+            if text not in memo:
+                if len(memo) >= 1 << 16:
+                    memo.clear()
+                memo[text] = known.best(text or "", least, fuzzy)
+            return memo[text]
+
+        for a, b in first:
+            out = []
+            for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+                p, q = judged(x), judged(y) if y else None
+                best = q if q and (not p or q[0] > p[0]) else p
+                out.append(best and {"score": best[0], "alias": best[1]})
+            yield pa.array(out, pa.struct([("score", pa.float64()), ("alias", pa.int32())]))
+
+    return apply
+
+
 def alias_score(part: Column, alias: Column) -> Column:
     """1 if the part holds the alias, plus 0.6 of the share of the alias' tokens that the part has, plus 0.5 of the sequence ratio; 0 if either is empty."""
     p, a = F.lower(part), F.lower(alias)

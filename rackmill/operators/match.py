@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
+from .fuzzy import ratio_join
 
 #: A dimension of at most this many rows may be broadcast; a larger one is shuffled on the key.
 DIMENSION_ROWS = 1_000_000
+#: Vendor aliases that may go to all tasks.
+VOCABULARY = 100_000
 
 
 def dimension(d: DataFrame, limit: int = DIMENSION_ROWS) -> DataFrame:
@@ -105,24 +108,27 @@ def expected_cable(facts: DataFrame, port_cable: DataFrame, port: str = "port_cl
 
 
 def close_match(facts: DataFrame, dim: DataFrame, key: str, name: str, least: float = 0.6) -> DataFrame:
-    """facts with `matched`: the dimension name that is equal after normalising, else the best by sequence ratio from `least` on, else null."""
-    d = dim.select(F.col(name).alias("_name"), tx.spaced(F.col(name)).alias("_norm")).distinct()
+    """facts with `matched`: the dimension name that is equal after normalising, else the best by sequence ratio from `least` on (of equal ratios the last by its
+    normalised form), else null. Names that are equal after normalising count as the first of them. Null and blank keys match nothing but their like."""
+    d = dim.select(F.col(name).alias("_name"), tx.spaced(F.col(name)).alias("_norm")).groupBy("_norm").agg(F.min("_name").alias("_name"))
     f = facts.select(key).distinct().withColumn("_q", tx.spaced(F.col(key)))
-    exact = f.join(dimension(d), F.col("_q") == F.col("_norm")).groupBy(key).agg(F.min("_name").alias("matched"))
-    rest = f.join(exact.select(F.col(key).alias("_x")), f[key].eqNullSafe(F.col("_x")), "left_anti")
-    near = rest.join(dimension(d), F.lit(True)).withColumn("ratio", sim.sequence_ratio(F.col("_q"), F.col("_norm"))).filter(F.col("ratio") >= least)
-    near = near.groupBy(key).agg(F.min_by("_name", F.struct((-F.col("ratio")).alias("r"), F.col("_name"))).alias("matched"))
-    found = exact.unionByName(near)
-    return facts.join(found, key, "left")
+    texts = f.join(d.select(F.col("_norm").alias("_q")), "_q", "left_anti").select(F.col("_q").alias("text"))
+    near = ratio_join(texts, d.select(F.col("_norm").alias("text")), lambda a, b: sim.sequence_ratio(b, a), least)
+    best = near.groupBy(F.col("a").alias("_q")).agg(F.max_by("b", F.struct("ratio", "b")).alias("_norm"))
+    both = f.join(best, "_q", "left").withColumn("_norm", F.coalesce("_norm", "_q")).join(d, "_norm", "left").select(F.col(key).alias("_key"), F.col("_name").alias("matched"))
+    return facts.join(both, facts[key].eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def describe_models(facts: DataFrame, dim: DataFrame, key: str = "model", least: float = 85.0) -> DataFrame:
-    """facts with the description of the model with the best Indel ratio, from `least` on. dim: Model (several between slashes), Description."""
+    """facts with the description of the model with the best Indel ratio, from `least` (0 to 100) on. dim: Model (several between slashes), Description."""
     d = dim.select(F.explode(F.split("model", "/")).alias("_m"), "description").withColumns({"_m": F.trim("_m"), "_n": tx.alnum(F.trim("_m"))}).filter("_n <> ''")
+    d = d.groupBy("_n").agg(F.min(F.struct("_m", "description")).alias("_d"))
     f = facts.select(key).distinct().withColumn("_q", tx.alnum(F.col(key)))
-    hits = f.join(dimension(d), F.lit(True)).withColumn("ratio", sim.indel_ratio(F.col("_q"), F.col("_n"))).filter(F.col("ratio") >= least)
-    best = hits.groupBy(key).agg(F.min_by(F.struct(F.col("_m").alias("matched"), "description", F.round("ratio", 4).alias("ratio")), F.struct((-F.col("ratio")).alias("r"), F.col("_m"))).alias("_d"))
-    return facts.join(best, key, "left").select(*facts.columns, "_d.matched", "_d.description", "_d.ratio")
+    hits = ratio_join(f.select(F.col("_q").alias("text")), d.select(F.col("_n").alias("text")), lambda a, b: sim.indel_ratio(a, b) / 100, least / 100)
+    named = hits.join(d, F.col("b") == F.col("_n"))
+    best = named.groupBy(F.col("a").alias("_q")).agg(F.min_by(F.struct(F.col("_d._m").alias("matched"), F.col("_d.description").alias("description"), F.round(F.col("ratio") * 100, 4).alias("ratio")), F.struct((-F.col("ratio")).alias("r"), F.col("_d._m"))).alias("_d"))
+    found = f.join(best, "_q").select(F.col(key).alias("_key"), "_d.*")
+    return facts.join(found, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def keyed_distinct(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -138,24 +144,26 @@ def content_distinct(rows: DataFrame, content: str, order: str, per: Sequence[st
     return d.join(first, [*per, "_md5", order], "left_semi").drop("_md5")
 
 
-def vendor_vote(parts: DataFrame, aliases: DataFrame, least: float = 0.2, fuzzy: bool = True) -> DataFrame:
-    """The vendor of each image by a vote of its text parts.
+def vendor_vote(parts: DataFrame, aliases: DataFrame, least: float = 0.2, fuzzy: bool = True, examples: bool = False) -> DataFrame:
+    """The vendor of each image by a vote of its text parts: image, vendor, total, votes (and examples: the voting parts with their scores, in order).
 
-    parts: image, part; aliases: ord, vendor, alias. Each part votes for its best vendor (the first of equals) if the score
-    reaches `least`; the winner has the largest sum of scores (three decimals), then the most votes, then the lowest ord.
+    parts: image, part; aliases: ord, vendor, alias, a vocabulary of at most VOCABULARY rows. A part and what it has left of a bracket are alternatives; its score is that of its best vendor (the
+    first by ord of equals): 1 for an alias that it holds, 0.6 of the share of the alias' words that it has, 0.5 of the sequence ratio (fuzzy). A part votes if that reaches
+    `least`; the winner has the largest sum of scores (three decimals), then the most votes, then the lowest ord. Blank parts and aliases take no part.
     """
-    p = parts.withColumn("_p", tx.ocr(F.col("part"))).filter("_p <> ''")
-    distinct = p.select("_p").distinct()
-    pairs = distinct.join(dimension(aliases.withColumn("_a", tx.ocr(F.col("alias"))).filter("_a <> ''")), F.lit(True))
-    x, y = F.array_distinct(F.split("_p", " ")), F.array_distinct(F.split("_a", " "))
-    score = F.when(F.contains("_p", "_a"), 1.0).otherwise(0.0) + 0.6 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(y), F.lit(1))
-    if fuzzy:
-        score = score + 0.5 * sim.sequence_ratio(F.col("_p"), F.col("_a"))
-    best = pairs.withColumn("score", score).groupBy("_p").agg(F.max(F.struct("score", (-F.col("ord")).alias("ord"), "vendor")).alias("b")).filter(F.col("b.score") >= least)
-    votes = p.join(best, "_p").select("image", "part", F.col("b.vendor").alias("vendor"), F.col("b.score").alias("score"), F.col("b.ord").alias("ord"))
-    per = votes.groupBy("image", "vendor").agg(F.bround(F.sum("score"), 3).alias("total"), F.count("*").alias("votes"), F.max("ord").alias("ord"), F.array_sort(F.collect_set("part")).alias("examples"))
-    won = per.groupBy("image").agg(F.max_by(F.struct("vendor", "total", "votes", "examples"), F.struct("total", "votes", "ord")).alias("w"))
-    return won.select("image", "w.*")
+    listed = aliases.select("ord", "vendor", tx.ocr(F.col("alias")).alias("a")).filter("a <> ''").orderBy("ord", "vendor", "a").limit(VOCABULARY + 1).collect()
+    if len(listed) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} aliases")
+    spark = parts.sparkSession
+    left = F.when(F.contains("part", F.lit("(")), F.nullif(F.trim(F.regexp_extract("part", r"^([^(]*)", 1)), F.lit("")))
+    best = sim.best_alias(spark.sparkContext.broadcast([r.a for r in listed]), least, fuzzy)
+    scored = parts.select("image", "part", best(tx.ocr(F.col("part")), tx.ocr(left)).alias("_b")).filter("_b is not null")
+    names = spark.createDataFrame([(k, r.ord, r.vendor) for k, r in enumerate(listed)], "_k int, ord int, vendor string")
+    votes = scored.select("image", "part", F.col("_b.score").alias("score"), F.col("_b.alias").alias("_k")).join(F.broadcast(names), "_k")
+    own = [F.transform(F.sort_array(F.collect_list(F.struct("part", "score"))), lambda x: F.struct(x["part"].alias("part"), F.bround(x["score"], 3).alias("score"))).alias("examples")] if examples else []
+    per = votes.groupBy("image", "vendor").agg(F.bround(F.sum("score"), 3).alias("total"), F.count("*").alias("votes"), F.min("ord").alias("ord"), *own)
+    kept = ["vendor", "total", "votes", *(["examples"] if examples else [])]
+    return per.groupBy("image").agg(F.max_by(F.struct(*kept), F.struct("total", "votes", (-F.col("ord")).alias("o"))).alias("w")).select("image", "w.*")
 
 
 def vendor_hits(parts: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -164,6 +164,16 @@ def vendor_exact_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.vendor_vote(lines, aliases, 0.2, fuzzy=False).select("image", "vendor", F.round("total", 3).alias("total"), "votes")
 
 
+@query
+def vendor_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the fuzzy part, over parts between line ends, commas and semicolons, for brands spelled in several ways."""
+    part = table(spark, sf_dir, "part")
+    aliases = part.select("p_brand").distinct().select(F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("ord"), F.col("p_brand").alias("vendor"), F.explode(F.array(F.col("p_brand"), F.concat(F.lit("b "), F.regexp_extract("p_brand", "([0-9]+)", 1)))).alias("alias"))
+    spelled = F.when(F.col("p_partkey") % 4 == 0, F.replace("p_brand", F.lit("a"), F.lit("@"))).when(F.col("p_partkey") % 4 == 1, F.concat("p_brand", F.lit(" (rev 2)"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("made by "), F.upper("p_brand"))).otherwise(F.col("p_name"))
+    parts = part.select(F.expr("p_partkey div 10").alias("image"), F.explode(F.filter(F.transform(F.split(F.concat(spelled, F.lit(", "), "p_type"), r"[\n,;]+"), lambda p: F.trim(p)), lambda p: p != "")).alias("part"))
+    return match.vendor_vote(parts, aliases).select("image", "vendor", "total", "votes")
+
+
 @query
 def vendor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = spark.createDataFrame([("w", "with"), ("w", "and"), ("d", "der"), ("t", "the of")], "vendor string, alias string")
@@ -437,14 +447,14 @@ def penalised_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fuzzy_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    dim = part.select(F.concat(F.upper("p_name"), F.lit("/x"), F.col("p_brand")).alias("model"), F.col("p_type").alias("description")).groupBy("model").agg(F.min("description").alias("description"))
-    return match.describe_models(part.select("p_partkey", F.concat("p_name", F.lit("s")).alias("model")), dim)
+    dim = part.select(F.concat(F.upper("p_name"), F.lit("/x"), F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit("port")).alias("model"), F.col("p_type").alias("description")).groupBy("model").agg(F.min("description").alias("description"))
+    return match.describe_models(part.select("p_partkey", F.concat("p_name", F.lit("s "), F.col("p_size").cast("string")).alias("model")), dim)
 
 
 @query
 def close_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return match.close_match(part.select("p_partkey", F.substring("p_name", 2, 100).alias("port")), part.select("p_name"), "port", "p_name")
+    return match.close_match(part.select("p_partkey", F.concat(F.substring("p_name", 2, 100), F.lit("_"), "p_type").alias("port")), part.select(F.concat("p_name", F.lit(" "), "p_type").alias("name")), "port", "name")
 
 
 @query
