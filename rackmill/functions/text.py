@@ -14,11 +14,20 @@ CABLE_LABELS = (("rj45", "RJ45"), ("hdmia", "HDMI"), ("hdmi", "HDMI"), ("lc", "L
 CABLE_ALIASES = (("ethernet", "rj45"), ("usb", "usb"), ("sc", "sc"), ("lc", "lc"), ("hdmi", "hdmia"), ("hdmi", "hdmi"), ("bnc", "bnc"), ("ps2", "ps2"), ("nema", "nema"), ("rs232", "rs232"), ("sfp", "sfp"), ("xfp", "xfp"))
 #: Report categories in output order.
 CATEGORIES = ("rack", "switch", "patchpanel", "cable", "empty_port", "connected_port")
+#: Words in a report's name and the category they stand for, tried in this order.
+CATEGORY_WORDS = (("rack", "rack"), ("patchpanel", "patchpanel"), ("patch_panel", "patchpanel"), ("switch", "switch"), ("cable", "cable"), ("connected_port", "connected_port"), ("empty_port", "empty_port"), ("ports_results", "empty_port"))
+#: Forms in which a model's name tells its number of ports, with the group that has it, tried in this order.
+PORT_COUNT_FORMS = ((r"-(\d{2})([A-Z]|$)", 1), (r"(GS|DGS|SGD|XS|XGS)\D*(\d{2})$", 2), (r"\d{2}(\d{2})$", 1))
 #: Canonical colours in order of preference.
 COLOURS = ("black", "blue", "green", "grey", "white", "yellow", "orange", "red", "brown", "purple", "pink", "beige", "cyan", "magenta")
 # -------------------------------------------------------------------------------------------------
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once and named once in the plan."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def alnum(s: Column) -> Column:
     """Lower-cased ASCII letters and digits; null becomes empty."""
     return F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]", "")
@@ -76,8 +85,7 @@ def title(s: Column) -> Column:
 def port_count(model: Column) -> Column:
     """The number of ports that a model's name tells; null if none. Forms: -24TT, GS24, DGS..10."""
     m = F.upper(F.regexp_replace(F.coalesce(model, F.lit("")), r"\.[A-Za-z0-9]{1,5}$", ""))
-    forms = ((r"-(\d{2})([A-Z]|$)", 1), (r"(GS|DGS|SGD|XS|XGS)\D*(\d{2})$", 2), (r"\d{2}(\d{2})$", 1))
-    return F.coalesce(*(F.nullif(F.regexp_extract(m, p, g), F.lit("")) for p, g in forms)).cast("int")
+    return F.coalesce(*(F.nullif(F.regexp_extract(m, p, g), F.lit("")) for p, g in PORT_COUNT_FORMS)).cast("int")
 
 
 def cable_label(port: Column) -> Column:
@@ -85,13 +93,16 @@ def cable_label(port: Column) -> Column:
     out = F.when(F.lit(False), "")
     for prefix, label in CABLE_LABELS:
         out = out.when(p.startswith(prefix) | (p.contains("rs232") if prefix == "rs232" else F.lit(False)), label)
-    return out.otherwise(title(F.coalesce(port, F.lit(""))))
+    return out.otherwise(F.trim(title(F.coalesce(port, F.lit("")))))
 
 
 def category(name: Column) -> Column:
-    """A report's category by its name; null if unknown. Found in another order than they are sorted in."""
-    n = F.lower(F.coalesce(name, F.lit("")))
-    return F.when(n.contains("rack"), "rack").when(n.contains("panel"), "patchpanel").when(n.contains("switch"), "switch").when(n.contains("cable"), "cable").when(n.contains("connected"), "connected_port").when(n.contains("empty"), "empty_port")
+    """A report's category by its name, with spaces and hyphens read as underscores; null if unknown. Found in another order than they are sorted in."""
+    n = F.translate(F.lower(F.coalesce(name, F.lit(""))), " -", "__")
+    out = F.when(F.lit(False), "")
+    for word, found in CATEGORY_WORDS:
+        out = out.when(n.contains(word), found)
+    return out
 
 
 def category_rank(name: Column) -> Column:
@@ -106,6 +117,11 @@ def one_line(s: Column) -> Column:
     return F.trim(F.translate(F.coalesce(s, F.lit("")), "\n\r", " "))
 
 
+def one_line_or_null(s: Column) -> Column:
+    """White space as single spaces; null where nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(s, r"\s+", " ")), F.lit(""))
+
+
 def html_escape(s: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -123,20 +139,35 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
-def html_rows(html: Column) -> Column:
-    """Arrays of cell texts, one for each <tr>."""
+def html_unescape(s: Column) -> Column:
+    """The five escaped characters and the fixed space as themselves."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return s
+
+
+def html_rows(html: Column, cell: str = "t[dh]") -> Column:
+    """Arrays of cell texts, one for each <tr>. cell: which tags are cells."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)))
-    return F.transform(cells, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), r"\s+", " "))))
+    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(rf"(?is)<{cell}(?:\s[^>]*)?>(.*?)</{cell}>"), F.lit(1)))
+    return F.transform(cells, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(html_unescape(F.regexp_replace(c, r"(?s)<[^>]*>", "")), r"\s+", " "))))
 
 
-def html_meaningful(html: Column) -> Column:
-    """Pictures count; of a table any row but the first with more than three characters of text; else more than 30 characters."""
-    picture = html.rlike(r"(?i)<img|<picture|data:image")
+def _meaningful(html: Column, pictures: str) -> Column:
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     told = F.exists(F.slice(rows, 2, 1 << 30), lambda r: F.length(F.trim(F.regexp_replace(r, r"(?s)<[^>]*>", ""))) > 3)
     plain = F.length(F.trim(F.regexp_replace(html, r"(?s)<[^>]*>", "")))
-    return F.coalesce(F.when(picture, True).when(F.size(rows) > 0, told).otherwise(plain > 30), F.lit(False))
+    return F.coalesce(F.when(html.rlike(pictures), True).when(html.rlike(r"(?i)<table\b"), told).otherwise(plain > 30), F.lit(False))
+
+
+def html_meaningful(html: Column) -> Column:
+    """Pictures count; of a document with a table any row but the first with more than three characters of text; else more than 30 characters."""
+    return _meaningful(html, r"(?i)<img\b|<picture\b|data:image/")
+
+
+def body_meaningful(body: Column) -> Column:
+    """The same for a report's body, in which drawings count as pictures and embedded data alone doesn't."""
+    return _meaningful(body, r"(?i)<img|<picture|<svg|<canvas")
 
 
 def html_keyed(html: Column) -> Column:
@@ -147,12 +178,41 @@ def html_keyed(html: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def absolute_urls(html: Column, base: str) -> Column:
-    """Relative src, href, url() and srcset entries under base; anchors, data and absolute ones stay."""
-    keep = r"(?!(?:[a-z][a-z0-9+.-]*:|//|/|#))"
-    html = F.regexp_replace(html, rf'(?i)(\b(?:src|href)\s*=\s*["\'])\s*{keep}', f"$1{base}/")
-    html = F.regexp_replace(html, rf'(?i)(url\(\s*["\']?)\s*{keep}', f"$1{base}/")
-    return F.regexp_replace(html, rf'(?i)(srcset\s*=\s*["\']|(?<=\dx),\s*|(?<=\dw),\s*){keep}', f"$1{base}/")
+_ABSOLUTE = r"(?i)^(?:https?:|data:|file:|/)"
+
+
+def _based(url: Column, base: Column) -> Column:
+    return F.when(url.rlike(_ABSOLUTE), url).otherwise(F.concat(base, F.lit("/"), url))
+
+
+def _each(html: Column, pattern: str, groups: int, written) -> Column:
+    """html with every match of the pattern written anew. written: from an array of the match's groups."""
+    between = F.split(html, pattern)
+    matches = F.regexp_extract_all(html, F.lit(f"({pattern})"), F.lit(1))
+    parts = F.transform(matches, lambda m: written([F.regexp_extract(m, pattern, g) for g in range(1, groups + 1)]))
+    return F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get(parts, i), F.lit("")))), "")
+
+
+def rebased(html: Column, folder: Column) -> Column:
+    """Relative src, href, url() and srcset addresses below file:///<folder>; http, data and file addresses and those from the root stay. Of a srcset every entry
+    is one address and its size, and entries are separated by a comma and a space."""
+    base = F.concat(F.lit("file:///"), F.regexp_replace(F.coalesce(folder, F.lit("")), "^/+|/+$", ""))
+
+    def attribute(name: str):
+        return lambda m: F.concat(F.lit(f"{name}="), m[0], _based(m[1], base), m[0])
+
+    def entry(e: Column) -> Column:
+        words = F.split(F.trim(e), r"\s+")
+        return F.concat_ws(" ", _based(F.get(words, F.lit(0)), base), F.array_join(F.slice(words, 2, 1 << 30), " "))
+
+    def entries(m: list[Column]) -> Column:
+        own = F.filter(F.split(m[1], ","), lambda e: F.trim(e) != "")
+        return F.concat(F.lit("srcset="), m[0], F.array_join(F.transform(own, lambda e: F.trim(entry(e))), ", "), m[0])
+
+    html = _each(html, r"""(?<![A-Za-z])src=("|')([^"']+)["']""", 2, attribute("src"))
+    html = _each(html, r"""(?<![A-Za-z])href=("|')([^"']+)["']""", 2, attribute("href"))
+    html = _each(html, r"""(?i)url\(("|')?([^)"']+)["']?\)""", 2, lambda m: F.concat(F.lit("url("), m[0], _based(m[1], base), m[0], F.lit(")")))
+    return _each(html, r"""(?i)srcset=("|')([^"']+)["']""", 2, entries)
 
 
 def no_images(name: Column) -> Column:
@@ -189,14 +249,17 @@ def first_tokens(name: Column, n: int = 4) -> Column:
 
 def placeholder(value: Column, stop: Sequence[str], headers: Sequence[str]) -> Column:
     """The value, or null where it is a placeholder: a stop phrase, at most two words with a header word, or up to three words in capitals."""
-    v = F.trim(F.coalesce(value, F.lit("")))
-    n = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
-    low = F.lower(v)
-    head = F.lit(False)
-    for h in headers:
-        head = head | low.contains(h)
-    shouted = (v == F.upper(v)) & v.rlike("[A-Z]")
-    return F.when((v == "") | low.isin(*stop) | ((n <= 2) & head) | (shouted & (n <= 3)), None).otherwise(v)
+
+    def judged(v: Column) -> Column:
+        n = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
+        low = F.lower(v)
+        head = F.lit(False)
+        for h in headers:
+            head = head | low.contains(h)
+        shouted = (v == F.upper(v)) & v.rlike("[A-Z]")
+        return F.when((v == "") | low.isin(*stop) | ((n <= 2) & head) | (shouted & (n <= 3)), None).otherwise(v)
+
+    return let(F.trim(F.coalesce(value, F.lit(""))), judged)
 
 
 def bullets(text: Column) -> Column:

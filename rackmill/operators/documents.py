@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -118,16 +119,95 @@ def summary_sentence(units: Column, constant: str = "The rack holds no identifie
     return F.coalesce(F.nullif(F.array_join(F.filter(names, lambda n: n != ""), ", "), F.lit("")), F.lit(constant))
 
 
-def summary(audit: DataFrame) -> DataFrame:
-    """doc and a text of up to seven paragraphs. audit: doc, rack_type, vendors, models, ports, colours, cables (arrays of strings), n_units."""
-    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>")))), ", ")
-    say = lambda title, c, lead: F.when(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0, F.concat(F.lit(f"**{title}**\n{lead} "), listed(c), F.lit(".")))
-    parts = F.array_compact(F.array(
-        F.concat(F.lit("**Executive Summary**\n"), F.coalesce(F.concat(F.lit("The rack is of type "), F.col("rack_type"), F.lit(". ")), F.lit("")), F.lit("It holds "), F.coalesce("n_units", F.lit(6)).cast("string"), F.lit(" units.")),
-        say("Vendors", "vendors", "Devices by"), say("Switches", "models", "Models are"), say("Ports", "ports", "Port kinds are"), say("Cabling", "colours", "Cable colours are"), say("Cables", "cables", "Cable kinds are"),
-        F.concat(F.lit("**Capacity**\n"), F.coalesce("n_units", F.lit(6)).cast("string"), F.lit(" units are occupied.")),
-    ))
-    return audit.select("doc", F.array_join(parts, "\n\n").alias("text"))
+# ---- fixed values: kinds of ports and cables that a text names, and the units assumed where none is told -----------
+PORT_KINDS = (("RJ-45 / Keystone", r"(?i)rj[ _-]?45|keystone"), ("LC Fiber", r"(?i)\bLC\b"), ("SC Fiber", r"(?i)\bSC\b"), ("ST Fiber", r"(?i)\bST\b"), ("SFP / QSFP", r"(?i)sfp"), ("USB", r"(?i)\bUSB\b"))
+CABLE_KINDS = (("Ethernet copper cables", r"(?i)ethernet|cat[5-8]|twisted pair|copper"), ("fiber optic cables", r"(?i)fiber|optical|\b(?:lc|sc|st)\b"))
+UNITS = 6
+# --------------------------------------------------------------------------------------------------------------------
+#: The summary as data: section, what must be there (names of facts; with ! what must not), and the sentence with the facts in it. Of a section's sentences all that hold are said, in order.
+RULES = (
+    ("", "type vendor", "The audit covers a rack of type {type} by {vendor}, with its panels, switches and cabling"),
+    ("", "type !vendor", "The audit covers a rack of type {type}, with its panels, switches and cabling"),
+    ("", "!type", "The audit covers a rack with its panels, switches and cabling"),
+    ("", "", "Units are allocated in order and terminated alike"),
+    ("", "lc", "Ethernet runs over RJ-45, and fiber links end in LC connectors"),
+    ("", "!lc", "Ethernet runs over RJ-45"),
+    ("", "qsfp", "Fast interfaces leave room for more bandwidth"),
+    ("", "!qsfp", "The layout leaves room for additions"),
+    ("Rack Overview", "type vendor", "Form factor {type}, by {vendor}."),
+    ("Rack Overview", "type !vendor", "Form factor {type}."),
+    ("Rack Overview", "!type vendor", "By {vendor}."),
+    ("Rack Overview", "", "The rack has {n_units} units."),
+    ("Rack Overview", "layout", "Layout: {layout}."),
+    ("Rack Overview", "!layout", "Its units are panels, switches and empty slots."),
+    ("Patch Panels", "", "RJ-45 is the standard termination."),
+    ("Patch Panels", "", "Ports are coloured by use."),
+    ("Patch Panels", "nema", "Power outlets such as NEMA 5-15 are on the panels."),
+    ("Switches", "vendors", "Switches by {vendors}."),
+    ("Switches", "!vendors", "No switch vendor could be read."),
+    ("Switches", "models", "The models of some units are known."),
+    ("Ports", "lc", "LC connectors serve the fiber segments."),
+    ("Ports", "", "RJ-45 serves Ethernet."),
+    ("Ports", "qsfp", "QSFP interfaces are there for more bandwidth."),
+    ("Cabling", "colours", "Twisted pair in {colours}."),
+    ("Cabling", "cables", "Cables: {cables}."),
+    ("Cabling", "!cables", "Cables are twisted pair, and fiber where it applies."),
+    ("Cabling", "ports", "Port kinds: {ports}."),
+    ("Capacity", "", "Free interfaces and units allow for more links and devices."),
+)
+
+
+def kinds_named(texts: Column, kinds: Sequence[tuple[str, str]]) -> Column:
+    """The sorted names of the kinds whose pattern any of the texts matches."""
+    return F.array_sort(F.array_compact(F.array(*(F.when(F.exists(texts, _matching(p)), F.lit(name)) for name, p in kinds))))
+
+
+def _matching(pattern: str):
+    return lambda t: F.coalesce(t.rlike(pattern), F.lit(False))
+
+
+def switch_pairs(switches: Column) -> Column:
+    """Distinct (vendor, model) pairs in the order of their first place; null is empty. switches: array of struct(vendor, model)."""
+    return F.array_distinct(F.transform(switches, lambda s: F.struct(F.coalesce(s["vendor"], F.lit("")).alias("vendor"), F.coalesce(s["model"], F.lit("")).alias("model"))))
+
+
+def sections_of_summary(audit: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, compat: bool = False) -> DataFrame:
+    """doc, section (empty for the first paragraph), place and points (array of sentences), one row for each section of the rules.
+
+    audit: doc, rack_type, rack_vendor, units (array of struct(unit_no, kind)), switches (array of struct(vendor, model)), port_texts, panel_texts, leaves (arrays of strings), full_text. A null array is empty.
+    compat: what older reports never found, connectors, outlets and units, is never there."""
+    some = lambda c, t: F.coalesce(F.col(c), F.array().cast(t))
+    texts = lambda c: some(c, "array<string>")
+    names = lambda field: F.array_sort(F.filter(F.array_distinct(F.transform(switch_pairs(F.col("switches")), lambda s: s[field])), lambda v: v != ""))
+    layout = F.array_join(F.transform(F.array_sort(some("units", audit.schema["units"].dataType.simpleString())), lambda u: F.concat(u["unit_no"].cast("string"), F.lit(": "), u["kind"])), ", ")
+    found = lambda c, p: F.when(F.lit(not compat) & F.exists(texts(c), _matching(p)), F.lit("yes"))
+    facts = {
+        "type": F.lower(F.nullif("rack_type", F.lit(""))), "vendor": F.nullif("rack_vendor", F.lit("")),
+        "n_units": (F.lit(UNITS) if compat else F.coalesce(F.array_max(F.transform("units", lambda u: u["unit_no"])), F.lit(UNITS))).cast("string"), "layout": F.lit(None).cast("string") if compat else F.nullif(layout, F.lit("")),
+        "lc": found("port_texts", r"(?i)\bLC\b"), "qsfp": found("port_texts", r"(?i)\bQSFP(?:28)?\b"), "nema": found("panel_texts", r"(?i)\bNEMA\b"),
+        "vendors": F.nullif(F.array_join(names("vendor"), ", "), F.lit("")), "models": F.nullif(F.array_join(names("model"), ", "), F.lit("")), "colours": F.nullif(F.array_join(tx.colours(F.col("full_text")), ", "), F.lit("")),
+        "cables": F.nullif(F.array_join(kinds_named(texts("leaves"), CABLE_KINDS), ", "), F.lit("")), "ports": F.nullif(F.array_join(kinds_named(texts("leaves"), PORT_KINDS), ", "), F.lit("")),
+    }
+    d = audit.select("doc", *(v.alias(f"_{k}") for k, v in facts.items()))
+
+    def said(needs: str, sentence: str) -> Column:
+        ok = F.lit(True)
+        for n in needs.split():
+            ok = ok & (F.col(f"_{n[1:]}").isNull() if n.startswith("!") else F.col(f"_{n}").isNotNull())
+        pieces = re.split(r"\{(\w+)\}", sentence)
+        return F.when(ok, F.concat(*(F.lit(p) if k % 2 == 0 else F.coalesce(f"_{p}", F.lit("")) for k, p in enumerate(pieces))))
+
+    titles = list(dict.fromkeys(t for t, _, _ in rules))
+    own = [F.struct(F.lit(t).alias("section"), F.lit(k).alias("place"), F.array_compact(F.array(*(said(n, s) for title, n, s in rules if title == t))).alias("points")) for k, t in enumerate(titles)]
+    return d.select("doc", F.explode(F.array(*own)).alias("_s")).select("doc", "_s.*")
+
+
+def summary(audit: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, compat: bool = False) -> DataFrame:
+    """doc and text: the sections with their titles, each sentence on a line of its own with a bullet and a full stop."""
+    s = sections_of_summary(audit, rules, compat)
+    bullets = F.array_join(F.transform("points", lambda p: F.concat(F.lit("- "), F.rtrim(p), F.when(F.rtrim(p).endswith("."), "").otherwise("."))), "\n")
+    block = F.concat(F.when(F.col("section") == "", "").otherwise(F.concat(F.lit("**"), "section", F.lit("**\n"))), bullets)
+    return s.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
 
 
 def report_table(rows: DataFrame, columns: Sequence[str], key: str, order: str, name: str) -> DataFrame:
@@ -140,7 +220,7 @@ def report_table(rows: DataFrame, columns: Sequence[str], key: str, order: str,
 
 
 def _body_rows(docs: DataFrame, key: str, html: str, least: int) -> DataFrame:
-    rows = docs.select(key, F.posexplode(tx.html_rows(F.col(html))).alias("ord", "_c"))
+    rows = docs.select(key, F.posexplode(tx.html_rows(F.col(html), "td")).alias("ord", "_c"))
     return rows.filter((F.col("ord") > 0) & (F.size("_c") >= least))
 
 
@@ -152,19 +232,15 @@ def connected_rows(docs: DataFrame, key: str = "doc", html: str = "html") -> Dat
     return out.filter(~((F.lower("cable_description") == "n/a") & (F.lower("usage") == "n/a")))
 
 
-def empty_rows(docs: DataFrame, key: str = "doc", html: str = "html") -> DataFrame:
-    """Ports of a report's table of empty ports: SFP if the first cell says so (QSFP does too), else Ethernet; rows without a cell give nothing."""
-    kind = F.when(F.contains(F.get("_c", F.lit(0)), F.lit("SFP")), "SFP").otherwise("Ethernet")
+def empty_rows(docs: DataFrame, key: str = "doc", html: str = "html", compat: bool = False) -> DataFrame:
+    """Ports of a report's table of empty ports: QSFP28 or SFP if the class column says so, else Ethernet. The class stands in the second cell, or in the only one; rows without a cell give nothing.
+    compat: by the first cell, which holds the picture, and SFP for both."""
+    cell = F.get("_c", F.lit(0)) if compat else F.coalesce(F.get("_c", F.lit(1)), F.get("_c", F.lit(0)))
+    kind = F.when(cell.contains("SFP"), "SFP").otherwise("Ethernet")
+    kind = kind if compat else F.when(cell.contains("QSFP"), "QSFP28").otherwise(kind)
     return _body_rows(docs, key, html, 1).select(key, "ord", kind.alias("type"))
 
 
-def merged_reports(reports: DataFrame, key: str = "job") -> DataFrame:
-    """key and one document of the meaningful report bodies, in category order and then by name. reports: key, name, html."""
-    own = reports.filter(tx.html_meaningful(F.col("html")) & ~tx.no_images(F.col("name"))).select(key, tx.category_rank(F.col("name")).alias("rank"), F.lower("name").alias("name"), tx.html_body(F.col("html")).alias("body"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name", "body"))), lambda x: x["body"]), "\n")
-    return own.groupBy(key).agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
-
-
 def nested_devices(ports: DataFrame, devices: DataFrame) -> DataFrame:
     """image and its devices, each with ports.connected and ports.empty, all arrays sorted. ports: image, port_id, state, box, parent_id, validation."""
     p = F.struct("port_id", "box", "validation")

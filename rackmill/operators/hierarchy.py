@@ -105,23 +105,35 @@ def kept_units(units: DataFrame, rule: str) -> DataFrame:
 
 def panel_model(text: Column) -> Column:
     """The first kind that the text names, else its port count, else null."""
-    low = F.lower(text)
-    out = F.when(F.lit(False), "")
-    for pattern, name in PANEL_MODELS:
-        out = out.when(low.rlike(pattern), name)
-    count = F.nullif(F.replace(F.regexp_extract(low, r"(\b\d{1,2}[- ]?port\b|\b\d{1,2}p\b)", 1), F.lit(" "), F.lit("_")), F.lit(""))
-    return out.otherwise(count)
+
+    def named(low: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for pattern, name in PANEL_MODELS:
+            out = out.when(low.rlike(pattern), name)
+        count = F.nullif(F.replace(F.regexp_extract(low, r"(\b\d{1,2}[- ]?port\b|\b\d{1,2}p\b)", 1), F.lit(" "), F.lit("_")), F.lit(""))
+        return out.otherwise(count)
+
+    return tx.let(F.lower(text), named)
 
 
 def guess(texts: Column, vendors: Sequence[str] = KNOWN_VENDORS) -> Column:
     """struct of vendor, model, description from cell texts: the first text with a known vendor (vendors in order), the first other
     text of at most 60 characters that looks like a model, and the longest remaining one over eight characters (the first of equals)."""
-    cells = F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != "")
-    vendor = F.coalesce(*(F.get(F.filter(cells, _holding(v)), F.lit(0)) for v in vendors))
-    model = F.get(F.filter(cells, lambda t: t.rlike(r"[A-Za-z0-9][A-Za-z0-9_/-]{2,}") & (F.length(t) <= 60) & ~F.coalesce(t == vendor, F.lit(False))), F.lit(0))
+
+    def from_cells(cells: Column) -> Column:
+        vendor = F.coalesce(*(F.get(F.filter(cells, _holding(v)), F.lit(0)) for v in vendors))
+        return tx.let(vendor, lambda vendor: tx.let(_model_of(cells, vendor), lambda model: F.struct(vendor.alias("vendor"), model.alias("model"), _longest(cells, vendor, model).alias("description"))))
+
+    return tx.let(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != ""), from_cells)
+
+
+def _model_of(cells: Column, vendor: Column) -> Column:
+    return F.get(F.filter(cells, lambda t: t.rlike(r"[A-Za-z0-9][A-Za-z0-9_/-]{2,}") & (F.length(t) <= 60) & ~F.coalesce(t == vendor, F.lit(False))), F.lit(0))
+
+
+def _longest(cells: Column, vendor: Column, model: Column) -> Column:
     rest = F.filter(cells, lambda t: ~F.coalesce(t == vendor, F.lit(False)) & ~F.coalesce(t == model, F.lit(False)) & (F.length(t) > 8))
-    longest = F.get(F.filter(rest, lambda t: F.length(t) == F.array_max(F.transform(rest, lambda r: F.length(r)))), F.lit(0))
-    return F.struct(vendor.alias("vendor"), model.alias("model"), longest.alias("description"))
+    return tx.let(rest, lambda rest: F.get(F.filter(rest, lambda t: F.length(t) == F.array_max(F.transform(rest, lambda r: F.length(r)))), F.lit(0)))
 
 
 def _holding(word: str):

@@ -13,6 +13,8 @@ MOST_FILES = (("multi", 20), ("single", 1), ("video", 1))
 #: Folders whose first image stands for a job, best first.
 THUMBNAILS = ("rack", "switch", "patch_panel", "cables", "cable", "connected_port", "empty_port", "units")
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
+#: Where a finished job's merged report lies.
+MERGED = "Results/Merged_Result.pdf"
 #: Those that a report shows.
 PICTURED = ("jpg", "jpeg", "png", "webp")
 # -------------------------------------------------------------------------------------------------
@@ -79,8 +81,8 @@ def first_image(inventory: DataFrame, folders: Sequence[str] = THUMBNAILS) -> Da
 
 
 def job_history(jobs: DataFrame, inventory: DataFrame, user: str | None = None) -> DataFrame:
-    """Done jobs that have a PDF, newest first, with their first image."""
-    done = owned(jobs, user).filter(F.col("status") == "done").join(inventory.filter("ext = 'pdf'").select("job_id"), "job_id", "left_semi")
+    """Done jobs that have the merged report, newest first, with their first image."""
+    done = owned(jobs, user).filter(F.col("status") == "done").join(inventory.filter(F.col("relative").isin(MERGED, f"output/{MERGED}")).select("job_id"), "job_id", "left_semi")
     return done.join(first_image(inventory), "job_id", "left").orderBy(F.desc("created_at"), "job_id")
 
 

@@ -28,7 +28,6 @@ _LINES = """with l as (select l_orderkey as doc, l_linenumber, l_partkey, l_supp
   case when l_returnflag='R' or l_linestatus='O' then 'n/a' else 'net' end as usage, l_partkey::varchar as port, l_suppkey::varchar as port_description, l_linenumber::varchar as other_port,
   coalesce(o_orderpriority='1-URGENT', false) as urgent from lineitem join orders on l_orderkey=o_orderkey),
 numbered as (select *, row_number() over (partition by doc order by l_linenumber, l_partkey, l_suppkey) as ord from l)"""
-_RANK = "case when n like '%rack%' then 0 when n like '%panel%' then 2 when n like '%switch%' then 1 when n like '%cable%' then 3 when n like '%connected%' then 5 when n like '%empty%' then 4 else 999 end"
 _STRIP = r"regexp_replace(%s, '<[^>]*>', '', 'gs')"
 
 SQL: dict[str, str] = {
@@ -88,14 +87,15 @@ SQL: dict[str, str] = {
     "cable_labels": """select p_partkey, case p_partkey%12 when 0 then 'RJ45' when 1 then 'HDMI' when 2 then 'LC' when 3 then 'SC' when 4 then 'BNC' when 5 then 'USB' when 6 then 'PS/2' when 7 then 'NEMA' when 8 then 'RS-232'
         when 9 then 'SFP' when 10 then 'XFP' else 'Other_B' || substr(lower(p_brand),2) end as label from part""",
     "description_lookup": """select c_custkey, case when c_custkey%7=0 then 'nowhere' else lower(n_name) end as name, case when c_custkey%7=0 then 'N/A' else 'nation ' || n_nationkey end as description from customer join nation on c_nationkey=n_nationkey""",
-    "missing_mappings": r"""with k as (select p_size, lower(trim(regexp_replace(translate(p_name,'_-','  '),'\s+',' ','g'))) as key from part) select distinct key from k where key not in (select key from k where p_size>25)""",
+    "missing_mappings": r"""with k as (select p_size, lower(p_name || ' ' || p_brand) as key from part) select distinct key from k where key not in (select key from k where p_size>25)""",
     "html_text": r"""with b as (select page_id, coalesce(nullif(regexp_extract(html,'(?is)<body[^>]*>(.*?)</body>',1),''), html) as h from pages)
         select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(h,'(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>',' ','g'),'(?s)<[^>]*>',' ','g'),'\s+',' ','g'))) as text_md5 from b""",
-    "html_meaningful": f"""select page_id, case when regexp_matches(html,'(?i)<img|<picture|data:image') then true
-        when len(regexp_extract_all(html,'(?is)<tr[^>]*>(.*?)</tr>',1))>0 then len(list_filter(regexp_extract_all(html,'(?is)<tr[^>]*>(.*?)</tr>',1)[2:], lambda r: length(trim({_STRIP % 'r'}))>3))>0
+    "html_meaningful": rf"""select page_id, case when regexp_matches(html,'(?i)<img\b|<picture\b|data:image/') then true
+        when regexp_matches(html,'(?i)<table\b') then len(list_filter(regexp_extract_all(html,'(?is)<tr[^>]*>(.*?)</tr>',1)[2:], lambda r: length(trim({_STRIP % 'r'}))>3))>0
         else length(trim({_STRIP % 'html'}))>30 end as meaningful from pages""",
-    "category_order": f"""with p as (select page_id, lower(['rack report','Switch_x','patch panel','cables','empty ports','connected','misc'][page_id%7+1] || '_' || page_id) as n from pages)
-        select page_id, ['rack','switch','patchpanel','cable','empty_port','connected_port'][{_RANK}+1] as category, row_number() over (partition by page_id%10 order by {_RANK}, n)::int as position from p""",
+    "category_order": """with c(k, name, category, rank) as (values (0,'rack report','rack',0), (1,'Switch_x','switch',1), (2,'patch panel','patchpanel',2), (3,'cables','cable',3), (4,'ports-results','empty_port',4), (5,'Connected port','connected_port',5),
+          (6,'panel',null,999), (7,'PatchPanel','patchpanel',2), (8,'empty-port','empty_port',4), (9,'connected',null,999), (10,'empty',null,999))
+        select page_id, category, row_number() over (partition by page_id%10 order by rank, lower(name || '_' || page_id))::int as position from pages join c on k = page_id%11""",
     "section_spans": """with h as (select conv_id, turn, role, coalesce(lead(turn) over (partition by conv_id order by turn, role), max(turn) over (partition by conv_id)+1) as e from conversations)
         select conv_id, role as section, max(turn) as start, arg_max(e, turn) as "end" from h group by 1,2""",
     "line_pairs": """with l as (select conv_id, turn, role, length(text) as n, lead(role) over w as r2, lead(length(text)) over w as n2 from conversations window w as (partition by conv_id order by turn))
@@ -111,7 +111,7 @@ SQL: dict[str, str] = {
     "upload_validation": """with f as (select o_custkey, ['multi','single','video'][o_custkey%3+1] as t, o_orderkey from orders),
         g as (select o_custkey as upload_id, t as upload_type, count(*) as n_files, bool_and(t='video' or o_orderkey%17<>0) as ok from f group by all)
         select upload_id, upload_type, n_files, ok and n_files <= case t when 'multi' then 20 else 1 end as ok from (select *, upload_type as t from g)""",
-    "job_history": f"with {_JOBS} select job_id, user_id, case o_orderkey%5 when 0 then 'rack/img.jpg' when 1 then 'switch/img.jpg' when 2 then 'cable/img.jpg' end as image from jobs where status='done' and o_orderkey%3=0",
+    "job_history": f"with {_JOBS} select job_id, user_id, case o_orderkey%5 when 0 then 'rack/img.jpg' when 1 then 'switch/img.jpg' when 2 then 'cable/img.jpg' end as image from jobs where status='done' and o_orderkey%4 in (0,3)",
     "gallery": """select 'job_' || o_orderkey as job_id, case o_orderkey%5 when 1 then 'switch/img.jpg' else 'units/unit1/switch/img.jpg' end as relative, case o_orderkey%5 when 1 then 'img.jpg' else 'unit1 - img.jpg' end as label from orders where o_orderkey%5 in (1,3)""",
     "job_logs": """select 'job_' || o_orderkey as job_id, count(l_orderkey) as n_messages, coalesce(string_agg(l_returnflag || l_linestatus, '' order by l_linenumber, l_returnflag || l_linestatus),'') as all_messages
         from orders left join lineitem on l_orderkey=o_orderkey group by o_orderkey""",

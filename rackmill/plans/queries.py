@@ -219,8 +219,9 @@ def description_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def missing_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = table(spark, sf_dir, "part").filter("p_size > 25").select("p_name")
-    return match.missing_keys(table(spark, sf_dir, "part"), dim, ("p_name", "p_name"))
+    """Names with brands that no large part has."""
+    p = table(spark, sf_dir, "part").withColumn("name", F.concat("p_name", F.lit("_"), F.upper("p_brand")))
+    return match.missing_keys(p, p.filter("p_size > 25"), ("name", "name"))
 
 
 @query
@@ -235,7 +236,7 @@ def html_meaningful(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def category_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.get(F.array(*map(F.lit, ("rack report", "Switch_x", "patch panel", "cables", "empty ports", "connected", "misc"))), _int(F.col("page_id") % 7)), F.lit("_"), F.col("page_id").cast("string"))
+    name = F.concat(F.get(F.array(*map(F.lit, ("rack report", "Switch_x", "patch panel", "cables", "ports-results", "Connected port", "panel", "PatchPanel", "empty-port", "connected", "empty"))), _int(F.col("page_id") % 11)), F.lit("_"), F.col("page_id").cast("string"))
     p = table(spark, sf_dir, "pages").select("page_id", name.alias("name"))
     w = Window.partitionBy(F.col("page_id") % 10).orderBy(tx.category_rank(F.col("name")), F.lower("name"))
     return p.select("page_id", tx.category(F.col("name")).alias("category"), F.row_number().over(w).alias("position"))
@@ -304,7 +305,9 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "orders")
     folder = F.get(F.array(*map(F.lit, ("rack", "switch", "cable", "units/unit1/switch", "other"))), _int(F.col("o_orderkey") % 5))
     image = l.select(F.concat(F.lit("/out/job_"), F.col("o_orderkey").cast("string"), F.lit("/"), folder, F.lit("/img.jpg")).alias("path"))
-    pdf = l.filter("o_orderkey % 3 = 0").select(F.concat(F.lit("/out/job_"), F.col("o_orderkey").cast("string"), F.lit("/report.pdf")).alias("path"))
+    # a merged report below the output or beside it, or another PDF, which doesn't count
+    place = F.get(F.array(*map(F.lit, ("/output/Results/Merged_Result.pdf", "/report.pdf", "/Results/other/Merged_Result.pdf", "/Results/Merged_Result.pdf"))), _int(F.col("o_orderkey") % 4))
+    pdf = l.select(F.concat(F.lit("/out/job_"), F.col("o_orderkey").cast("string"), place).alias("path"))
     return jobs.output_inventory(image.unionByName(pdf))
 
 
@@ -360,7 +363,7 @@ def connected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.empty_rows(_port_reports(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+    return documents.empty_rows(_port_reports(spark, sf_dir), compat=True).withColumn("ord", F.col("ord").cast("long"))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +28,30 @@ def vectors(df: DataFrame, path: str) -> None:
     df.withColumn("vendor", alnum(F.col("vendor"))).write.mode("overwrite").partitionBy("vendor").parquet(path)
 
 
+def replaced_text(spark: SparkSession, path: str, text: str) -> None:
+    """One text file written beside its target and then renamed over it: readers see the old file or the new one, and a crash in between leaves the old one."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    own = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(own, jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE), _no_options(spark))
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    files.rename(own, target, options)
+
+
+def _no_options(spark: SparkSession):
+    jvm = spark.sparkContext._jvm
+    kind = getattr(jvm, "org.apache.hadoop.fs.Options$CreateOpts")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.createParent()
+    return options
+
+
 def with_sentinels(df: DataFrame, sentinels: dict[str, str]) -> DataFrame:
     """Nulls as the words a report shows."""
     return df.fillna(sentinels)
