@@ -8,7 +8,8 @@ from a bounded sample of labelled URLs: the SAMPLE with the smallest hash of the
 
 The trees are to judge hosts that they have not seen. So every host weighs the same, however many URLs it has; both sides of a
 split hold at least LEAST_HOSTS hosts, so that no leaf learns one host by its length; suffix shares of a training URL leave its own
-host out; and both labels weigh the same, as label 0 mostly means that nothing is known of a host.
+host out; and both labels weigh the same, as label 0 mostly means that nothing is known of a host. And no URL is judged by trees that saw its host
+or a sibling of it: hosts fall into FOLDS parts by their last three labels, and a part is judged by trees trained on the others, so a verdict is never a URL's own label given back.
 
 Labels: a DataFrame (url, label), 1 for block. seed_labels() gives such rows from hosts known to be bad by their words; hosts of other words
 that look like them are for the trees to find.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +41,8 @@ SEED_WORDS = ("spam", "farm", "cheap", "pills", "casino", "xxx", "warez", "malwa
 SAMPLE = 20_000
 TREES, DEPTH, RATE, LAMBDA, BINS = 40, 3, 0.2, 1.0, 32
 LEAST_HOSTS = 3
+#: Parts of the hosts; each is judged by the trees of the others.
+FOLDS = 16
 #: Features that a tree may use, drawn anew for each, so that no single one decides.
 DRAWN = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -210,10 +214,34 @@ def seed_labels(pages: DataFrame, url_col: str = "url", words=SEED_WORDS) -> Dat
     return pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), bad.cast("int").alias("label"))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
+def site(host: str) -> str:
+    """A host's last three labels, which it shares with its siblings."""
+    return ".".join(host.split(".")[-3:])
+
+
+def fold(host: str, folds: int = FOLDS) -> int:
+    return zlib.crc32(site(host).encode()) % folds
+
+
+class FoldedModel:
+    """For each part of the hosts a model that saw none of them."""
+
+    def __init__(self, labelled: list[tuple[str, int]], folds: int = FOLDS):
+        self.models = [UrlModel([(u, y) for u, y in labelled if fold(parse(u)[0], folds) != k]) for k in range(folds)]
+
+    def __call__(self, urls: list[str | None]) -> np.ndarray:
+        at = np.array([fold(parse(u)[0], len(self.models)) for u in urls], np.int64)
+        out = np.zeros(len(urls))
+        for k in np.unique(at).tolist():
+            own = np.flatnonzero(at == k)
+            out[own] = self.models[k]([urls[i] for i in own.tolist()])
+        return out
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE) -> FoldedModel:
     """From the `sample` distinct rows with the smallest hash."""
     rows = labelled.select("url", "label").groupBy("url", "label").count().orderBy(F.xxhash64("url"), "url", "label").limit(sample)
-    return UrlModel([(r.url, int(r.label)) for r in rows.select("url", "label").collect()])
+    return FoldedModel([(r.url, int(r.label)) for r in rows.select("url", "label").collect()])
 
 
 def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
