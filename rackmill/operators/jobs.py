@@ -15,6 +15,8 @@ THUMBNAILS = ("rack", "switch", "patch_panel", "cables", "cable", "connected_por
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
 #: Where a finished job's merged report lies.
 MERGED = "Results/Merged_Result.pdf"
+#: Folders in which a job's input pictures are looked for, in this order.
+PROBED = ("input", "images", "input/images", "output/rack", "output")
 #: Those that a report shows.
 PICTURED = ("jpg", "jpeg", "png", "webp")
 # -------------------------------------------------------------------------------------------------
@@ -80,6 +82,17 @@ def first_image(inventory: DataFrame, folders: Sequence[str] = THUMBNAILS) -> Da
     return inventory.filter(F.col("ext").isin(*PICTURED)).withColumn("prio", prio).filter("prio is not null").groupBy("job_id").agg(F.min_by("relative", F.struct("prio", "relative")).alias("image"))
 
 
+def input_images(inventory: DataFrame, folders: Sequence[str] = PROBED) -> DataFrame:
+    """job_id, folder and relative of each job's input pictures: those directly in the first of the folders that holds one, else all of its tree. folder is where
+    the first one by path lies. Extensions count in any letter case; a job without pictures has no rows. inventory: of output_inventory(), over whole job folders."""
+    where = F.regexp_extract("relative", "^(.*)/[^/]*$", 1)
+    prio = F.coalesce(*(F.when(where == f, F.lit(k)) for k, f in enumerate(folders)), F.lit(len(folders)))
+    own = inventory.filter(F.col("ext").isin(*IMAGES)).select("job_id", "relative", where.alias("_in"), prio.alias("_prio"))
+    first = own.groupBy("job_id").agg(F.min("_prio").alias("_prio"), F.min_by("_in", F.struct("_prio", "relative")).alias("folder"))
+    # without such a folder every picture has the last rank
+    return own.join(first, ["job_id", "_prio"]).select("job_id", "folder", "relative")
+
+
 def job_history(jobs: DataFrame, inventory: DataFrame, user: str | None = None) -> DataFrame:
     """Done jobs that have the merged report, newest first, with their first image."""
     done = owned(jobs, user).filter(F.col("status") == "done").join(inventory.filter(F.col("relative").isin(MERGED, f"output/{MERGED}")).select("job_id"), "job_id", "left_semi")

@@ -61,8 +61,13 @@ SQL: dict[str, str] = {
         k as (select *, row_number() over (partition by q_id order by cheap desc, r_id) as rn from p),
         f as (select *, row_number() over (partition by q_id order by score desc, r_id) as r2 from k where rn<=5)
         select q_id, r_id, round(score,6) as score from f where r2=1""",
-    "phash_near": """with h as (select vec_id, label, vec_id*2654435761%4294967296 as h from embeddings), n as (select *, lead(h) over (partition by label order by vec_id) as n from h)
-        select vec_id, round(greatest(0.0::double, 1 - bit_count(xor(h,n))/32.0::double),6) as similarity from n where n is not null""",
+    "phash_near": """with e as (select label, vec_id, vec_id * 2654435761 % 4294967296 as h from embeddings),
+        r as (select label, vec_id, h, ((h << 8) & 4294967295) | (h >> 24) as t from e),
+        p as (select x.label, x.vec_id as a, y.vec_id as b, least(bit_count(xor(x.h, y.h)), bit_count(xor(x.h, y.t)))::int as distance from e x join r y on x.label = y.label and x.vec_id < y.vec_id)
+        select *, greatest(0.0, 1 - distance / 32)::double as similarity from p where distance <= 8""",
+    "input_images": """with p as (select unnest(['input/a.PNG','images/b.jpg','input/images/c.Tiff','output/rack/d.jpeg','output/e.bmp','other/deep/f.webp','input/notes.txt']) as relative, unnest(range(7)) as k, unnest(['input','images','input/images','output/rack','output','other/deep',null]) as folder),
+        f as (select distinct o_orderkey, k, folder, relative from orders join p on k in (o_orderkey % 7, o_orderkey // 7 % 7) where k < 6), m as (select o_orderkey, min(k) as k from f group by 1)
+        select 'job_' || o_orderkey as job_id, folder, relative from f join m using (o_orderkey, k)""",
     "keyed_dedup": """select p_partkey, p_brand, p_type, p_size from (select *, row_number() over (partition by lower(trim(p_brand)), lower(trim(p_type)), lower(trim(p_size::varchar)) order by p_partkey) as rn from part) where rn=1""",
     "content_dedup": "select doc_id, lang from (select *, row_number() over (partition by md5(text) order by doc_id) as rn from documents) where rn=1",
     "vendor_exact_vote": r"""with v as (select * from (values (0,'the of'),(1,'and'),(2,'les'),(3,'der'),(4,'que'),(5,'with'),(6,'inor')) t(ord,vendor)),

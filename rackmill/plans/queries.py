@@ -138,11 +138,22 @@ def two_stage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def phash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash similarity of each vector's key with that of the next one of its label."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") * 2654435761 % 4294967296).alias("h"))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    p = e.withColumn("n", F.lead("h").over(w)).filter("n is not null")
-    return p.select("vec_id", F.round(sim.hash_similarity(F.col("h"), F.col("n")), 6).alias("similarity"))
+    """All pairs of a label whose hashes differ in at most eight bits, one side by the nearer of two rotations."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", (F.col("vec_id") * 2654435761 % 4294967296).alias("h"))
+    turned = F.shiftleft("h", 8).bitwiseAND(F.lit(4294967295)).bitwiseOR(F.shiftrightunsigned("h", 24))
+    out = match.near_hashes(e.select("label", F.col("vec_id").alias("a"), F.col("h").alias("hash")), e.select("label", F.col("vec_id").alias("b"), F.array("h", turned).alias("variants")), "label", 8, bits=32)
+    return out.filter("a < b")
+
+
+@query
+def input_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files for each order, in folders that differ in rank."""
+    o = table(spark, sf_dir, "orders")
+    places = ("input/a.PNG", "images/b.jpg", "input/images/c.Tiff", "output/rack/d.jpeg", "output/e.bmp", "other/deep/f.webp", "input/notes.txt")
+    pick = lambda n: F.get(F.array(*map(F.lit, places)), _int(n % len(places)))
+    path = lambda p: F.concat(F.lit("/jobs/job_"), F.col("o_orderkey").cast("string"), F.lit("/"), p)
+    files = o.select(F.explode(F.array(path(pick(F.col("o_orderkey"))), path(pick(F.expr("o_orderkey div 7"))))).alias("path")).distinct()
+    return jobs.input_images(jobs.output_inventory(files))
 
 
 @query

@@ -8,8 +8,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-IMAGE_GLOB = "*.{jpg,jpeg,png,bmp,webp,tif,tiff,JPG,JPEG,PNG,BMP,WEBP,TIF,TIFF}"
-VIDEO_GLOB = "*.{mp4,avi,mov,mkv,wmv,flv,webm,m4v}"
+
+
+def any_case(extensions: Sequence[str]) -> str:
+    """A glob for files with one of the extensions, whatever their letter case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
+IMAGE_GLOB = any_case(("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff"))
+VIDEO_GLOB = any_case(("mp4", "avi", "mov", "mkv", "wmv", "flv", "webm", "m4v"))
 
 
 def files(spark: SparkSession, folder: str, glob: str = IMAGE_GLOB, recursive: bool = True, content: bool = False) -> DataFrame:
@@ -54,7 +61,7 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def html_reports(spark: SparkSession, folder: str) -> DataFrame:
     """name and html, as UTF-8 or else Latin-1."""
-    raw = files(spark, folder, "*.html", recursive=False, content=True)
+    raw = files(spark, folder, any_case(("html",)), recursive=False, content=True)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), text.alias("html"))
 
