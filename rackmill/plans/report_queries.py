@@ -132,7 +132,7 @@ def _esc(c: str) -> str:
 def _layout(source: str, key: str, order: str, title: str, heads: tuple[str, ...], cells: tuple[str, ...]) -> str:
     row = "'<tr>' || " + " || ".join(f"'<td>' || {c} || '</td>'" for c in cells) + " || '</tr>'"
     head = "".join(f"<th>{h}</th>" for h in heads)
-    return f"""with {source} select {key}, md5('<html><body><h2>{title}</h2><table>' || chr(10) || '<tr>{head}</tr>' || chr(10) || string_agg({row}, chr(10) order by {order}) || chr(10) || '</table></body></html>') as html_md5 from s group by {key}"""
+    return f"""with {source} select {key}, md5('<html><body><h2>{title}</h2><table>' || chr(10) || '<tr>{head}</tr>' || chr(10) || string_agg({row}, chr(10) order by {order}, {row}) || chr(10) || '</table></body></html>') as html_md5 from s group by {key}"""
 
 
 _U = """u as (select o_custkey as job, o_orderkey as k, case o_orderkey % 3 when 0 then 'switch' when 1 then 'patch panel' else 'router' end as device,
@@ -160,7 +160,7 @@ SQL = {
   told as (select job, k, device, case when device <> 'patch panel' and k % 5 in (0, 2, 4) then vendor end as vendor,
     case when k % 4 in (0, 2) then model when device = 'switch' and k % 5 = 4 then 'D-Link' when device = 'patch panel' then case when k % 7 = 0 then '24_port' when k % 7 = 2 then 'LC_UPC' when k % 7 > 2 then 'RJ_45' end end as model,
     case when k % 7 <> 1 then replace(description, '  ', ' ') when device = 'switch' and k % 5 in (1, 3, 4) and k % 4 = 2 then 'EX2300-24T' end as description from u),
-  q as (select *, row_number() over (partition by job order by k, n % 2 = 0, n, part, supp) as no from p where n % 2 = 0 or flag <> 'R'),
+  q as (select *, row_number() over (partition by job order by k, n % 2 = 0, n, part, supp, flag, {_USAGE}) as no from p where n % 2 = 0 or flag <> 'R'),
   j as (select job, k, n % 2 = 1 as connected, no, '{{"port_id":"port_' || no || '",' || case when n % 2 = 1 then '"port":"' || part || '","port_description":"s' || supp || ' & co","other_port":"' || n || '","cable":"c' || flag || '","cable_description":"' || {_CABLE} || '","usage":"' || {_USAGE} || '"}}'
     when part % 4 = 1 then '"type":"QSFP28","description":"Quad Small Form-factor Pluggable 28 connector supporting 100 Gbps high-speed data transmission over fiber optic cables."}}'
     when part % 4 = 2 then '"type":"Ethernet","description":"Eight-pin Ethernet connector used for wired LANs, supporting speeds from 10 Mbps to 10 Gbps depending on cable type."}}'
