@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
+from . import blocks
 from .fuzzy import ratio_join
 
 #: A dimension of at most this many rows may be broadcast; a larger one is shuffled on the key.
@@ -64,11 +66,22 @@ def _nearest(n: Column) -> Column:
     return nearest_ports(n)
 
 
-def two_stage(queries: DataFrame, references: DataFrame, key: str, cheap: Column, costly: Column, k: int = 5, pair: Column | None = None) -> DataFrame:
-    """Within the key, the k best by the cheap score are scored again. Both sides have id and feat columns q_* and r_*. pair: a condition on pairs."""
-    pairs = queries.join(references, key).filter(F.lit(True) if pair is None else pair).withColumn("cheap", cheap)
-    short = top_k(pairs, ["q_id"], [F.desc("cheap"), F.asc("r_id")], k).drop("rank")
-    return top_k(short.withColumn("score", costly), ["q_id"], [F.desc("score"), F.asc("r_id")], 1).drop("rank")
+def two_stage(queries: DataFrame, references: DataFrame, key: str, head: int = 8, k: int = 5, others: bool = False) -> DataFrame:
+    """Within the key, the k best by the product of the first `head` entries are scored again by the whole product: key, q_id, r_id, cheap and score of the best of them, of
+    equals the first by r_id. Sides: key, q_id, q_feat and key, r_id, r_feat. others: a query isn't compared with its own id."""
+
+    def short(a: pa.Table, b: pa.Table) -> list:
+        b = blocks.in_order(b, "r_id")
+        out = blocks.equal_ids(a["q_id"], b["r_id"]) if others else None
+        i, j, cheap, no_cheap = blocks.stacked(blocks.best(blocks.Vectors(a["q_feat"], head), blocks.Vectors(b["r_feat"], head), k, left_out=out), 4)
+        score, no_score = blocks.products(blocks.Vectors(a["q_feat"]), blocks.Vectors(b["r_feat"]), i, j)
+        return [a[key].take(pa.array(i)), a["q_id"].take(pa.array(i)), b["r_id"].take(pa.array(j)), pa.array(cheap, pa.float64(), mask=no_cheap.astype(bool)), pa.array(score, pa.float64(), mask=no_score)]
+
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    schema = f"`{key}` {kind(queries, key)}, q_id {kind(queries, 'q_id')}, r_id {kind(references, 'r_id')}, cheap double, score double"
+    pairs = blocks.block_join(queries.select(key, "q_id", "q_feat"), references.select(key, "r_id", "r_feat"), key, "q_id", "r_id", short, schema)
+    best = top_k(pairs, ["q_id"], [F.desc("cheap"), F.asc("r_id")], k).drop("rank")
+    return top_k(best, ["q_id"], [F.desc("score"), F.asc("r_id")], 1).drop("rank")
 
 
 def lookup(facts: DataFrame, dim: DataFrame, on: Sequence[tuple[str, str]], take: Sequence[str], default: str | None = None, order: str | None = None) -> DataFrame:

@@ -131,9 +131,7 @@ def two_stage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_feat"), "label")
     r = e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("r_feat"), "label")
-    head = lambda c: F.slice(c, 1, 8)
-    out = match.two_stage(q, r, "label", sim.dot(head("q_feat"), head("r_feat")), sim.dot(F.col("q_feat"), F.col("r_feat")), pair=F.col("q_id") != F.col("r_id"))
-    return out.select("q_id", "r_id", F.round("score", 6).alias("score"))
+    return match.two_stage(q, r, "label", 8, others=True).select("q_id", "r_id", F.round("score", 6).alias("score"))
 
 
 @query
