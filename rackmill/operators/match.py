@@ -38,25 +38,42 @@ def cascade(rows: DataFrame, key: Sequence[str], flags: Sequence[Column]) -> Dat
     return rows
 
 
-def match_models(queries: DataFrame, references: DataFrame, pair: Column | None = None) -> DataFrame:
+def match_models(queries: DataFrame, references: DataFrame, own: str | None = None) -> DataFrame:
     """The most similar reference of each query after the optional filters ports, rows, arrangement.
 
     queries: image, embedding, vendor?, num_ports, num_rows, arrangement; references: vendor, filename, embedding, num_rows, arrangement,
     ports. A known vendor restricts the references (unknown vendors match nothing), a null vendor doesn't. Detected counts of 0 or null skip a filter.
-    pair: a condition on image and the references' columns, for pairs that may be compared at all.
+    own: a column of the queries with a filename that isn't compared with the query.
+
+    The filters see only which kinds of references (ports, rows, arrangement) a vendor has and how many, so kinds of queries are filtered against kinds of
+    references, and rows meet in blocks of the kinds that are left.
     """
-    q = queries.withColumn("_v", tx.alnum(F.col("vendor"))).withColumnsRenamed({c: f"q_{c}" for c in ("embedding", "num_ports", "num_rows", "arrangement", "vendor")})
-    r = references.withColumn("_v", tx.alnum(F.col("vendor")))
-    named = q.filter("q_vendor is not null").join(r, "_v")
-    # queries without a vendor go through all references: a join on true, beside the references if they are few
-    free = q.filter("q_vendor is null").drop("_v").join(dimension(r.drop("_v")), F.lit(True))
-    pairs = named.drop("_v").unionByName(free).filter(F.lit(True) if pair is None else pair)
-    pairs = cascade(pairs, ["image"], [
+    name = F.col(own) if own else F.lit(None).cast("string")
+    q = queries.withColumns({"_own": name, "_k": F.when(F.col("vendor").isNull(), "*").otherwise(F.concat(F.lit("="), tx.alnum(F.col("vendor"))))})
+    q = q.select("image", "embedding", "_k", "_own", *(F.col(c).alias(f"q_{c}") for c in ("num_ports", "num_rows", "arrangement")))
+    r = references.withColumn("_k", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), tx.alnum(F.col("vendor")))))).withColumn("_kind", F.to_json(F.struct("_k", "ports", "num_rows", "arrangement")))
+    kinds = r.filter("_k is not null").groupBy("_k", "_kind", "ports", "num_rows", "arrangement").agg(F.count("*").alias("_n"))
+    # the kinds of the references that a query leaves out
+    skipped = r.groupBy("_k", F.col("filename").alias("_own")).agg(F.array_sort(F.collect_list("_kind")).alias("_out"))
+    q = (q.join(skipped, ["_k", "_own"], "left") if own else q.withColumn("_out", F.lit(None).cast("array<string>"))).withColumn("_asks", F.to_json(F.struct("_k", "q_num_ports", "q_num_rows", "q_arrangement", "_out")))
+    asked = q.groupBy("_asks").agg(*(F.first(c).alias(c) for c in ("_k", "q_num_ports", "q_num_rows", "q_arrangement", "_out"))).join(kinds, "_k")
+    asked = asked.filter(F.col("_n") > F.size(F.filter(F.coalesce("_out", F.array().cast("array<string>")), lambda x: x == F.col("_kind"))))
+    left = cascade(asked, ["_asks"], [
         (F.coalesce("q_num_ports", F.lit(0)) == 0) | F.array_contains(_nearest(F.col("q_num_ports")), F.col("ports")),
         (F.coalesce("q_num_rows", F.lit(0)) == 0) | (F.col("q_num_rows") == F.col("num_rows")),
         F.col("q_arrangement").isNull() | (F.col("q_arrangement") == F.col("arrangement")),
     ])
-    pairs = pairs.withColumn("similarity", sim.cosine(F.col("q_embedding"), F.col("embedding")))
+    x = q.join(left.select("_asks", "_kind"), "_asks").select("_kind", "image", F.col("embedding").alias("q_feat"), "_own")
+    y = r.select("_kind", "vendor", "filename", F.col("embedding").alias("r_feat"))
+
+    def nearest(a: pa.Table, b: pa.Table) -> list:
+        b = blocks.in_order(b, "filename")
+        out = blocks.equal_ids(a["_own"], b["filename"]) if own else None
+        i, j, score, null = blocks.stacked(blocks.best(blocks.Vectors(a["q_feat"]), blocks.Vectors(b["r_feat"]), 1, True, out), 4)
+        return [a["image"].take(pa.array(i)), b["vendor"].take(pa.array(j)), b["filename"].take(pa.array(j)), pa.array(score, pa.float64(), mask=null.astype(bool))]
+
+    schema = f"image {queries.schema['image'].dataType.simpleString()}, vendor {references.schema['vendor'].dataType.simpleString()}, filename {references.schema['filename'].dataType.simpleString()}, similarity double"
+    pairs = blocks.block_join(x, y, "_kind", "image", "filename", nearest, schema)
     return top_k(pairs, ["image"], [F.desc("similarity"), F.asc("filename")], 1).select("image", "vendor", "filename", F.round("similarity", 6).alias("similarity"))
 
 

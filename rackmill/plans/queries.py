@@ -121,9 +121,10 @@ def model_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     counts = F.array(*map(F.lit, g.PORT_COUNTS))
     base = e.select("vec_id", "embedding", F.concat(F.lit("Vendor "), F.col("label").cast("string")).alias("vendor"), F.get(counts, _int(F.col("vec_id") % 7)).alias("ports"), _int(F.col("vec_id") % 3 + 1).alias("rows"), F.get(F.array(*map(F.lit, ("LEFT", "RIGHT", "CENTER", "MIXED", "NONE"))), _int(F.col("vec_id") % 5)).alias("arrangement"))
-    q = base.select(F.col("vec_id").alias("image"), "embedding", "vendor", _int(F.col("vec_id") % 11 * 4).alias("num_ports"), F.col("rows").alias("num_rows"), "arrangement")
-    r = base.select("vendor", F.format_string("ref%06d", "vec_id").alias("filename"), "embedding", F.col("rows").alias("num_rows"), "arrangement", "ports")
-    return match.match_models(q, r, F.col("filename") != F.format_string("ref%06d", "image"))
+    name = F.format_string("ref%06d", "vec_id")
+    q = base.select(F.col("vec_id").alias("image"), name.alias("own"), "embedding", "vendor", _int(F.col("vec_id") % 11 * 4).alias("num_ports"), F.col("rows").alias("num_rows"), "arrangement")
+    r = base.select("vendor", name.alias("filename"), "embedding", F.col("rows").alias("num_rows"), "arrangement", "ports")
+    return match.match_models(q, r, "own")
 
 
 @query

@@ -45,3 +45,19 @@ def test_two_stage_makes_no_row_for_each_pair(spark):
     q, r = e.select(F.col("id").alias("q_id"), "g", F.col("x").alias("q_feat")), e.select(F.col("id").alias("r_id"), "g", F.col("x").alias("r_feat"))
     plan = match.two_stage(q, r, "g", 1)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "q_feat" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_cascade_is_the_join(spark, small_blocks):
+    """Kinds of references are filtered without the query's own row; a query without a vendor goes through all."""
+    rng = random.Random(2)
+    rows = [(v, g and f"Vendor {g.upper()}", x, rng.choice((8, 12, 48)), rng.choice((None, 1, 2)), rng.choice(("LEFT", "RIGHT"))) for v, g, x in vectors(rng, 60)]
+    base = spark.createDataFrame(rows, "image int, vendor string, embedding array<double>, ports int, num_rows int, arrangement string").withColumn("filename", F.format_string("f%03d", "image"))
+    asks = base.withColumns({"num_ports": F.get(F.array(F.lit(None), F.lit(0), F.lit(10), F.lit(48), F.lit(30)), F.col("image") % 5), "arrangement": F.when(F.col("image") % 4 > 0, F.col("arrangement")), "vendor": F.when(F.col("image") % 6 > 0, F.col("vendor"))})
+    q = asks.select("image", F.col("filename").alias("own"), "embedding", "vendor", "num_ports", "num_rows", "arrangement")
+    r = base.select("vendor", "filename", "embedding", "num_rows", "arrangement", "ports")
+    a, b = q.toDF("image", "own", "x", "q_vendor", "q_ports", "q_rows", "q_arr"), r.toDF("vendor", "filename", "y", "num_rows", "arrangement", "ports")
+    pairs = a.join(b, (F.col("q_vendor").isNull() | (F.col("q_vendor") == F.col("vendor"))) & (F.col("own") != F.col("filename")))
+    flags = [(F.coalesce("q_ports", F.lit(0)) == 0) | F.array_contains(match._nearest(F.col("q_ports")), F.col("ports")), (F.coalesce("q_rows", F.lit(0)) == 0) | (F.col("q_rows") == F.col("num_rows")), F.col("q_arr").isNull() | (F.col("q_arr") == F.col("arrangement"))]
+    left = match.cascade(pairs, ["image"], flags).withColumn("similarity", sim.cosine(F.col("x"), F.col("y")))
+    want = ranked(left, ["image"], [F.desc("similarity"), F.asc("filename")], 1).select("image", "vendor", "filename", F.round("similarity", 6).alias("similarity"))
+    assert sorted(map(str, match.match_models(q, r, "own").collect())) == sorted(map(str, want.collect()))
