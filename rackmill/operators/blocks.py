@@ -146,6 +146,50 @@ def best(q: Vectors, r: Vectors, k: int, cosine: bool = False, left_out: tuple[n
         yield i[took], j[took], score[took], null[took]
 
 
+def alike(rows: DataFrame, key: str, id_: str, vector: str, least: float) -> DataFrame:
+    """key, a, b, score: all pairs a < b of a key with a dot product of at least `least` (NaN counts as more). Ids are unique."""
+
+    def near(x: pa.Table, y: pa.Table) -> list:
+        q, r, a, b = Vectors(x["x"]), Vectors(y["y"]), x["a"], y["b"]
+        first, second = a.to_numpy(), b.to_numpy()
+
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for i, j in candidates(q, r, False, lambda tile, error: np.full(len(tile), least) - error):
+                kept = first[i] < second[j]
+                i, j = i[kept], j[kept]
+                score, null = products(q, r, i, j)
+                kept = ~null & ~(score < least)
+                yield i[kept], j[kept], score[kept]
+
+        i, j, score = stacked(parts(), 3)
+        return [x[key].take(pa.array(i)), a.take(pa.array(i)), b.take(pa.array(j)), pa.array(score.astype(float))]
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    left, right = rows.select(key, F.col(id_).alias("a"), F.col(vector).alias("x")), rows.select(key, F.col(id_).alias("b"), F.col(vector).alias("y"))
+    return block_join(left, right, key, "a", "b", near, f"`{key}` {kind(key)}, a {kind(id_)}, b {kind(id_)}, score double")
+
+
+def near_bits(left: DataFrame, right: DataFrame, key: str, most: int, kind: str, ids: tuple[str, str]) -> DataFrame:
+    """key, a, b, distance: all pairs of a key whose hashes differ in at most `most` bits, of equal pairs the least. left: key, a, h; right: key, b, v. kind, ids: types of the key and the ids."""
+
+    def near(x: pa.Table, y: pa.Table) -> list:
+        h, v = x["h"].to_numpy().view(np.uint64), y["v"].to_numpy().view(np.uint64)
+        a, b = (pc.index_in(c, c.unique()).to_numpy().astype(np.int64) for c in (x["a"], y["b"]))
+        found = []
+        for at in range(0, len(h), TILE):
+            for start in range(0, len(v), WIDTH):
+                distance = np.bitwise_count(h[at : at + TILE, None] ^ v[None, start : start + WIDTH])
+                i, j = np.nonzero(distance <= most)
+                found.append((i + at, j + start, distance[i, j].astype(np.int64)))
+        i, j, distance = stacked(iter(found), 3)
+        order = np.lexsort((distance, b[j], a[i]))
+        p, q = a[i][order], b[j][order]
+        first = order[np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])] if len(order) else order
+        return [x[key].take(pa.array(i[first])), x["a"].take(pa.array(i[first])), y["b"].take(pa.array(j[first])), pa.array(distance[first], pa.int32())]
+
+    return block_join(left, right, key, "a", "b", near, f"`{key}` {kind}, a {ids[0]}, b {ids[1]}, distance int")
+
+
 def equal_ids(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of equal values that aren't null."""
     known = b.unique().drop_null()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import cluster, documents, hierarchy, jobs, match, spatial
+from ..operators import blocks, cluster, documents, hierarchy, jobs, match, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,9 +444,9 @@ def leader_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def composite_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    pairs = e.select(F.col("label").alias("class"), F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(e.select(F.col("label").alias("class"), F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "class").filter("a <= b")
-    pairs = pairs.withColumn("score", sim.dot(F.col("x"), F.col("y"))).filter("score >= 0.8 or a = b").select("class", "a", "b", "score")
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("class"), "vec_id", "embedding").filter("class is not null")
+    alone = e.select("class", F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), sim.dot(F.col("embedding"), F.col("embedding")).alias("score"))
+    pairs = blocks.alike(e, "class", "vec_id", "embedding", 0.8).unionByName(alone)
     return cluster.composite_cluster(pairs)
 
 

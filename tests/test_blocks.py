@@ -61,3 +61,21 @@ def test_cascade_is_the_join(spark, small_blocks):
     left = match.cascade(pairs, ["image"], flags).withColumn("similarity", sim.cosine(F.col("x"), F.col("y")))
     want = ranked(left, ["image"], [F.desc("similarity"), F.asc("filename")], 1).select("image", "vendor", "filename", F.round("similarity", 6).alias("similarity"))
     assert sorted(map(str, match.match_models(q, r, "own").collect())) == sorted(map(str, want.collect()))
+
+
+def test_alike_is_the_join(spark, small_blocks):
+    e = spark.createDataFrame(vectors(random.Random(3), 60), VECTORS)
+    x, y = e.select("g", F.col("v").alias("a"), "x"), e.select("g", F.col("v").alias("b"), F.col("x").alias("y"))
+    want = x.join(y, "g").filter("a < b").withColumn("score", sim.dot(F.col("x"), F.col("y"))).filter("score >= 3").select("g", "a", "b", "score")
+    assert sorted(map(str, blocks.alike(e, "g", "v", "x", 3.0).collect())) == sorted(map(str, want.collect()))
+
+
+def test_near_hashes_meet_in_blocks(spark, small_blocks):
+    """Short bands, in which most pairs meet, and long ones; both without a join of rows on them."""
+    rng = random.Random(4)
+    rows = [(k % 2, k, rng.getrandbits(32)) for k in range(150)]
+    d = spark.createDataFrame(rows, "g int, i int, h long")
+    for most in (9, 2):
+        near = match.near_hashes(d.select("g", F.col("i").alias("a"), F.col("h").alias("hash")), d.select("g", F.col("i").alias("b"), F.array("h").alias("variants")), "g", most, bits=32)
+        assert "FlatMapGroupsInArrow" in near._jdf.queryExecution().executedPlan().toString()
+        assert {(r.a, r.b) for r in near.collect()} == {(a, b) for g, a, h in rows for k, b, v in rows if g == k and (h ^ v).bit_count() <= most}
