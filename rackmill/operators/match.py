@@ -219,18 +219,22 @@ def near_hashes(left: DataFrame, right: DataFrame, key: str, most: int, bits: in
     """key, a, b, distance, similarity: all pairs within the key whose hashes differ in at most `most` bits, b by the nearest of its variants.
 
     left: key, a, hash (long); right: key, b, variants (array of long, such as a picture's rotations). Hashes are cut into most + 1 bands; two that differ in at most `most` bits
-    agree in a whole band, so pairs meet on (key, band) and none is lost. A pair is compared at its first common band only. similarity: 1 - distance / scale, at least 0. A null hash or key is near nothing."""
+    agree in a whole band, so pairs that meet on (key, band) are all. Where bands are so short that most pairs meet in some, they meet on the key alone. Pairs are compared in blocks, and only near ones
+    become rows. similarity: 1 - distance / scale, at least 0. A null hash or key is near nothing."""
     cuts = [bits * k // (most + 1) for k in range(most + 2)]
-
-    def bands(h: Column) -> Column:
-        return F.array(*(F.struct(F.lit(k).alias("band"), (F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) if b - a < 64 else h).alias("bits")) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
-
-    x = left.filter(F.col("hash").isNotNull()).select(key, "a", F.col("hash").alias("_h"), bands(F.col("hash")).alias("_hb"))
-    y = right.select(key, "b", F.explode("variants").alias("_v")).filter("_v is not null").distinct().withColumn("_vb", bands(F.col("_v")))
-    pairs = x.withColumn("_band", F.explode("_hb")).join(y.withColumn("_band", F.explode("_vb")), [key, "_band"])
-    first = F.get(F.array_intersect("_hb", "_vb"), F.lit(0)) == F.col("_band")
-    near = pairs.withColumn("distance", F.bit_count(F.col("_h").bitwiseXOR(F.col("_v"))).cast("int")).filter((F.col("distance") <= most) & first)
-    best = near.groupBy(key, "a", "b").agg(F.min("distance").alias("distance"))
+    x = left.filter(F.col("hash").isNotNull()).select(key, "a", F.col("hash").cast("long").alias("h"))
+    y = right.select(key, "b", F.explode("variants").alias("v")).filter("v is not null").withColumn("v", F.col("v").cast("long")).distinct()
+    kind, ids = left.schema[key].dataType.simpleString(), (left.schema["a"].dataType.simpleString(), right.schema["b"].dataType.simpleString())
+    if sum(2.0 ** (p - q) for p, q in zip(cuts[:-1], cuts[1:], strict=True)) > 0.25:
+        best = blocks.near_bits(x, y, key, most, kind, ids)
+    else:
+
+        def banded(d: DataFrame, h: str) -> DataFrame:
+            own = (F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1) if b - a < 64 else F.lit(-1)).alias("bits")) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))
+            return d.filter(F.col(key).isNotNull()).withColumn("_at", F.explode(F.array(*own))).withColumn("_at", F.struct(key, "_at.band", "_at.bits"))
+
+        near = blocks.near_bits(banded(x, "h").drop(key), banded(y, "v").drop(key), "_at", most, f"struct<`{key}`:{kind},band:int,bits:bigint>", ids)
+        best = near.groupBy(F.col(f"_at.{key}").alias(key), "a", "b").agg(F.min("distance").alias("distance"))
     return best.withColumn("similarity", F.greatest(F.lit(0.0), 1 - F.col("distance") / scale))
 
 
