@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from . import hierarchy
 
 _BOX = pa.struct([(c, pa.int32()) for c in ("x1", "y1", "x2", "y2")])
@@ -48,23 +49,31 @@ def _row(node: dict, preorder: int, parent: int | None, depth: int) -> dict:
     return {"preorder": preorder, "parent": parent, "depth": depth, "node_id": _text(node.get("id")), **plain, "segmented": _picture(node), "box": _box(node.get("bbox")), "has_ports": bool(ports), "port_files": names}
 
 
+#: Documents whose nodes are Python objects at a time.
+_DOCS = 64
+
+
 def _walk(json_texts: pa.Array) -> pa.Array:
-    out = []
-    for text in json_texts.to_pylist():
-        found = []
-        try:
-            rest = [(json.loads(text), None, 0)] if text is not None else []
-        except (ValueError, RecursionError):
-            rest = []
-        while rest:
-            v, parent, depth = rest.pop()
-            if isinstance(v, dict):
-                found.append(_row(v, len(found), parent, depth))
-                parent, depth, v = len(found) - 1, depth + 1, list(v.values())
-            if isinstance(v, list):
-                rest += [(x, parent, depth) for x in reversed(v) if isinstance(x, (dict, list))]
-        out.append(found)
-    return pa.array(out, pa.list_(_NODE))
+    done = [pa.array([], pa.list_(_NODE))]
+    for at in range(0, len(json_texts), _DOCS):
+        done.append(pa.array(list(map(_nodes, json_texts.slice(at, _DOCS).to_pylist())), pa.list_(_NODE)))
+    return pa.concat_arrays(done)
+
+
+def _nodes(text: str | None) -> list[dict]:
+    found = []
+    try:
+        rest = [(json.loads(text), None, 0)] if text is not None else []
+    except (ValueError, RecursionError):
+        rest = []
+    while rest:
+        v, parent, depth = rest.pop()
+        if isinstance(v, dict):
+            found.append(_row(v, len(found), parent, depth))
+            parent, depth, v = len(found) - 1, depth + 1, list(v.values())
+        if isinstance(v, list):
+            rest += [(x, parent, depth) for x in reversed(v) if isinstance(x, (dict, list))]
+    return found
 
 
 def walk(docs: DataFrame, key: str = "doc", text: str = "json") -> DataFrame:
@@ -93,6 +102,7 @@ def ports(nodes: DataFrame) -> DataFrame:
 
 def resolved(nodes: DataFrame) -> DataFrame:
     """The ports of all documents with their parent and the rule that found it (hierarchy.parents), its kind (parent_type, else type, else category) and the base name of its picture."""
+    nodes = stored(nodes, "nodes")  # read for ports, devices, lists, boxes and names
     found = hierarchy.parents(ports(nodes), kinds(nodes), port_lists(nodes))
     kind = F.coalesce("parent_type", "type", "category")
     named = nodes.filter("node_id is not null").groupBy("doc", F.col("node_id").alias("resolved")).agg(F.min_by(F.struct(kind.alias("kind"), F.regexp_extract("segmented", r"([^/\\]+)$", 1).alias("picture")), "preorder").alias("x"))

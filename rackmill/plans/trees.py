@@ -23,20 +23,18 @@ def _joined(text: str, order: Column) -> Column:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every three devices one has port lists by state, one a single list, and one holds its ports without a list; boxes, pictures and parent ids are there or not."""
-    port = F.expr("""concat('{"segmented_filename":"out/p_', l_orderkey, '_', l_linenumber, '_', l_partkey, '.jpg"',
-        case when l_partkey % 6 = 0 then ',"parent_id":"nowhere"' when l_partkey % 3 = 0 then concat(',"parent_id":"dev_', l_orderkey, '"') else '' end,
-        case when l_partkey % 2 = 0 then concat(',"bbox":[', l_partkey * 7 % 940, ',', l_partkey * 3 % 540, ',', l_partkey * 7 % 940 + 12, ',', l_partkey * 3 % 540 + 10, ']') else '' end, '}')""")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2 == 1).alias("odd"), port.alias("text"))
-    lists = lines.groupBy("l_orderkey").agg(
-        _joined("text", F.col("text")).alias("every"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("odd"), F.col("text")))), ",").alias("odd"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("odd"), F.col("text")))), ",").alias("even"),
-    )
+    # numbers are dealt and grouped, texts made of them afterwards
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderkey", "lines").repartition("o_custkey")
+    ports = F.expr("""array_sort(transform(lines, l -> struct(concat('{"segmented_filename":"out/p_', o_orderkey, '_', l.l_linenumber, '_', l.l_partkey, '.jpg"',
+        case when l.l_partkey % 6 = 0 then ',"parent_id":"nowhere"' when l.l_partkey % 3 = 0 then concat(',"parent_id":"dev_', o_orderkey, '"') else '' end,
+        case when l.l_partkey % 2 = 0 then concat(',"bbox":[', l.l_partkey * 7 % 940, ',', l.l_partkey * 3 % 540, ',', l.l_partkey * 7 % 940 + 12, ',', l.l_partkey * 3 % 540 + 10, ']') else '' end, '}') as text, l.l_linenumber % 2 = 1 as odd)))""")
+    lists = orders.withColumn("ports", ports).withColumns({"every": F.expr("array_join(ports.text, ',')"), "odd": F.expr("array_join(filter(ports, p -> p.odd).text, ',')"), "even": F.expr("array_join(filter(ports, p -> not p.odd).text, ',')")})
     device = F.expr("""concat('{"id":"dev_', o_orderkey, '","type":"', case o_orderkey % 4 when 0 then 'switch' when 1 then 'patch_panel' else 'thing' end, '"',
         case when o_orderkey % 5 > 0 then concat(',"segmented_image":"seg/dev_', o_orderkey, '.png"') else '' end,
         ',"bbox":[', o_orderkey * 17 % 500, ',', o_orderkey * 29 % 300, ',', o_orderkey * 17 % 500 + 400, ',', o_orderkey * 29 % 300 + 200, ']',
         case when every is null then '' when o_orderkey % 3 = 0 then concat(',"ports":{"connected":[', odd, '],"empty":[', even, ']}') when o_orderkey % 3 = 1 then concat(',"ports":[', every, ']') else concat(',"items":[', every, ']') end, '}')""")
-    devices = table(spark, sf_dir, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderkey", device.alias("text"))
+    devices = lists.select("o_custkey", "o_orderkey", device.alias("text"))
     docs = devices.groupBy(F.col("o_custkey").alias("doc")).agg(_joined("text", F.col("o_orderkey")).alias("units"))
     return docs.select("doc", F.concat(F.lit('{"job":'), "doc", F.lit(',"frame":{"id":"frame_'), "doc", F.lit('","bbox":[0,0,960,560],"units":['), "units", F.lit("]}}")).alias("json"))
 
