@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as tx
+from ..sources.shared import stored
 from .match import dimension, first_match
 from .spatial import overlap_join
 
@@ -49,11 +50,14 @@ def parents(ports: DataFrame, nodes: DataFrame, holds: DataFrame) -> DataFrame:
     """
     dev = nodes.filter(is_device(F.col("type"), F.col("node_id"), F.col("has_ports"))).select("doc", F.col("node_id").alias("named"))
     holder = holds.join(dev.select("doc", F.col("named").alias("dev_id")), ["doc", "dev_id"], "left_semi").groupBy("doc", "port_id").agg(F.min("dev_id").alias("holder"))
-    boxes = nodes.filter("box is not null and node_id is not null").select("doc", "preorder", F.col("node_id").alias("around"), F.col("box").alias("around_box"))
-    inside = overlap_join(ports.select("doc", "port_id", "box").filter("box is not null"), boxes, "doc", "box", "around_box").filter(g.containment(F.col("box"), F.col("around_box")) == "Valid").groupBy("doc", "port_id").agg(F.min_by("around", "preorder").alias("around"))
+    first = first_device(nodes)
+    # boxes count only in documents without a first device
+    told = first.filter("first_device is not null").select("doc")
+    boxes = nodes.filter("box is not null and node_id is not null").join(told, "doc", "left_anti").select("doc", "preorder", F.col("node_id").alias("around"), F.col("box").alias("around_box"))
+    inside = overlap_join(ports.select("doc", "port_id", "box").filter("box is not null").join(told, "doc", "left_anti"), boxes, "doc", "box", "around_box").filter(g.containment(F.col("box"), F.col("around_box")) == "Valid").groupBy("doc", "port_id").agg(F.min_by("around", "preorder").alias("around"))
     ids = dev.distinct().select(F.col("doc").alias("_doc"), "named")  # ports may come from the nodes themselves
     p = ports.join(ids, (F.col("doc") == F.col("_doc")) & (F.col("parent_id") == F.col("named")), "left").drop("_doc")
-    p = p.join(holder, ["doc", "port_id"], "left").join(first_device(nodes), "doc", "left").join(inside, ["doc", "port_id"], "left")
+    p = p.join(holder, ["doc", "port_id"], "left").join(first, "doc", "left").join(inside, ["doc", "port_id"], "left")
     found = F.coalesce("named", "holder", "first_device", "around")
     rule = F.when(F.col("named").isNotNull(), "parent_id").when(F.col("holder").isNotNull(), "port_list").when(F.col("first_device").isNotNull(), "first_device").when(F.col("around").isNotNull(), "box")
     return p.select(*ports.columns, found.alias("resolved"), rule.alias("rule"))
@@ -67,6 +71,7 @@ def file_match(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each file (name) with the first node (doc, node_id, preorder, segmented) whose picture has the same base name, or one that holds the
     other. Only names without an equal are compared by content."""
     n = nodes.filter("segmented is not null").select("node_id", "preorder", base_name(F.col("segmented")).alias("_b")).filter("_b <> ''")
+    n = stored(n, "pictures")  # read for equal names, its size and names that hold each other
     f = files.withColumn("_n", base_name(F.col("name")))
     equal = f.join(n, F.col("_n") == F.col("_b")).groupBy("name").agg(F.min_by("node_id", "preorder").alias("node_id"))
     rest = f.join(equal.select("name"), "name", "left_anti").filter("_n <> ''")

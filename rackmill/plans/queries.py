@@ -524,5 +524,7 @@ def parent_resolution_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with port lists: every device lists the connected ports of its image."""
     p, nodes = _resolution(spark, sf_dir)
     connected = _ports(spark, sf_dir).filter("state = 'connected'").select(F.col("image").alias("doc"), "port_id")
-    holds = connected.join(nodes.select("doc", F.col("node_id").alias("dev_id")), "doc")
+    # only devices' lists are ever asked, so the others aren't made into rows
+    lists = nodes.filter(hierarchy.is_device(F.col("type"), F.col("node_id"), F.col("has_ports")))
+    holds = connected.join(lists.select("doc", F.col("node_id").alias("dev_id")), "doc")
     return hierarchy.parents(p, nodes, holds).select("doc", "port_id", "resolved", "rule")
