@@ -115,12 +115,13 @@ def lookup(facts: DataFrame, dim: DataFrame, on: Sequence[tuple[str, str]], take
 def first_match(facts: DataFrame, dim: DataFrame, key: str, rules: Sequence[Column], order: str) -> DataFrame:
     """Facts with the dimension row of the first rule that any row satisfies, the first row by `order` within it.
 
-    Rules see both sides' columns (names must differ); the dimension is small (its size is checked), so all pairs of a
-    distinct fact key with it are looked at in one pass.
+    Rules see both sides' columns (names must differ); all pairs of a distinct fact key with the dimension are
+    looked at in one pass, and of the two what is small (the sizes are checked) goes to all tasks.
     """
     prio = F.coalesce(*(F.when(F.coalesce(r, F.lit(False)), F.lit(i)) for i, r in enumerate(rules)))
     distinct = facts.select(key).distinct()
-    hits = distinct.join(dimension(dim), F.lit(True)).withColumn("rule", prio).filter("rule is not null")
+    few = dim.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS
+    hits = (distinct.join(F.broadcast(dim), F.lit(True)) if few else dim.join(dimension(distinct), F.lit(True))).withColumn("rule", prio).filter("rule is not null")
     best = hits.groupBy(key).agg(F.min_by(F.struct("rule", *dim.columns), F.struct("rule", order)).alias("_hit"))
     return facts.join(best, facts[key].eqNullSafe(best[key]), "left").drop(best[key]).select(*facts.columns, "_hit.rule", *(f"_hit.{c}" for c in dim.columns))
 
