@@ -42,11 +42,15 @@ def _sides(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame,
     def listed(d: DataFrame) -> DataFrame:
         return d.select("text").filter("text <> ''").distinct().withColumn("grams", _grams("text", size, short))
 
+    def each_gram(d: DataFrame) -> DataFrame:
+        # of an inner explode Spark infers a filter on the grams and moves it below `distinct`, where every row's grams would be made
+        return d.select("text", F.explode_outer("grams").alias("gram")).filter("gram is not null")
+
     a, b = listed(left), listed(right)
-    rare = b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    rare = each_gram(b).groupBy("gram").agg(F.count("*").alias("n"))
 
     def ordered(d: DataFrame) -> DataFrame:
-        each = d.select("text", F.explode("grams").alias("gram")).join(rare, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        each = each_gram(d).join(rare, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         sets = each.groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("grams"))
         size_ = F.length("text")
         need = F.greatest(_needed(size_ + F.ceil(size_ * (least / (2 - least)) - 1e-9), factor, constant), F.lit(1))

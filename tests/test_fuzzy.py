@@ -119,3 +119,15 @@ def test_proposals_prune(spark, sf):
     b = p.select(F.concat("p_brand", F.lit(" "), "p_name", F.col("p_size").cast("string")).alias("text"))
     n = a.distinct().count() * b.distinct().count()
     assert fuzzy.proposals(a, b, 0.85).count() < n / 100
+
+
+def below_distinct(d):
+    """The optimized plan's filters that make grams."""
+    lines = d._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [x for x in lines if "Filter" in x and "sequence(" in x]
+
+
+def test_grams_of_distinct_texts_only(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    dim = p.select(F.col("p_name").alias("model"), F.col("p_type").alias("description"))
+    assert not below_distinct(match.describe_models(p.select("p_partkey", F.concat("p_name", F.lit("s")).alias("model")), dim))
