@@ -131,3 +131,9 @@ def test_grams_of_distinct_texts_only(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     dim = p.select(F.col("p_name").alias("model"), F.col("p_type").alias("description"))
     assert not below_distinct(match.describe_models(p.select("p_partkey", F.concat("p_name", F.lit("s")).alias("model")), dim))
+
+
+def test_grams_of_distinct_names_only(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    out = match.close_match(p.select("p_partkey", F.concat(F.substring("p_name", 2, 100), F.lit("_"), "p_type").alias("port")), p.select(F.concat("p_name", F.lit(" "), "p_type").alias("name")), "port", "name")
+    assert not below_distinct(out)
