@@ -7,8 +7,10 @@ list holds a picture, the files that show a node) are joins and aggregations ove
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ _NODE = pa.struct([
     ("segmented", pa.string()), ("box", _BOX), ("has_ports", pa.bool_()), ("port_files", pa.list_(pa.string())),
 ])
 _NODES = (
-    "array<struct<preorder:int,parent:int,depth:int,node_id:string,type:string,category:string,parent_type:string,parent_id:string,segmented:string,"
-    "box:struct<x1:int,y1:int,x2:int,y2:int>,has_ports:boolean,port_files:array<string>>>"
+    "preorder int,parent int,depth int,node_id string,type string,category string,parent_type string,parent_id string,segmented string,"
+    "box struct<x1:int,y1:int,x2:int,y2:int>,has_ports boolean,port_files array<string>"
 )
 _INT = 1 << 31
 
@@ -76,11 +78,21 @@ def _nodes(text: str | None) -> list[dict]:
     return found
 
 
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with their documents, of a few documents at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _DOCS):
+            part = batch.slice(at, _DOCS)
+            nodes = _walk(part.column(1))
+            rows = nodes.flatten()
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pc.list_parent_indices(nodes)), *rows.flatten()], names=["doc", *(f.name for f in _NODE)])
+
+
 def walk(docs: DataFrame, key: str = "doc", text: str = "json") -> DataFrame:
     """A row for each object of each document: doc, preorder (from 0, members in the order of the text), parent (preorder of the object around it), depth,
     node_id, type, category, parent_type, parent_id, segmented (its picture), box, has_ports (a port list that isn't empty) and port_files (base
     names of the pictures in its port lists). Fields of another kind, and empty texts, are null. A null or corrupt document, and one of more levels than the parser takes (about 1,000), has no rows."""
-    return docs.select(F.col(key).alias("doc"), F.explode(F.arrow_udf(_walk, _NODES)(F.col(text))).alias("_n")).select("doc", "_n.*")
+    return docs.select(F.col(key).alias("doc"), F.col(text)).mapInArrow(_walked, f"doc {docs.schema[key].dataType.simpleString()},{_NODES}")
 
 
 def kinds(nodes: DataFrame) -> DataFrame:

@@ -56,3 +56,12 @@ def test_boxes_are_asked_where_no_device_is(spark):
     ports = spark.createDataFrame([(d, d, None, (5, 5, 9, 9)) for d in (1, 2)], f"doc int, port_id int, parent_id string, box {box}")
     got = hierarchy.parents(ports, nodes, spark.createDataFrame([], "doc int, dev_id string, port_id int")).collect()
     assert {(r.doc, r.resolved, r.rule) for r in got} == {(1, "s", "first_device"), (2, "t", "box")}
+
+
+def test_nodes_leave_python_a_few_documents_at_a_time(spark):
+    texts = [json.dumps({"units": [{"id": f"d{k}", "bbox": [0, 0, k, k]} for k in range(3)]}), None, "{", "[]"] * 50
+    parts = list(tree._walked(iter([pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], names=["doc", "json"])])))
+    assert len(parts) == 4 and max(p.num_rows for p in parts) <= 64 and sum(p.num_rows for p in parts) == 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, json string")
+    out = tree.device_pictures(tree.walk(docs))
+    assert "Generate" not in plan(out) and out.count() == 0 and tree.walk(docs).count() == 200
