@@ -150,7 +150,25 @@ def html_rows(html: Column, cell: str = "t[dh]") -> Column:
     """Arrays of cell texts, one for each <tr>. cell: which tags are cells."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(rf"(?is)<{cell}(?:\s[^>]*)?>(.*?)</{cell}>"), F.lit(1)))
-    return F.transform(cells, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(html_unescape(F.regexp_replace(c, r"(?s)<[^>]*>", "")), r"\s+", " "))))
+    return F.transform(cells, lambda r: F.transform(F.transform(F.transform(r, _untagged), _unescaped), _single_spaced))
+
+
+# most cells are plain, and a look for the character costs less than the replacement
+
+
+def _untagged(c: Column) -> Column:
+    return F.when(c.contains("<"), F.regexp_replace(c, r"(?s)<[^>]*>", "")).otherwise(c)
+
+
+def _unescaped(c: Column) -> Column:
+    return F.when(c.contains("&"), html_unescape(c)).otherwise(c)
+
+
+def _single_spaced(c: Column) -> Column:
+    white = c.contains("  ")
+    for w in "\t\n\x0b\f\r":
+        white = white | c.contains(w)
+    return F.trim(F.when(white, F.regexp_replace(c, r"\s+", " ")).otherwise(c))
 
 
 def _meaningful(html: Column, pictures: str) -> Column:

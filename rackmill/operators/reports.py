@@ -168,11 +168,20 @@ def units(reports: DataFrame) -> DataFrame:
 
     From the device's tables by their headers, the last table that says something; what is missing then is guessed from a switch's cells, read behind the word and a colon in the
     device's text, or for a patch panel told by the kinds that its text and description name. Patch panels have no vendor."""
-    r = reports.withColumn("unit_no", F.nullif(F.regexp_extract("name", r"^unit(\d+).*_report\.html$", 1), F.lit("")).cast("long")).filter("unit_no is not null")
+    r = reports.withColumn("unit_no", _unit_no()).filter("unit_no is not null")
+    return _told(r, []).select("job", "unit_no", "device_type", "vendor", "model", "description")
+
+
+def _unit_no() -> Column:
+    return F.nullif(F.regexp_extract("name", r"^unit(\d+).*_report\.html$", 1), F.lit("")).cast("long")
+
+
+def _told(r: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """job, unit_no, what units() says, and the columns to keep. r: job, unit_no, html and those."""
     kind = F.lower(F.coalesce(F.nullif(_plain(_div(F.col("html"), "device-badge")), F.lit("")), F.lit("unknown")))
-    r = r.select("job", "unit_no", kind.alias("device_type"), _div(F.col("html"), "device-info").alias("info"))
+    r = r.select("job", "unit_no", *keep, kind.alias("device_type"), _div(F.col("html"), "device-info").alias("info"))
     tables = F.filter(F.transform(F.regexp_extract_all("info", F.lit(r"(?is)(<table.*?</table>)"), F.lit(1)), lambda t: tx.html_rows(t)), lambda t: F.size(t) > 1)
-    r = r.select("job", "unit_no", "device_type", F.coalesce(tables, F.array().cast("array<array<array<string>>>")).alias("tables"), _plain(F.col("info")).alias("plain"))
+    r = r.select("job", "unit_no", *keep, "device_type", F.coalesce(tables, F.array().cast("array<array<array<string>>>")).alias("tables"), _plain(F.col("info")).alias("plain"))
     panel, switch = F.col("device_type").isin("patch panel", "patchpanel"), F.col("device_type") == "switch"
     model = _last(F.col("tables"), lambda t: tx.let(_column(t, "model"), lambda v: F.when(~F.lower(v).isin("", *NO_MODEL), v)))
     description = _last(F.col("tables"), lambda t: tx.let(said(_column(t, "description")), lambda v: F.when(F.length(v) > 2, tx.one_line(v))))
@@ -183,34 +192,59 @@ def units(reports: DataFrame) -> DataFrame:
         "description": F.coalesce("description", _named(F.col("guess.description")), tx.one_line_or_null(_said_after(F.col("plain"), "description"))),
     })
     named = F.when(F.col("device_type").contains("patch"), hierarchy.panel_model(F.concat_ws(" ", "plain", "description")))
-    return r.select("job", "unit_no", "device_type", "vendor", F.coalesce("model", named).alias("model"), "description")
+    return r.select("job", "unit_no", *keep, "device_type", "vendor", F.coalesce("model", named).alias("model"), "description")
+
+
+_CONNECTED, _EMPTY = "Connected|✅", "^(?!.*(Connected|✅)).*(Empty|⭕)"
+_CABLED = ("cable", "cable_description", "usage", "port", "port_description", "other_port")
+
+
+def _ports(reports: DataFrame) -> DataFrame:
+    """job, unit_no, html, and its ports as arrays: c (ord and the fields of connected()) and e (ord and which of EMPTY_PORTS). Each report is read once."""
+    r = reports.select("job", _unit_no().alias("unit_no"), "html").filter("unit_no is not null")
+    parts = F.slice(F.split("html", r"""(?i)<div[^>]*class\s*=\s*["']section["'][^>]*>"""), 2, 1 << 30)
+    title = lambda p: F.regexp_extract(p, r"""(?is)<h2[^>]*class\s*=\s*["']section-title["'][^>]*>(.*?)</h2>""", 1)
+    kinds = F.transform(parts, lambda p, s: F.transform(F.array(title(p)), lambda t: F.struct(s.alias("s"), t.rlike(_CONNECTED).alias("connected"), t.rlike(_EMPTY).alias("empty"), p.alias("part")))[0])
+    r = r.select("job", "unit_no", "html", F.filter(kinds, lambda k: k["connected"] | k["empty"]).alias("kinds"))
+
+    def body(k: Column) -> Column:
+        rows = tx.html_rows(F.regexp_extract(k["part"], r"(?is)(<table.*?</table>)", 1), "td")
+        return F.transform(F.slice(rows, 2, 1 << 30), lambda cells, n: F.struct(F.struct(k["s"].alias("s"), (n + 1).alias("row")).alias("ord"), k["connected"].alias("connected"), k["empty"].alias("empty"), cells.alias("cells")))
+
+    r = r.select("job", "unit_no", "html", F.flatten(F.transform("kinds", body)).alias("rows"))
+    cell = lambda x, k: F.coalesce(F.get(x["cells"], F.lit(k)), F.lit(""))
+    cabled = F.filter("rows", lambda x: x["connected"] & (F.size(x["cells"]) >= 6) & ~((F.lower(cell(x, 2)) == "n/a") & (F.lower(cell(x, 3)) == "n/a")))
+    free = F.filter("rows", lambda x: x["empty"] & (F.size(x["cells"]) >= 1))
+
+    def which(x: Column) -> Column:
+        name = F.coalesce(F.get(x["cells"], F.lit(1)), F.get(x["cells"], F.lit(0)))
+        out = F.when(F.lit(False), F.lit(0))
+        for k, (word, _, _) in enumerate(EMPTY_PORTS):
+            out = out.when(name.contains(word), k)
+        return out
+
+    c = F.transform(cabled, lambda x: F.struct(x["ord"].alias("ord"), *(cell(x, k).alias(n) for k, n in enumerate(_CABLED, 1))))
+    e = F.transform(free, lambda x: F.struct(x["ord"].alias("ord"), which(x).alias("which")))
+    return r.select("job", "unit_no", "html", c.alias("c"), e.alias("e"))
+
+
+def _of_empty(which: Column, column: int) -> Column:
+    return F.get(F.array(*(F.lit(x[column]) for x in EMPTY_PORTS)), which)
 
 
-def _sections(reports: DataFrame, pattern: str) -> DataFrame:
-    """job, unit_no, ord (section, row) and the <td> cells of body rows of the tables in sections whose title fits."""
-    r = reports.select("job", F.nullif(F.regexp_extract("name", r"^unit(\d+).*_report\.html$", 1), F.lit("")).cast("long").alias("unit_no"), F.posexplode(F.slice(F.split("html", r"""(?i)<div[^>]*class\s*=\s*["']section["'][^>]*>"""), 2, 1 << 30)).alias("s", "part"))
-    title = F.regexp_extract("part", r"""(?is)<h2[^>]*class\s*=\s*["']section-title["'][^>]*>(.*?)</h2>""", 1)
-    r = r.filter(F.col("unit_no").isNotNull() & title.rlike(pattern)).withColumn("t", F.regexp_extract("part", r"(?is)(<table.*?</table>)", 1))
-    return r.select("job", "unit_no", "s", F.posexplode(tx.html_rows(F.col("t"), "td")).alias("row", "cells")).filter("row > 0").select("job", "unit_no", F.struct("s", "row").alias("ord"), "cells")
+def _each(reports: DataFrame, column: str) -> DataFrame:
+    # an inner explode would have Spark infer a filter on the array, which reads every report once more
+    return _ports(reports).select("job", "unit_no", F.explode_outer(column).alias("x")).filter("x is not null")
 
 
 def connected(reports: DataFrame) -> DataFrame:
     """job, unit_no, ord and the fields of the ports in sections titled as connected; rows of fewer than six cells, and those with n/a as description and as usage, give nothing."""
-    names = ("cable", "cable_description", "usage", "port", "port_description", "other_port")
-    rows = _sections(reports, "Connected|✅").filter(F.size("cells") >= 6)
-    out = rows.select("job", "unit_no", "ord", *(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names, 1)))
-    return out.filter(~((F.lower("cable_description") == "n/a") & (F.lower("usage") == "n/a")))
+    return _each(reports, "c").select("job", "unit_no", "x.*")
 
 
 def empty(reports: DataFrame) -> DataFrame:
     """job, unit_no, ord, type and description of the ports in sections titled as empty (not as connected too), by what the class column says: the second cell, or the only one."""
-    rows = _sections(reports, "^(?!.*(Connected|✅)).*(Empty|⭕)").filter(F.size("cells") >= 1)
-    name = F.coalesce(F.get("cells", F.lit(1)), F.get("cells", F.lit(0)))
-    which = F.when(F.lit(False), F.lit(0))
-    for k, (word, _, _) in enumerate(EMPTY_PORTS):
-        which = which.when(name.contains(word), k)
-    pick = lambda column: F.get(F.array(*(F.lit(x[column]) for x in EMPTY_PORTS)), which)
-    return rows.select("job", "unit_no", "ord", pick(1).alias("type"), pick(2).alias("description"))
+    return _each(reports, "e").select("job", "unit_no", "x.ord", _of_empty(F.col("x.which"), 1).alias("type"), _of_empty(F.col("x.which"), 2).alias("description"))
 
 
 def rack(reports: DataFrame) -> DataFrame:
@@ -237,26 +271,23 @@ def rack(reports: DataFrame) -> DataFrame:
 def audit(reports: DataFrame, generated: str, descriptions: DataFrame | None = None) -> DataFrame:
     """job and json: the audit document of a job's reports (job, name, html). generated: the date to print. descriptions: ord, vendor, model, description; they
     come before what a switch's report says. Ports are numbered over a job's units by number, connected before empty ones. Fields without a value are left out. A job has a row if it has a report of a unit or of its rack."""
-    u = units(reports)
+    u = _told(_ports(reports), ["c", "e"])
     if descriptions is not None:
-        told = hierarchy.describe(u.filter("device_type = 'switch'").drop("description"), descriptions)
-        told = told.select(F.col("job").alias("_j"), F.col("unit_no").alias("_u"), F.col("description").alias("_d"))
-        u = u.join(told, (F.col("job") == F.col("_j")) & (F.col("unit_no") == F.col("_u")), "left").withColumn("description", F.coalesce(tx.one_line_or_null(F.col("_d")), "description")).drop("_j", "_u", "_d")
-    fields = ("port", "port_description", "other_port", "cable", "cable_description", "usage")
-    c = connected(reports).select("job", "unit_no", F.lit(0).alias("k"), "ord", F.struct(*fields).alias("c"), F.lit(None).cast("struct<type:string,description:string>").alias("e"))
-    e = empty(reports).select("job", "unit_no", F.lit(1).alias("k"), "ord", F.lit(None).cast(c.schema["c"].dataType).alias("c"), F.struct("type", "description").alias("e"))
-    p = c.unionByName(e).withColumn("n", F.row_number().over(Window.partitionBy("job").orderBy("unit_no", "k", "ord")))
-    p = p.withColumn("port_id", F.format_string("port_%d", "n"))
-
-    def gathered(k: int, column: str, names: Sequence[str]) -> Column:
-        own = F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("n", "port_id", column))))
-        return F.transform(own, lambda x: F.struct(x["port_id"].alias("port_id"), *(x[column][f].alias(f) for f in names)))
-
-    ports = p.groupBy("job", "unit_no").agg(gathered(0, "c", fields).alias("connected_ports"), gathered(1, "e", ("type", "description")).alias("empty_ports"))
-    u = u.join(ports, ["job", "unit_no"], "left")
-    none = lambda name: F.coalesce(name, F.from_json(F.lit("[]"), ports.schema[name].dataType.simpleString()))
-    unit = F.struct(F.concat(F.lit("unit"), F.col("unit_no").cast("string")).alias("unit_id"), "device_type", "vendor", "model", "description", none("connected_ports").alias("connected_ports"), none("empty_ports").alias("empty_ports"))
-    every = u.groupBy("job").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", unit.alias("unit")))), lambda x: x["unit"]).alias("units"))
+        facts = u.filter("device_type = 'switch'").select("vendor", "model").distinct()
+        told = hierarchy.describe(facts, descriptions).select(F.col("vendor").alias("_v"), F.col("model").alias("_m"), F.col("description").alias("_d"))
+        own = (F.col("device_type") == "switch") & F.col("vendor").eqNullSafe(F.col("_v")) & F.col("model").eqNullSafe(F.col("_m"))
+        u = u.join(told, own, "left").withColumn("description", F.coalesce(tx.one_line_or_null(F.col("_d")), "description")).drop("_v", "_m", "_d")
+    # one exchange on the job for units, numbers and documents
+    told = F.struct("device_type", "vendor", "model", "description")
+    u = u.repartition("job").groupBy("job", "unit_no").agg(F.array_sort(F.collect_list(told)).alias("told"), F.array_sort(F.flatten(F.collect_list("c"))).alias("c"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    before = F.sum(F.size("c") + F.size("e")).over(Window.partitionBy("job").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, -1))
+    u = u.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
+    port_id = lambda n: F.concat(F.lit("port_"), (F.col("before") + 1 + n).cast("string")).alias("port_id")
+    c = F.transform("c", lambda x, i: F.struct(port_id(i), *(x[f].alias(f) for f in ("port", "port_description", "other_port", "cable", "cable_description", "usage"))))
+    e = F.transform("e", lambda x, i: F.struct(port_id(F.size("c") + i), _of_empty(x["which"], 1).alias("type"), _of_empty(x["which"], 2).alias("description")))
+    u = u.select("job", "unit_no", "told", c.alias("connected_ports"), e.alias("empty_ports"))
+    unit = F.transform("told", lambda t: F.struct(F.concat(F.lit("unit"), F.col("unit_no").cast("string")).alias("unit_id"), *(t[f].alias(f) for f in ("device_type", "vendor", "model", "description")), "connected_ports", "empty_ports"))
+    every = u.groupBy("job").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", unit.alias("units")))), lambda x: x["units"])).alias("units"))
     every = every.withColumn("devices", F.array_join(F.transform("units", lambda x: F.concat_ws(" ", x["vendor"], x["device_type"])), ", "))
     racks = rack(reports).groupBy("job").agg(F.min(F.struct("type", "vendor")).alias("rack"))
     both = every.join(racks, "job", "full")

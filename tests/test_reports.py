@@ -140,3 +140,26 @@ def test_walk_keeps_the_order_of_the_text(spark):
     assert [(r.preorder, r.parent, r.depth, r.node_id, r.segmented) for r in one] == [(0, None, 0, None, None), (1, 0, 1, "rack1", None), (2, 1, 2, None, "a\\b.png"), (3, 1, 2, None, "x/y.JPG"), (4, 0, 1, None, None), (5, 4, 2, None, None), (6, 5, 3, None, "q/p1.jpg")]
     assert one[1].box.x2 == 9 and one[3].box is None and [r.has_ports for r in one] == [False, False, False, False, True, False, False] and one[4].port_files == ["p1.jpg"]
     assert {r.doc for r in got} == {1, 7}
+
+
+def test_the_audit_reads_each_report_once(spark):
+    df = spark.createDataFrame([("j", "unit1_report.html", "<p>")], "job string, name string, html string")
+    plan = reports.audit(df, "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("section-title" in x for x in plan.splitlines()) == 1
+
+
+def test_reports_of_one_unit_share_its_ports(spark):
+    ports = lambda *names: '<div class="section"><h2 class="section-title">Empty Ports</h2><table><tr><td>h</td></tr>' + "".join(f"<tr><td>i</td><td>{n}</td></tr>" for n in names) + "</table></div>"
+    rows = [("j", "unit2_report.html", '<div class="device-badge">Router</div>' + ports("SFP")), ("j", "unit2_b_report.html", '<div class="device-badge">Switch</div>' + ports("x", "QSFP")), ("j", "unit10_report.html", ports("x"))]
+    got = json.loads(reports.audit(spark.createDataFrame(rows, "job string, name string, html string").repartition(3), "d").first().json)["units"]
+    assert [(u["unit_id"], u["device_type"], [p["port_id"] for p in u["empty_ports"]]) for u in got] == [("unit2", "router", ["port_1", "port_2", "port_3"]), ("unit2", "switch", ["port_1", "port_2", "port_3"]), ("unit10", "unknown", ["port_4"])]
+    assert sorted(p["type"] for p in got[0]["empty_ports"]) == ["Ethernet", "QSFP28", "SFP"] and got[1]["empty_ports"] == got[0]["empty_ports"]
+
+
+@pytest.mark.parametrize("cell", ["plain", " a\t\n b ", "a\x0bb", "a\fb", "a  b", "<b>x</b> <i> y</i>", "&lt;b&gt; &amp;lt;&nbsp;&nbsp;z", "", "<br>"])
+def test_cells_are_read_as_by_patterns(spark, cell):
+    df = spark.createDataFrame([(f"<tr><td>{cell}</td></tr>",)], "h string")
+    text = re.sub(r"(?s)<[^>]*>", "", cell)
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = text.replace(a, b)
+    assert df.select(tx.html_rows(F.col("h")).alias("r")).first().r == [[re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")]]
