@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -210,13 +210,23 @@ def summary(audit: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, com
     return s.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
 
 
+def report_of(rows: Column, columns: Mapping[str, Callable[[Column], Column]], order: Callable[[Column], Column], name: str) -> Column:
+    """An HTML table of an array of rows, every cell escaped. columns: header and what a row has below it; rows are in order, equal ones by their text."""
+    cell = lambda c: F.concat(F.lit("<td>"), tx.html_escape(F.coalesce(c.cast("string"), F.lit("N/A"))), F.lit("</td>"))
+    text = lambda x: F.concat(F.lit("<tr>"), *(cell(value(x)) for value in columns.values()), F.lit("</tr>"))
+    body = F.array_join(F.transform(F.array_sort(F.transform(rows, lambda x: F.struct(order(x).alias("o"), text(x).alias("r")))), lambda x: x["r"]), "\n")
+    head = "".join(f"<th>{c}</th>" for c in columns)
+    return F.concat(F.lit(f"<html><body><h1>{name}</h1><table><tr>{head}</tr>\n"), body, F.lit("</table></body></html>"))
+
+
 def report_table(rows: DataFrame, columns: Sequence[str], key: str, order: str, name: str) -> DataFrame:
     """key and an HTML table of its rows, every cell escaped; header and cells come from one list."""
-    cells = F.concat(*(x for c in columns for x in (F.lit("<td>"), tx.html_escape(F.coalesce(F.col(c).cast("string"), F.lit("N/A"))), F.lit("</td>"))))
-    row = F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x["r"]), "\n")
-    head = "".join(f"<th>{c}</th>" for c in columns)
-    return rows.groupBy(key).agg(F.concat(F.lit(f"<html><body><h1>{name}</h1><table><tr>{head}</tr>\n"), body, F.lit("</table></body></html>")).alias("html"))
+    own = F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_c")))
+    return rows.groupBy(key).agg(report_of(own, {c: _under(c) for c in columns}, lambda x: x["_o"], name).alias("html"))
+
+
+def _under(column: str):
+    return lambda x: x["_c"][column]
 
 
 def _body_rows(docs: DataFrame, key: str, html: str, least: int) -> DataFrame:

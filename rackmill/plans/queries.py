@@ -357,13 +357,17 @@ def current_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _port_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An HTML report for each order with a row for each line: seven columns, or five if the order is urgent."""
-    columns = ["no", "cable", "cable_description", "usage", "port", "port_description", "other_port"]
-    power = F.col("l_returnflag") == "R"
-    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    l = l.select(F.col("l_orderkey").alias("doc"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"), F.when(power, "QSFP28").otherwise(F.col("l_returnflag")).alias("no"), F.concat(F.lit("c"), F.col("l_returnflag")).alias("cable"), F.when(power, "N/A").otherwise(F.col("l_returnflag")).alias("cable_description"),
-                 F.when(power | (F.col("l_linestatus") == "O"), "n/a").otherwise("net").alias("usage"), F.col("l_partkey").alias("port"), F.col("l_suppkey").alias("port_description"), F.col("l_linenumber").alias("other_port"), "o_orderpriority")
-    urgent = F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False))
-    return documents.report_table(l.filter(~urgent), columns, "doc", "at", "ports").unionByName(documents.report_table(l.filter(urgent), columns[:5], "doc", "at", "ports"))
+    # numbers are grouped, the rows' texts made of them afterwards
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("lines"))
+    docs = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False)).alias("urgent")), F.col("doc") == F.col("o_orderkey"))
+    power = lambda x: x["l_returnflag"] == "R"
+    columns = {
+        "no": lambda x: F.when(power(x), "QSFP28").otherwise(x["l_returnflag"]), "cable": lambda x: F.concat(F.lit("c"), x["l_returnflag"]), "cable_description": lambda x: F.when(power(x), "N/A").otherwise(x["l_returnflag"]),
+        "usage": lambda x: F.when(power(x) | (x["l_linestatus"] == "O"), "n/a").otherwise("net"), "port": lambda x: x["l_partkey"], "port_description": lambda x: x["l_suppkey"], "other_port": lambda x: x["l_linenumber"],
+    }
+    at = lambda x: F.struct(x["l_linenumber"], x["l_partkey"], x["l_suppkey"])
+    few = dict(list(columns.items())[:5])
+    return docs.select("doc", F.when(F.col("urgent"), documents.report_of(F.col("lines"), few, at, "ports")).otherwise(documents.report_of(F.col("lines"), columns, at, "ports")).alias("html"))
 
 
 @query

@@ -65,3 +65,8 @@ def test_nodes_leave_python_a_few_documents_at_a_time(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc int, json string")
     out = tree.device_pictures(tree.walk(docs))
     assert "Generate" not in plan(out) and out.count() == 0 and tree.walk(docs).count() == 200
+
+
+def test_connected_ports_are_grouped_as_numbers(spark, sf):
+    tree_ = queries.connected_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation" in x and "l_orderkey" in x for x in tree_) == 1
