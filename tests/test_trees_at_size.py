@@ -70,3 +70,8 @@ def test_nodes_leave_python_a_few_documents_at_a_time(spark):
 def test_connected_ports_are_grouped_as_numbers(spark, sf):
     tree_ = queries.connected_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("Relation" in x and "l_orderkey" in x for x in tree_) == 1
+
+
+def test_empty_ports_are_grouped_as_numbers(spark, sf):
+    tree_ = queries.empty_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation" in x and "l_orderkey" in x for x in tree_) == 1
