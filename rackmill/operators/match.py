@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -138,11 +138,17 @@ def expected_cable(facts: DataFrame, port_cable: DataFrame, port: str = "port_cl
     return out.withColumn("cable_label", F.when(F.col("cable").isNotNull(), tx.cable_label(F.col("cable"))).otherwise(tx.cable_label(F.col(port)))).drop("_p", "d_port", "ord")
 
 
+def _formed(rows: DataFrame, column: str, form: Callable[[Column], Column], name: str) -> DataFrame:
+    """The distinct values of a column, each with a form of it."""
+    # of a plain column Spark moves filters below `distinct`, where every row's form would be made, in a scan for each filter
+    return rows.select(column).distinct().withColumn(name, F.explode_outer(F.array(form(F.col(column)))))
+
+
 def close_match(facts: DataFrame, dim: DataFrame, key: str, name: str, least: float = 0.6) -> DataFrame:
     """facts with `matched`: the dimension name that is equal after normalising, else the best by sequence ratio from `least` on (of equal ratios the last by its
     normalised form), else null. Names that are equal after normalising count as the first of them. Null and blank keys match nothing but their like."""
-    d = dim.select(F.col(name).alias("_name"), tx.spaced(F.col(name)).alias("_norm")).groupBy("_norm").agg(F.min("_name").alias("_name"))
-    f = facts.select(key).distinct().withColumn("_q", tx.spaced(F.col(key)))
+    d = _formed(dim.select(F.col(name).alias("_name")), "_name", tx.spaced, "_norm").groupBy("_norm").agg(F.min("_name").alias("_name"))
+    f = _formed(facts, key, tx.spaced, "_q")
     texts = f.join(d.select(F.col("_norm").alias("_q")), "_q", "left_anti").select(F.col("_q").alias("text"))
     near = ratio_join(texts, d.select(F.col("_norm").alias("text")), lambda a, b: sim.sequence_ratio(b, a), least)
     best = near.groupBy(F.col("a").alias("_q")).agg(F.max_by("b", F.struct("ratio", "b")).alias("_norm"))
@@ -154,7 +160,7 @@ def describe_models(facts: DataFrame, dim: DataFrame, key: str = "model", least:
     """facts with the description of the model with the best Indel ratio, from `least` (0 to 100) on. dim: Model (several between slashes), Description."""
     d = dim.select(F.explode(F.split("model", "/")).alias("_m"), "description").withColumns({"_m": F.trim("_m"), "_n": tx.alnum(F.trim("_m"))}).filter("_n <> ''")
     d = d.groupBy("_n").agg(F.min(F.struct("_m", "description")).alias("_d"))
-    f = facts.select(key).distinct().withColumn("_q", tx.alnum(F.col(key)))
+    f = _formed(facts, key, tx.alnum, "_q")
     hits = ratio_join(f.select(F.col("_q").alias("text")), d.select(F.col("_n").alias("text")), lambda a, b: sim.indel_ratio(a, b) / 100, least / 100)
     named = hits.join(d, F.col("b") == F.col("_n"))
     best = named.groupBy(F.col("a").alias("_q")).agg(F.min_by(F.struct(F.col("_d._m").alias("matched"), F.col("_d.description").alias("description"), F.round(F.col("ratio") * 100, 4).alias("ratio")), F.struct((-F.col("ratio")).alias("r"), F.col("_d._m"))).alias("_d"))

@@ -137,3 +137,23 @@ def test_grams_of_distinct_names_only(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     out = match.close_match(p.select("p_partkey", F.concat(F.substring("p_name", 2, 100), F.lit("_"), "p_type").alias("port")), p.select(F.concat("p_name", F.lit(" "), "p_type").alias("name")), "port", "name")
     assert not below_distinct(out)
+
+
+def made_at_scans(d, form):
+    """What stands between a scan and the next aggregate, join or explode above it in the optimized plan and makes the form."""
+    lines, out = d._jdf.queryExecution().optimizedPlan().toString().splitlines(), []
+    for k, x in enumerate(lines):
+        above = reversed(lines[:k]) if "Relation" in x else ()
+        for y in above:
+            if any(w in y for w in ("Aggregate", "Join", "Generate")):
+                break
+            out += [y] if form in y else []
+    return out
+
+
+def test_forms_of_distinct_names_only(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    out = match.close_match(p.select("p_partkey", F.col("p_type").alias("port")), p.select(F.col("p_name").alias("name")), "port", "name")
+    assert not made_at_scans(out, "regexp_replace")
+    dim = p.select(F.col("p_name").alias("model"), F.col("p_type").alias("description"))
+    assert not made_at_scans(match.describe_models(p.select("p_partkey", F.col("p_type").alias("model")), dim).select("p_partkey"), "regexp_replace")
