@@ -357,9 +357,11 @@ def current_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _port_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An HTML report for each order with a row for each line: seven columns, or five if the order is urgent."""
-    # numbers are grouped, the rows' texts made of them afterwards
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("lines"))
-    docs = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False)).alias("urgent")), F.col("doc") == F.col("o_orderkey"))
+    # numbers are grouped, the rows' texts made of them afterwards; lines and orders meet in one exchange, dealt before anything is sorted
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").alias("line"), F.lit(None).cast("boolean").alias("urgent"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(None).cast(lines.schema["line"].dataType).alias("line"), F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False)).alias("urgent"))
+    both = lines.unionByName(orders).filter("doc is not null").repartition("doc").groupBy("doc").agg(F.collect_list("line").alias("lines"), F.collect_list("urgent").alias("urgent"))
+    docs = both.filter("size(lines) > 0").select("doc", "lines", F.explode("urgent").alias("urgent"))
     power = lambda x: x["l_returnflag"] == "R"
     columns = {
         "no": lambda x: F.when(power(x), "QSFP28").otherwise(x["l_returnflag"]), "cable": lambda x: F.concat(F.lit("c"), x["l_returnflag"]), "cable_description": lambda x: F.when(power(x), "N/A").otherwise(x["l_returnflag"]),

@@ -75,3 +75,20 @@ def test_connected_ports_are_grouped_as_numbers(spark, sf):
 def test_empty_ports_are_grouped_as_numbers(spark, sf):
     tree_ = queries.empty_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("Relation" in x and "l_orderkey" in x for x in tree_) == 1
+
+
+def test_empty_ports_meet_their_orders_without_a_join(spark, sf):
+    """One exchange, before the aggregation, so that no task sorts a split of the lines, and none arrays of lines for a join."""
+    tree_ = queries.empty_rows(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchanges = [k for k, x in enumerate(tree_) if "Exchange" in x]
+    assert len(exchanges) == 1 and not any("Join" in x for x in tree_)
+    assert max(k for k, x in enumerate(tree_) if "Aggregate" in x) < exchanges[0]
+
+
+def test_reports_of_odd_orders(spark, tmp_path):
+    """Orders without lines, lines without an order and null keys give no report; an order that is there twice gives two."""
+    lines = [(1, 2, 5, 7, "R", "O"), (1, 1, 6, 7, "A", "F"), (2, 1, 5, 7, None, "F"), (None, 1, 5, 7, "R", "F"), (9, 1, 5, 7, "R", "F")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "1-URGENT"), (2, None), (2, "5-LOW"), (3, "5-LOW"), (None, "5-LOW")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in queries.empty_rows(spark, str(tmp_path)).select("doc", "ord", "type").collect())
+    assert got == [(1, 1, "Ethernet"), (1, 2, "SFP"), (2, 1, "Ethernet"), (2, 1, "Ethernet")]
