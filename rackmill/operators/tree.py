@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
@@ -112,12 +112,55 @@ def ports(nodes: DataFrame) -> DataFrame:
     return own.groupBy("doc", "port_id").agg(F.min_by(F.struct("parent_id", "box"), "preorder").alias("x")).select("doc", "port_id", "x.parent_id", "x.box")
 
 
-def resolved(nodes: DataFrame) -> DataFrame:
-    """The ports of all documents with their parent and the rule that found it (hierarchy.parents), its kind (parent_type, else type, else category) and the base name of its picture."""
-    nodes = stored(nodes, "nodes")  # read for ports, devices, lists, boxes and names
+def resolved(nodes: DataFrame, dealt: int | None = None) -> DataFrame:
+    """The ports of all documents with their parent and the rule that found it (hierarchy.parents), its kind (parent_type, else type, else category) and the base name of its picture.
+
+    Nodes are stored in buckets of documents. dealt: the documents came from repartition(dealt, doc), which walk hides from Spark; else nodes are dealt here.
+    Documents with a first device are answered within their bucket, so that nothing is exchanged; only the nodes of the others, whose boxes are asked too, go through joins."""
+    parts = dealt or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = stored(nodes if dealt else nodes.repartition(parts, "doc"), "nodes", "doc", parts)
+    told = hierarchy.first_device(kinds(nodes)).filter("first_device is not null")
+    return _resolved_in_place(nodes).unionByName(_resolved_by_joins(stored(nodes.join(told, "doc", "left_anti"), "untold")))
+
+
+def _name() -> Column:
+    """A node's kind and the base name of its picture."""
+    return F.struct(F.coalesce("parent_type", "type", "category").alias("kind"), F.regexp_extract("segmented", r"([^/\\]+)$", 1).alias("picture"))
+
+
+def _resolved_in_place(nodes: DataFrame) -> DataFrame:
+    """resolved for documents with a first device, by aggregations and windows whose keys begin with doc: unlike joins, they take nodes as they are dealt.
+
+    A node becomes a row for its port, one for its id and one for each listed picture; ports and ids then meet where a port's parent_id, and later its resolved id, is the id.
+    """
+    device = hierarchy.is_device(F.concat_ws(" ", "type", "category", "parent_type"), F.col("node_id"), F.col("has_ports"))
+    n = nodes.filter("doc is not null").select("doc", "preorder", "node_id", "parent_id", device.alias("dev"), F.when(F.col("segmented").isNotNull() & ~device, _name()["picture"]).alias("own"), _name().alias("name"), "port_files")
+    parts = """concat(if(own is null, array(), array(named_struct('role', 'port', 'port_id', own, 'id', cast(null as string)))),
+        if(node_id is null and not dev, array(), array(named_struct('role', 'id', 'port_id', cast(null as string), 'id', node_id))),
+        if(node_id is null, array(), transform(array_distinct(port_files), f -> named_struct('role', 'list', 'port_id', f, 'id', cast(null as string)))))"""
+    rows = n.select("*", F.inline(F.expr(parts)))
+
+    def of(role: str, c: str) -> Column:
+        return F.when(F.col("role") == role, F.col(c))
+
+    rows = rows.select("doc", "port_id", "id", of("port", "preorder").alias("port_at"), of("port", "parent_id").alias("parent_id"), of("list", "node_id").alias("lister"), of("id", "preorder").alias("id_at"), F.when((F.col("role") == "id") & F.col("dev"), F.col("preorder")).alias("dev_at"), of("id", "name").alias("name"))
+    # one row for each port_id and one for each id of a document
+    x = rows.groupBy("doc", "port_id", "id").agg(F.min("port_at").alias("port_at"), F.min_by("parent_id", "port_at").alias("parent_id"), F.min("lister").alias("holder"), F.min("dev_at").alias("dev_at"), F.min_by("name", "id_at").alias("name"))
+    x = x.withColumn("first_device", F.min(F.when(F.col("dev_at").isNotNull(), F.struct("dev_at", "id"))).over(Window.partitionBy("doc"))["id"])
+    x = x.filter("first_device is not null and (port_at is not null or id is not null)").withColumn("ref", F.coalesce("id", "parent_id"))
+    named = F.max(F.col("id").isNotNull() & F.col("dev_at").isNotNull()).over(Window.partitionBy("doc", "ref"))
+    x = x.withColumn("named", F.when(named, F.col("ref")))
+    x = x.withColumns({
+        "resolved": F.coalesce("id", "named", "holder", "first_device"),
+        "rule": F.when(F.col("named").isNotNull(), "parent_id").when(F.col("holder").isNotNull(), "port_list").otherwise("first_device"),
+    })
+    x = x.withColumn("name", F.max("name").over(Window.partitionBy("doc", "resolved")))
+    return x.filter("port_at is not null").select("doc", "port_id", "resolved", "rule", F.upper("name.kind").alias("label"), "name.picture")
+
+
+def _resolved_by_joins(nodes: DataFrame) -> DataFrame:
     found = hierarchy.parents(ports(nodes), kinds(nodes), port_lists(nodes))
-    kind = F.coalesce("parent_type", "type", "category")
-    named = nodes.filter("node_id is not null").groupBy("doc", F.col("node_id").alias("resolved")).agg(F.min_by(F.struct(kind.alias("kind"), F.regexp_extract("segmented", r"([^/\\]+)$", 1).alias("picture")), "preorder").alias("x"))
+    named = nodes.filter("node_id is not null").groupBy("doc", F.col("node_id").alias("resolved")).agg(F.min_by(_name(), "preorder").alias("x"))
     return found.join(named, ["doc", "resolved"], "left").select("doc", "port_id", "resolved", "rule", F.upper("x.kind").alias("label"), "x.picture")
 
 

@@ -21,11 +21,20 @@ def _joined(text: str, order: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), ",")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Orders whose documents one task makes, about.
+_ORDERS = 1 << 16
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions to deal documents over: one a core, more where orders are many."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "orders").count() // _ORDERS))
+
+
+def _documents(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Of every three devices one has port lists by state, one a single list, and one holds its ports without a list; boxes, pictures and parent ids are there or not."""
     # numbers are dealt and grouped, texts made of them afterwards
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
-    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderkey", "lines").repartition("o_custkey")
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderkey", "lines").repartition(*([parts] if parts else []), "o_custkey")
     ports = F.expr("""array_sort(transform(lines, l -> struct(concat('{"segmented_filename":"out/p_', o_orderkey, '_', l.l_linenumber, '_', l.l_partkey, '.jpg"',
         case when l.l_partkey % 6 = 0 then ',"parent_id":"nowhere"' when l.l_partkey % 3 = 0 then concat(',"parent_id":"dev_', o_orderkey, '"') else '' end,
         case when l.l_partkey % 2 = 0 then concat(',"bbox":[', l.l_partkey * 7 % 940, ',', l.l_partkey * 3 % 540, ',', l.l_partkey * 7 % 940 + 12, ',', l.l_partkey * 3 % 540 + 10, ']') else '' end, '}') as text, l.l_linenumber % 2 = 1 as odd)))""")
@@ -47,7 +56,8 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.resolved(tree.walk(_documents(spark, sf_dir)))
+    parts = _parts(spark, sf_dir)
+    return tree.resolved(tree.walk(_documents(spark, sf_dir, parts)), parts)
 
 
 @query

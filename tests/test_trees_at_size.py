@@ -1,6 +1,9 @@
 """What keeps the queries over documents from growing faster than their input."""
 
+import glob
 import json
+import os
+import random
 import tracemalloc
 
 import pyarrow as pa
@@ -22,6 +25,59 @@ def test_nodes_are_walked_once(spark):
     assert [(r.port_id, r.resolved, r.rule) for r in out.collect()] == [("p.png", "d", "first_device")]
 
 
+def test_ports_find_their_devices_without_an_exchange(spark):
+    """Nodes are stored as their documents were dealt; only those of documents without a device are dealt again, for their boxes."""
+    docs = [(k, json.dumps({"id": f"d{k}", "type": "switch", "items": [{"segmented_image": "a/p.png"}]})) for k in range(40)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = tree.resolved(tree.walk(spark.createDataFrame(docs, "doc long, json string").repartition(3, "doc")), 3)
+        lines = plan(out).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    at = next(k for k, x in enumerate(lines) if x.endswith("Union"))
+    bar = lines[at].index("Union")
+    first = [x for x in lines[at + 1 :] if x[bar : bar + 1] == ":"]
+    assert any("FileScan" in x for x in first) and not any("Exchange" in x or "Join" in x for x in first)
+    files = glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + f"/rackmill/{spark.sparkContext.applicationId}/nodes-*")
+    assert len(glob.glob(max(files, key=os.path.getmtime) + "/*.parquet")) <= 3
+    assert sorted(r.resolved for r in out.collect()) == sorted(f"d{k}" for k in range(40))
+
+
+def test_both_ways_to_a_parent_agree(spark):
+    r = random.Random(4)
+
+    def thing(depth):
+        v = {}
+        if r.random() < 0.6:
+            v["id"] = r.choice(["a", "b", "c", "switch_1", "panel", "e"])
+        if r.random() < 0.4:
+            v["type"] = r.choice(["switch", "thing", "port", ""])
+        if r.random() < 0.2:
+            v["parent_type"] = r.choice(["rack", "x"])
+        if r.random() < 0.6:
+            v[r.choice(["segmented_image", "segmented_filename"])] = r.choice(["x/p1.png", "y\\p1.png", "p2.png", "x/", "q/p3.png", "p4.png"])
+        if r.random() < 0.5:
+            v["parent_id"] = r.choice(["a", "b", "c", "switch_1", "none", ""])
+        if r.random() < 0.7:
+            v["bbox"] = [x := r.randint(0, 90), y := r.randint(0, 90), x + r.randint(0, 300), y + r.randint(0, 300)]
+        if depth < 4 and r.random() < 0.25:
+            v["ports"] = r.choice([[], {}, [thing(depth + 2)], {"connected": [thing(depth + 2), thing(depth + 2)], "empty": [thing(depth + 2)]}])
+        if depth < 3:
+            v["items"] = [thing(depth + 1) for _ in range(r.randint(0, 3))]
+        return v
+
+    docs = [(k if k else None, json.dumps(thing(0))) for k in range(400)]
+    nodes = tree.walk(spark.createDataFrame(docs, "doc long, json string")).persist()
+    told = [x.doc for x in hierarchy.first_device(tree.kinds(nodes)).filter("first_device is not null").collect()]
+    want = [tuple(x) for x in tree._resolved_by_joins(nodes).collect()]
+    got = [tuple(x) for x in tree._resolved_in_place(nodes).collect()]
+    assert {x[3] for x in got} == {"parent_id", "port_list", "first_device"} and {x[3] for x in want} >= {"box", None}
+    assert sorted(map(repr, got)) == sorted(repr(x) for x in want if x[0] is not None and x[0] in told)
+    assert sorted(map(repr, (tuple(x) for x in tree.resolved(nodes).collect()))) == sorted(map(repr, want))
+    nodes.unpersist()
+
+
 def test_walk_holds_few_documents_as_objects():
     texts = pa.array([json.dumps({"units": [{"id": f"d{k}", "bbox": [0, 0, k, k]} for k in range(50)]})] * 1500)
     tracemalloc.start()
