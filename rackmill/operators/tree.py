@@ -118,6 +118,7 @@ def resolved(nodes: DataFrame, dealt: int | None = None) -> DataFrame:
     Nodes are stored in buckets of documents. dealt: the documents came from repartition(dealt, doc), which walk hides from Spark; else nodes are dealt here.
     Documents with a first device are answered within their bucket, so that nothing is exchanged; only the nodes of the others, whose boxes are asked too, go through joins."""
     parts = dealt or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.drop("parent", "depth")
     nodes = stored(nodes if dealt else nodes.repartition(parts, "doc"), "nodes", "doc", parts)
     told = hierarchy.first_device(kinds(nodes)).filter("first_device is not null")
     return _resolved_in_place(nodes).unionByName(_resolved_by_joins(stored(nodes.join(told, "doc", "left_anti"), "untold")))

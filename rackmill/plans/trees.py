@@ -33,7 +33,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> int:
 def _documents(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Of every three devices one has port lists by state, one a single list, and one holds its ports without a list; boxes, pictures and parent ids are there or not."""
     # numbers are dealt and grouped, texts made of them afterwards
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
     orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderkey", "lines").repartition(*([parts] if parts else []), "o_custkey")
     ports = F.expr("""array_sort(transform(lines, l -> struct(concat('{"segmented_filename":"out/p_', o_orderkey, '_', l.l_linenumber, '_', l.l_partkey, '.jpg"',
         case when l.l_partkey % 6 = 0 then ',"parent_id":"nowhere"' when l.l_partkey % 3 = 0 then concat(',"parent_id":"dev_', o_orderkey, '"') else '' end,

@@ -9,7 +9,7 @@ import tracemalloc
 import pyarrow as pa
 
 from rackmill.operators import hierarchy, match, tree
-from rackmill.plans import queries
+from rackmill.plans import queries, trees
 
 NODES = "doc int, node_id string, preorder int, segmented string"
 
@@ -148,3 +148,11 @@ def test_reports_of_odd_orders(spark, tmp_path):
     spark.createDataFrame([(1, "1-URGENT"), (2, None), (2, "5-LOW"), (3, "5-LOW"), (None, "5-LOW")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted(tuple(r) for r in queries.empty_rows(spark, str(tmp_path)).select("doc", "ord", "type").collect())
     assert got == [(1, 1, "Ethernet"), (1, 2, "SFP"), (2, 1, "Ethernet"), (2, 1, "Ethernet")]
+
+
+def test_lines_of_documents_are_grouped_behind_their_exchange(spark, sf):
+    """So that no task sorts, and spills, a whole split of the lines."""
+    lines = plan(trees._documents(spark, sf)).splitlines()
+    scan = next(k for k, x in enumerate(lines) if "FileScan" in x and "l_orderkey" in x)
+    exchange = max(k for k in range(scan) if "Exchange hashpartitioning(l_orderkey" in lines[k])
+    assert not any("Aggregate" in x for x in lines[exchange:scan])
